@@ -3,47 +3,42 @@
 from pyspark.sql import types as T
 
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+def _struct(names: str = "", /, **typed: T.DataType) -> T.StructType:
+    """Text columns by name, then typed ones."""
+    fields = [T.StructField(name, T.StringType()) for name in names.split()]
+    return T.StructType(fields + [T.StructField(name, dtype) for name, dtype in typed.items()])
 
 
+_LONG, _INT, _DOUBLE = T.LongType(), T.IntegerType(), T.DoubleType()
+_TEXT, _TEXTS = T.StringType(), T.ArrayType(T.StringType())
+
 ACCELERATOR_RAW = _struct(
-    "company_id string, company_name string, short_description string, long_description string, "
-    "batch string, status string, tags string, location string, country string, year_founded string, "
-    "num_founders string, founders_names string, team_size string, website string, cb_url string, linkedin_url string"
+    "company_id company_name short_description long_description tags country year_founded"
 )
 REGISTRY_RAW = _struct(
-    "id string, entity_type string, name string, category_code string, founded_at string, country_code string, "
-    "short_description string, description string, overview string, tag_list string"
-)
-STARTUP = _struct(
-    "startup_id string, name string, description string, industry string, tags string, country string, "
-    "founded_year int, source string"
+    "id entity_type name category_code founded_at country_code short_description description overview tag_list"
 )
-DOCUMENT = _struct("doc_id string, text string, metadata map<string,string>")
-HIT = _struct("query_id string, list_id int, rank int, doc_id string, score double")
-TURN = _struct("conv_id bigint, turn bigint, role string, text string")
-EXTERNAL_HIT = _struct("query_id bigint, idx int, title string, url string, content string, score double")
+STARTUP = _struct("startup_id name description industry tags country", founded_year=_INT, source=_TEXT)
+DOCUMENT = _struct("doc_id text", metadata=T.MapType(_TEXT, _TEXT))
+HIT = _struct(query_id=_LONG, list_id=_INT, rank=_INT, doc_id=_TEXT, score=_DOUBLE)
+TURN = _struct(conv_id=_LONG, turn=_LONG, role=_TEXT, text=_TEXT)
+EXTERNAL_HIT = _struct(query_id=_LONG, idx=_INT, title=_TEXT, url=_TEXT, content=_TEXT, score=_DOUBLE)
 EVAL_ITEM = _struct(
-    "id string, query string, analysis_type string, expected_domains array<string>, "
-    "bad_results array<string>, expected_sections array<string>, description string"
+    "id query analysis_type", expected_domains=_TEXTS, bad_results=_TEXTS, expected_sections=_TEXTS, description=_TEXT
 )
 EVAL_RESULT = _struct(
-    "id string, query string, analysis_type string, model_name string, description string, answer_preview string, "
-    "num_sources int, context_relevancy double, groundedness double, answer_relevancy double, precision_at_k double, "
-    "structure_score double, bad_result_check double, latency_seconds double, total_tokens bigint, error string"
+    "id query analysis_type model_name description answer_preview",
+    num_sources=_INT, context_relevancy=_DOUBLE, groundedness=_DOUBLE, answer_relevancy=_DOUBLE,
+    precision_at_k=_DOUBLE, structure_score=_DOUBLE, bad_result_check=_DOUBLE, latency_seconds=_DOUBLE,
+    total_tokens=_LONG, error=_TEXT,
 )
-_TYPE_SUMMARY = (
-    "struct<count:bigint,avg_context_relevancy:double,avg_groundedness:double,"
-    "avg_answer_relevancy:double,avg_precision_at_k:double>"
+_AVERAGES = {f"avg_{n}": _DOUBLE for n in ("context_relevancy", "groundedness", "answer_relevancy", "precision_at_k")}
+EVAL_RUN = _struct(
+    summary=_struct(
+        "run_date model_name llm_provider",
+        total_queries=_LONG, successful=_LONG, failed=_LONG, total_time_seconds=_DOUBLE, avg_latency_seconds=_DOUBLE,
+        **_AVERAGES, avg_structure_score=_DOUBLE, avg_bad_result_check=_DOUBLE,
+        by_analysis_type=T.MapType(_TEXT, _struct(count=_LONG, **_AVERAGES)), error=_TEXT,
+    ),
+    results=T.ArrayType(EVAL_RESULT),
 )
-EVAL_RUN = T.StructType([
-    T.StructField("summary", _struct(
-        "run_date string, model_name string, llm_provider string, total_queries bigint, successful bigint, "
-        "failed bigint, total_time_seconds double, avg_latency_seconds double, avg_context_relevancy double, "
-        "avg_groundedness double, avg_answer_relevancy double, avg_precision_at_k double, "
-        f"avg_structure_score double, avg_bad_result_check double, by_analysis_type map<string,{_TYPE_SUMMARY}>, "
-        "error string"
-    )),
-    T.StructField("results", T.ArrayType(EVAL_RESULT)),
-])
