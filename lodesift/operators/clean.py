@@ -29,7 +29,7 @@ def registry_description(
         return F.coalesce(blank_to_null(description), overview)
     if mode != "intended":
         raise ValueError(f"unknown mode {mode!r}")
-    sentence = F.concat(F.lit("Startup in "), industry, F.lit(" industry. Tags: "), tags)
+    sentence = clean_text(F.concat(F.lit("Startup in "), industry, F.lit(" industry. Tags: "), tags))
     return F.coalesce(blank_to_null(description), blank_to_null(overview), blank_to_null(short), sentence)
 
 
@@ -43,22 +43,40 @@ def keep_first(df: DataFrame, keys: list[Column], order_by: str = "ordinal") ->
     return df.withColumn("__n", F.row_number().over(window)).filter("__n = 1").drop("__n")
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add or replace columns that are evaluated exactly once per row.
+
+    Filters on them would otherwise be pushed below the projection, and the
+    text patterns evaluated again in every filter and every use.  The row goes
+    through a one-element array, which no predicate is pushed through.
+    """
+    kept = [F.col(c) for c in df.columns if c not in columns]
+    made = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
+    return df.select(*kept, F.inline(made))
+
+
 def finalise(df: DataFrame, source: str, cfg: CleanConfig = CleanConfig()) -> DataFrame:
-    """Shared last steps of both catalogues; expects ``ordinal`` for the order."""
-    text = ["name", "description", "industry", "tags", "country"]
-    cleaned = (
-        df.withColumns({c: clean_text(c) for c in text})
-        .filter((F.col("name") != "") & (F.length("description") > cfg.min_description))
-        .withColumns({"source": F.lit(source), "founded_year": whole_number(F.col("founded_year"))})
-    )
-    return keep_first(cleaned, [F.lower("name"), F.col("founded_year")]).select(*STARTUP_COLUMNS, "ordinal")
+    """Shared last steps of both catalogues.
+
+    Expects clean text columns, ``founded_year`` as a number and ``ordinal``.
+    """
+    kept = df.filter((F.col("name") != "") & (F.length("description") > cfg.min_description))
+    kept = kept.withColumn("source", F.lit(source))
+    return keep_first(kept, [F.lower("name"), F.col("founded_year")]).select(*STARTUP_COLUMNS, "ordinal")
 
 
 def clean_accelerator(raw: DataFrame, cfg: CleanConfig = CleanConfig(), source: str = ACCELERATOR_SOURCE) -> DataFrame:
     """Accelerator rows to the unified columns (plus ``ordinal``)."""
-    df = raw.withColumnsRenamed(ACCELERATOR_RENAMES).withColumn("tags", parse_tags("tags"))
+    df = computed_once(raw.withColumnsRenamed(ACCELERATOR_RENAMES), {
+        "name": clean_text("name"),
+        "long_description": clean_text("long_description"),
+        "short_description": clean_text("short_description"),
+        "tags": clean_text(parse_tags("tags")),
+        "country": clean_text("country"),
+        "founded_year": whole_number(F.col("founded_year")),
+    })
     df = df.withColumns({
-        "description": long_or_short(clean_text("long_description"), clean_text("short_description")),
+        "description": long_or_short(F.col("long_description"), F.col("short_description")),
         "industry": first_tag("tags"),
     })
     return finalise(df, source, cfg)
@@ -70,20 +88,19 @@ def clean_registry(
 ) -> DataFrame:
     """Registry rows of one entity type to the unified columns (plus ``ordinal``)."""
     df = raw.filter(F.col("entity_type") == entity_type).withColumnsRenamed(REGISTRY_RENAMES)
-    df = df.withColumns({
+    df = computed_once(df, {
+        "name": clean_text("name"),
         "short_description": clean_text("short_description"),
         "description": clean_text("description"),
         "overview": clean_text("overview"),
         "industry": clean_text("category_code"),
         "tags": clean_text("tag_list"),
-    })
-    df = df.withColumns({
-        "description": registry_description(
-            F.col("description"), F.col("overview"), F.col("short_description"), F.col("industry"), F.col("tags"), mode,
-        ),
+        "country": clean_text("country"),
         "founded_year": year_of(F.col("founded_at"), cfg.date_format),
     })
-    return finalise(df, source, cfg)
+    return finalise(df.withColumn("description", registry_description(
+        F.col("description"), F.col("overview"), F.col("short_description"), F.col("industry"), F.col("tags"), mode,
+    )), source, cfg)
 
 
 def unify(*tables: DataFrame) -> DataFrame:
@@ -150,6 +167,6 @@ def require_columns(df: DataFrame, names: list[str]) -> None:
 
 
 __all__ = [
-    "clean_accelerator", "clean_registry", "cleaning_report", "finalise", "flag_suspicious",
+    "clean_accelerator", "clean_registry", "cleaning_report", "computed_once", "finalise", "flag_suspicious",
     "keep_first", "long_or_short", "registry_description", "require_columns", "unify",
 ]

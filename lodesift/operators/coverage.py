@@ -25,9 +25,10 @@ def watch_coverage(
     )
     wanted = watch.select(F.col("name").alias("watch_name")).distinct().withColumn("wanted", F.lower("watch_name"))
     wanted = wanted.filter(F.length("wanted") > 0)
-    sizes = wanted.agg(F.collect_set(F.length("wanted"))).scalar()
+    # The distinct name lengths: a short list, attached to each row as a column.
+    firsts = firsts.withColumn("sizes", wanted.agg(F.collect_set(F.length("wanted"))).scalar())
     piece = F.transform(
-        F.filter(sizes, lambda n: n <= F.length("lowered")),
+        F.filter("sizes", lambda n: n <= F.length("lowered")),
         lambda n: F.transform(
             F.sequence(F.lit(1), F.length("lowered") - n + 1), lambda i: F.substring(F.col("lowered"), i, n)
         ),
