@@ -26,7 +26,7 @@ def _as_column(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Trim whitespace of any kind on both ends."""
-    return F.regexp_replace(_as_column(c), rf"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.trim(_as_column(c), F.lit(WHITESPACE_CHARACTERS))
 
 
 def clean_text(c: Column | str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..config import DOCUMENT_FIELDS, METADATA_FIELDS
 from ..functions.text import strip
 from ..session import materialise
+from .clean import computed_once
 
 
 def _as_text(df: DataFrame, name: str, float_years: bool) -> Column:
@@ -19,36 +20,38 @@ def _as_text(df: DataFrame, name: str, float_years: bool) -> Column:
     return strip(F.coalesce(c.cast("string"), F.lit("")))
 
 
-def document_text(df: DataFrame, fields=DOCUMENT_FIELDS, float_years: bool = False) -> Column:
+def document_text(values: dict[str, Column], fields=DOCUMENT_FIELDS) -> Column:
     """``Label: value`` lines in fixed order, empty values skipped."""
-    lines = []
-    for name, label in fields:
-        value = _as_text(df, name, float_years)
-        lines.append(F.when(value != "", F.concat(F.lit(f"{label}: "), value)))
-    return F.concat_ws("\n", *lines)
+    return F.concat_ws("\n", *[
+        F.when(values[name] != "", F.concat(F.lit(f"{label}: "), values[name])) for name, label in fields
+    ])
 
 
-def document_metadata(df: DataFrame, fields=METADATA_FIELDS, float_years: bool = False) -> Column:
+def document_metadata(values: dict[str, Column], fields=METADATA_FIELDS) -> Column:
     """Map of metadata values, all as text."""
-    pairs: list[Column] = []
-    for name in dict.fromkeys(fields):
-        pairs += [F.lit(name), _as_text(df, name, float_years)]
-    return F.create_map(*pairs)
+    return F.create_map(*[x for name in dict.fromkeys(fields) for x in (F.lit(name), values[name])])
 
 
 def build_documents(df: DataFrame, id_col: str = "startup_id", float_years: bool = False) -> DataFrame:
     """``doc_id, text, metadata`` plus the metadata as flat columns.
 
-    The flat copies carry the filters: predicates on them reach the Parquet
-    scan, predicates on map values do not.
+    Records without any document value are dropped.  The flat copies carry the
+    filters: predicates on them reach the Parquet scan, predicates on map
+    values do not.
     """
-    flat = [_as_text(df, name, float_years).alias(f"meta_{name}") for name in dict.fromkeys(METADATA_FIELDS)]
-    return df.select(
-        F.col(id_col).alias("doc_id"),
-        document_text(df, float_years=float_years).alias("text"),
-        document_metadata(df, float_years=float_years).alias("metadata"),
-        *flat,
-    ).filter(strip("text") != "")
+    names = list(dict.fromkeys([*[name for name, _ in DOCUMENT_FIELDS], *METADATA_FIELDS]))
+    stripped = computed_once(
+        df.select(F.col(id_col).alias("doc_id"), *names),
+        {f"value_{name}": _as_text(df, name, float_years) for name in names},
+    )
+    values = {name: F.col(f"value_{name}") for name in names}
+    filled = F.lit(False)
+    for name, _ in DOCUMENT_FIELDS:
+        filled = filled | (values[name] != "")
+    return stripped.filter(filled).select(
+        "doc_id", document_text(values).alias("text"), document_metadata(values).alias("metadata"),
+        *[values[name].alias(f"meta_{name}") for name in dict.fromkeys(METADATA_FIELDS)],
+    )
 
 
 def dense_ids(df: DataFrame, order_by: str, out: str = "position") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
@@ -27,6 +28,23 @@ class Encoder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
+class _Slots(dict):
+    """Token to ``2 * bucket + (1 if negative)``, filled on first use."""
+
+    limit = 500_000             # tokens remembered per task
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        digest = hashlib.md5(token.encode()).hexdigest()
+        slot = int(digest[:8], 16) % self.dim * 2 + int(digest[8], 16) % 2
+        if len(self) < self.limit:
+            self[token] = slot
+        return slot
+
+
 class HashedEncoder:
     """Signed feature hashing of tokens, L2-normalised: the default model.
 
@@ -34,32 +52,21 @@ class HashedEncoder:
     the first eight hex digits modulo ``dim``, and the parity of the ninth.
     """
 
-    remembered = 500_000        # tokens cached per task
-
     def __init__(self, dim: int = EmbeddingConfig.dim):
         self.dim = dim
         self._token = re.compile(TOKEN)
-        self._slots: dict[str, tuple[int, int]] = {}
-
-    def _slot(self, token: str) -> tuple[int, int]:
-        slot = self._slots.get(token)
-        if slot is None:
-            digest = hashlib.md5(token.encode()).hexdigest()
-            slot = (int(digest[:8], 16) % self.dim, 1 if int(digest[8], 16) % 2 == 0 else -1)
-            if len(self._slots) < self.remembered:
-                self._slots[token] = slot
-        return slot
+        self._slots: _Slots | None = None
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        rows, buckets, signs = [], [], []
-        for n, text in enumerate(texts):
-            slots = [self._slot(t) for t in self._token.findall(text.lower())]
-            rows.append(np.full(len(slots), n, dtype=np.int64))
-            pairs = np.array(slots, dtype=np.int64).reshape(-1, 2)
-            buckets.append(pairs[:, 0])
-            signs.append(pairs[:, 1])
-        flat = np.concatenate(rows) * self.dim + np.concatenate(buckets)
-        counts = np.bincount(flat, weights=np.concatenate(signs), minlength=len(texts) * self.dim)
+        if self._slots is None:
+            self._slots = _Slots(self.dim)
+        lists = [self._token.findall(text.lower()) for text in texts]
+        lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        slots = np.fromiter(
+            map(self._slots.__getitem__, chain.from_iterable(lists)), dtype=np.int64, count=int(lengths.sum())
+        )
+        flat = np.repeat(np.arange(len(texts)) * self.dim, lengths) + (slots >> 1)
+        counts = np.bincount(flat, weights=1.0 - 2.0 * (slots & 1), minlength=len(texts) * self.dim)
         vectors = counts.reshape(len(texts), self.dim)
         norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
         return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)

@@ -146,7 +146,7 @@ def stored_postings(posting: DataFrame, wanted: DataFrame, at_most: int | None =
     ``IN`` filter of the scan, which skips row groups of files sorted by term.
     """
     if at_most is not None and at_most <= _PUSHED_TERMS:
-        posting = posting.filter(F.col("term").isin([r["term"] for r in wanted.collect()]))
+        posting = posting.filter(F.col("term").isin([r["term"] for r in wanted.distinct().collect()]))
     else:
         posting = posting.join(wanted, "term", "left_semi")
     return posting.repartition("doc_id")
@@ -164,13 +164,13 @@ def search_postings(
     block is answered on its own: a query is in exactly one block, so its top k
     is final.
     """
-    asked = query_terms(queries)
+    asked = materialise(query_terms(queries), "query-terms")
     # Bounds the broadcast tables before any corpus work: one row per query term.
     size = measure(asked)
     blocks = size.blocks(limits.broadcast_bytes)
 
     def answer(part: DataFrame) -> DataFrame:
-        wanted = F.broadcast(part.select("term").distinct())
+        wanted = F.broadcast(part.select("term"))
         table = posting(wanted) if callable(posting) else stored_postings(posting, wanted, size.rows)
         weights = terms.select("term", "df").join(F.broadcast(part), "term").select(
             "query_id", "term", (idf(F.col("df"), corpus, cfg) * F.col("qtf")).alias("weight")
