@@ -1,2 +1,203 @@
-QUERIES = {}
-ORACLES = {}
+"""Decisions, prompts, external hits, answers and the evaluation run."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import rules
+from ..operators import inference, prompts
+from ..plans.answer import answer_queries, turns_of
+from ..plans.evaluate import evaluate
+from ..sources.external import external_hits, keep_approved, review_items
+from .retrieval import document_index, questions
+from .tables import table
+
+# A query state per document: every mix of score, hits, retries and verdict occurs.
+STATES = """
+SELECT doc_id AS query_id, CAST(n_chars % 150 AS DOUBLE) / 1000 - 0.01 AS best_score, CAST(doc_id % 4 AS INTEGER) AS n_docs,
+  CAST(n_chars % 2 AS INTEGER) AS retry_count,
+  CASE doc_id % 7 WHEN 0 THEN 'SWOT ' WHEN 1 THEN 'competitor' WHEN 2 THEN 'auto' WHEN 3 THEN 'ecosystem'
+    WHEN 4 THEN '' WHEN 5 THEN NULL ELSE 'comparison' END AS label,
+  CASE n_chars % 5 WHEN 0 THEN 'pass' WHEN 1 THEN 'Pass ' WHEN 2 THEN 'pass.' WHEN 3 THEN 'fail' END AS reply,
+  CASE WHEN n_chars % 5 = 4 AND doc_id % 2 = 0 THEN 'timeout' END AS reply_error
+FROM documents
+"""
+
+# Questions made of the texts, with cues and known words in front of some.
+ASKED = """
+SELECT doc_id AS query_id, concat(CASE doc_id % 8 WHEN 0 THEN 'SWOT of ' WHEN 1 THEN 'Who competes with ' WHEN 2 THEN 'Compare fintech and '
+  WHEN 3 THEN 'Map the ecosystem of AI ' WHEN 4 THEN 'healthcare SaaS in ' WHEN 5 THEN 'crypto vs edtech ' ELSE '' END, text) AS query
+FROM documents
+"""
+
+
+def _documents_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return spark.sql(sql.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+
+
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = _documents_sql(spark, sf_dir, STATES)
+    state = state.withColumns({
+        "analysis_type": rules.analysis_type(F.col("label")),
+        "confidence": rules.confidence_band(F.col("best_score"), F.col("n_docs")),
+        "validation_check": rules.verdict(F.col("n_docs"), F.col("best_score"), F.col("reply"), F.col("reply_error")),
+    })
+    gate = (F.col("confidence"), F.col("retry_count"), F.col("analysis_type"), 1)
+    return state.select(
+        "query_id", "analysis_type", "confidence", "validation_check",
+        rules.step_after_confidence(*gate, external=True).alias("after_gate"),
+        rules.step_after_confidence(*gate, external=False).alias("after_gate_offline"),
+        rules.step_after_validation(F.col("validation_check"), F.col("confidence"), F.col("retry_count"), 1)
+        .alias("after_validation"),
+        rules.generation_step(F.col("analysis_type")).alias("after_external"),
+    )
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _documents_sql(spark, sf_dir, ASKED)
+    return asked.select("query_id", rules.analysis_type(inference.classify_by_cues(F.col("query"))).alias("analysis_type"))
+
+
+def expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _documents_sql(spark, sf_dir, ASKED)
+    return asked.select("query_id", inference.expand_by_synonyms(F.col("query")).alias("expanded_query"))
+
+
+def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _documents_sql(spark, sf_dir, ASKED)
+    return asked.select("query_id", inference.rewrite_to_core_terms(F.col("query")).alias("rewritten_query"))
+
+
+def rendered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.element_at(F.array(*[F.lit(t) for t in [*prompts.TEMPLATES, "unknown"]]), (F.col("doc_id") % 7 + 1).cast("int"))
+        .alias("analysis_type"), F.col("source").alias("query"), F.col("text").alias("documents"),
+    )
+    return prompts.add_prompts(docs, on_unknown="report").select("doc_id", "analysis_type", "prompt", "prompt_error")
+
+
+_PAGE_ROWS = """
+SELECT page_id % 40 AS query_id, CAST(page_id // 40 AS INTEGER) AS idx, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+  url, html AS content, CAST(page_id % 10 AS DOUBLE) / 10 AS score FROM pages
+"""
+
+
+def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages dealt to forty questions as their external results."""
+    sql = _PAGE_ROWS.replace("page_id // 40", "page_id div 40").replace("FROM pages", "FROM {pages}")
+    return spark.sql(sql, pages=table(spark, sf_dir, "pages"))
+
+
+def external_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return external_hits(page_results(spark, sf_dir)).select(
+        "query_id", "idx", "doc_id", "text", F.col("metadata")["source"].alias("source"),
+        F.col("metadata")["url"].alias("url"), F.col("metadata")["title"].alias("title"), "score", "confidence", "web_searched",
+    )
+
+
+def approved_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even positions approved; every fifth question approves everything."""
+    rows = page_results(spark, sf_dir)
+    approvals = rows.filter(F.col("idx") % 2 == 0).select(
+        "query_id", F.when(F.col("query_id") % 5 != 0, F.col("idx")).alias("idx")
+    )
+    return review_items(keep_approved(external_hits(rows), approvals))
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = answer_queries(questions(spark, sf_dir), document_index(spark, sf_dir), external=page_results(spark, sf_dir))
+    return done.select(
+        "query_id", "analysis_type", "expanded_query", "retry_count", "confidence", "web_searched", "num_sources",
+        "best_score", "answer", "validation_check",
+    )
+
+
+def answer_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns_of(answer_queries(questions(spark, sf_dir), document_index(spark, sf_dir)))
+
+
+def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts as evaluation items, their own first words expected."""
+    from ..functions.text import tokens
+
+    words = tokens("text")
+    items = questions(spark, sf_dir).select(
+        F.col("query_id").alias("id"), F.col("text").alias("query"), F.lit("similar").alias("analysis_type"),
+        F.slice(words, 1, 3).alias("expected_domains"), F.slice(words, -1, 1).alias("bad_results"),
+        F.array(F.lit("Similar Companies")).alias("expected_sections"), F.lit("benchmark text").alias("description"),
+    )
+    return evaluate(items, document_index(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (
+    routes, classified, expanded, rewritten, rendered_prompts, external_results, approved_results, answers, answer_log,
+    evaluation_run,
+)}
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _cue_case() -> str:
+    whens = []
+    for label, cues in inference.CLASSIFIER_CUES.items():
+        tests = " OR ".join(f"contains(lower(query), {_sql_text(c)})" for c in cues)
+        whens.append(f"WHEN {tests} THEN '{label}'")
+    return f"CASE {' '.join(whens)} ELSE 'similar' END"
+
+
+_KNOWN = ", ".join(f"({_sql_text(k)}, {_sql_text(v)})" for k, v in inference.SYNONYMS.items())
+_WORDS = """
+words AS (SELECT query_id, query, unnest(w) AS term, generate_subscripts(w, 1) AS pos
+  FROM (SELECT query_id, query, regexp_extract_all(lower(query), '[a-z0-9]{2,}') AS w FROM asked)),
+firsts AS (SELECT query_id, term, min(pos) AS pos FROM words GROUP BY ALL)"""
+
+
+def _prompt_case() -> str:
+    whens = []
+    for name, template in prompts.TEMPLATES.items():
+        text = _sql_text(template).replace("{documents}", "' || text || '").replace("{query}", "' || source || '")
+        whens.append(f"WHEN '{name}' THEN {text}")
+    return f"CASE t {' '.join(whens)} END"
+
+
+_TYPES = ", ".join(f"'{t}'" for t in [*prompts.TEMPLATES, "unknown"])
+_EXTERNAL = f"""
+WITH r AS ({_PAGE_ROWS}),
+e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY idx) - 1 AS n FROM r QUALIFY n < 5)"""
+
+ORACLES = {
+    "routes": f"""
+WITH s AS ({STATES}),
+t AS (SELECT *, CASE WHEN lower(trim(label)) IN ('similar', 'swot', 'competitor', 'comparison', 'ecosystem')
+    THEN lower(trim(label)) ELSE 'similar' END AS analysis_type,
+  CASE WHEN n_docs = 0 THEN 'none' WHEN best_score < 0.02::DOUBLE THEN 'none' WHEN best_score < 0.1::DOUBLE THEN 'low' ELSE 'high' END AS confidence,
+  CASE WHEN n_docs = 0 THEN false WHEN best_score <= 0 THEN false WHEN reply_error IS NOT NULL THEN true
+    ELSE coalesce(lower(trim(reply)) = 'pass', false) END AS validation_check FROM s)
+SELECT query_id, analysis_type, confidence, validation_check,
+  CASE WHEN confidence <> 'none' THEN 'generate_' || analysis_type WHEN retry_count < 1 THEN 'rewrite' ELSE 'web_search' END AS after_gate,
+  CASE WHEN confidence <> 'none' THEN 'generate_' || analysis_type WHEN retry_count < 1 THEN 'rewrite' ELSE 'refuse' END AS after_gate_offline,
+  CASE WHEN validation_check OR confidence = 'low' OR retry_count >= 1 THEN 'end' ELSE 'rewrite' END AS after_validation,
+  'generate_' || analysis_type AS after_external FROM t""",
+    "classified": f"WITH asked AS ({ASKED}) SELECT query_id, {_cue_case()} AS analysis_type FROM asked",
+    "expanded": f"""
+WITH asked AS ({ASKED}), {_WORDS}, known(term, extra) AS (VALUES {_KNOWN}),
+more AS (SELECT query_id, string_agg(extra, ' ' ORDER BY pos) AS extra FROM firsts JOIN known USING (term) GROUP BY 1)
+SELECT query_id, CASE WHEN extra IS NULL THEN query ELSE query || ' ' || extra END AS expanded_query
+FROM asked LEFT JOIN more USING (query_id)""",
+    "rewritten": f"""
+WITH asked AS ({ASKED}), {_WORDS},
+core AS (SELECT query_id, string_agg(term, ' ' ORDER BY pos) AS core FROM firsts WHERE length(term) >= 4 GROUP BY 1)
+SELECT query_id, coalesce(core, query) AS rewritten_query FROM asked LEFT JOIN core USING (query_id)""",
+    "rendered_prompts": f"""
+SELECT doc_id, t AS analysis_type, {_prompt_case()} AS prompt,
+  CASE WHEN t = 'unknown' THEN 'unknown analysis type: unknown' END AS prompt_error
+FROM (SELECT *, [{_TYPES}][doc_id % 7 + 1] AS t FROM documents)""",
+    "external_results": f"""{_EXTERNAL}
+SELECT query_id, n::INTEGER AS idx, 'web_' || n::VARCHAR AS doc_id, content AS text, 'web' AS source, url, title, score,
+  'low' AS confidence, true AS web_searched FROM e""",
+    "approved_results": f"""{_EXTERNAL}
+SELECT query_id, n::INTEGER AS idx, CASE WHEN title <> '' THEN title ELSE 'Result ' || (n + 1)::VARCHAR END AS title, url,
+  substring(content, 1, 200) AS snippet FROM e WHERE query_id % 5 = 0 OR n % 2 = 0""",
+}

@@ -1,2 +1,80 @@
-QUERIES = {}
-ORACLES = {}
+"""Conversation history in batch and as streams; index maintenance as a stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..operators.embed import HashedEncoder
+from ..operators.history import record_turns, with_history
+from ..session import scratch_path
+from ..sources.store import IndexStore
+from ..streaming.conversation import append_turns, recent_turns, write_recent
+from ..streaming.index_updates import maintain_index
+from .tables import table, tokens_of
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_history(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "history")
+
+
+def history_in_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every conversation cut into chunks of three turns."""
+    return with_history(table(spark, sf_dir, "conversations"), chunk=3).select("conv_id", "turn", "history")
+
+
+def recorded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user and an assistant row for every document as the answer."""
+    answers = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("conv_id"), (F.col("doc_id") * 2).alias("turn"), F.col("source").alias("user_query"),
+        F.col("text").alias("answer"),
+    )
+    return record_turns(answers)
+
+
+def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "recent")
+    write_recent(recent_turns(_stream(spark, sf_dir, "conversations")), f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/table").select("conv_id", "turn", "history")
+
+
+def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "log")
+    append_turns(_stream(spark, sf_dir, "conversations"), f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/table").select("conv_id", "turn", "role", "text")
+
+
+def index_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "index-stream")
+    docs = _stream(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("meta_lang"))
+    maintain_index(docs, f"{out}/index", f"{out}/checkpoint", "docs", encoder=HashedEncoder(64)).awaitTermination()
+    return IndexStore(spark, f"{out}/index").terms().filter("term IS NOT NULL").select("term", "df")
+
+
+QUERIES = {f.__name__: f for f in (
+    history, history_in_chunks, recorded_turns, history_stream, log_stream, index_stream,
+)}
+
+_HISTORY = """
+WITH lines AS (SELECT conv_id, turn, '  ' || role || ': ' || CASE WHEN role = 'assistant' AND length(text) > 300
+    THEN substring(text, 1, 300) || '…' ELSE text END AS line FROM conversations),
+w AS (SELECT conv_id, turn, list(line) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS l
+  FROM lines)
+SELECT conv_id, turn, CASE WHEN len(l) > 0 THEN 'Recent conversation:' || chr(10) || array_to_string(l, chr(10))
+  || chr(10) || chr(10) ELSE '' END AS history FROM w"""
+
+ORACLES = {
+    "history": _HISTORY,
+    "history_in_chunks": _HISTORY,
+    "recorded_turns": """
+SELECT doc_id AS conv_id, doc_id * 2 AS turn, 'user' AS role, source AS text FROM documents UNION ALL
+SELECT doc_id, doc_id * 2 + 1, 'assistant', text FROM documents""",
+    "history_stream": _HISTORY,
+    "log_stream": "SELECT conv_id, turn, role, text FROM conversations",
+    "index_stream": f"""
+SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({tokens_of('text')}) AS term FROM documents) GROUP BY 1""",
+}

@@ -160,4 +160,4 @@ def verdict_by_coverage(answer: Column, sources: Column, share: float) -> Column
 
 def score_text(c: Column) -> Column:
     """A share as a judge would write it."""
-    return F.format_number(F.round(c, 3), "0.000")
+    return F.format_string("%.3f", c)
