@@ -67,7 +67,7 @@ class HashedEncoder:
         )
         flat = np.repeat(np.arange(len(texts)) * self.dim, lengths) + (slots >> 1)
         counts = np.bincount(flat, weights=1.0 - 2.0 * (slots & 1), minlength=len(texts) * self.dim)
-        vectors = counts.reshape(len(texts), self.dim)
+        vectors = counts.astype(np.float64).reshape(len(texts), self.dim)
         norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
         return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 
