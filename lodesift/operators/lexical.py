@@ -8,6 +8,7 @@ spread as the documents are.  Per task only ``k`` hits of each query leave.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,7 +19,7 @@ from ..functions.numbers import rounded
 from ..functions.text import tokens
 from ..session import materialise
 from .nearest import best_first
-from .sizing import measure
+from .sizing import measure, shard_of
 
 
 def tokenise(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -135,43 +136,40 @@ def score_postings(
     return best_first(scored, k)
 
 
-# Up to this many terms are named in the scan filter itself.
-_PUSHED_TERMS = 1000
-
-
-def stored_postings(posting: DataFrame, wanted: DataFrame, at_most: int | None = None) -> DataFrame:
+def stored_postings(posting: DataFrame, wanted: DataFrame, shards: int | None = None) -> DataFrame:
     """Postings of the wanted terms, spread by document.
 
-    ``at_most`` bounds the number of wanted terms.  A short list becomes an
-    ``IN`` filter of the scan, which skips row groups of files sorted by term.
+    With ``shards`` the stored rows lie in folders by a hash of the term, and
+    partition pruning at run time reads the folders of the wanted terms only.
     """
-    if at_most is not None and at_most <= _PUSHED_TERMS:
-        posting = posting.filter(F.col("term").isin([r["term"] for r in wanted.distinct().collect()]))
-    else:
-        posting = posting.join(wanted, "term", "left_semi")
-    return posting.repartition("doc_id")
+    keys = ["term"]
+    if shards:
+        keys = ["shard", "term"]
+        # True for every token, but Spark prunes at run time only by a side with a filter.
+        wanted = wanted.filter(F.length("term") > 1)
+        wanted = F.broadcast(wanted.withColumn("shard", shard_of("term", shards)))
+    return posting.join(wanted, keys, "left_semi").drop("shard").repartition("doc_id")
 
 
 def search_postings(
-    posting, queries: DataFrame, terms: DataFrame, corpus: Corpus, k: int, *,
+    posting: Callable[[DataFrame], DataFrame], queries: DataFrame, terms: DataFrame, corpus: Corpus, k: int, *,
     cfg: LexicalConfig = LexicalConfig(), decimals: int = RetrievalConfig.decimals, limits: SizeLimits = SizeLimits(),
 ) -> DataFrame:
     """BM25 for a table of queries.
 
-    ``posting`` is a stored postings table, or a function that builds one for a
-    given set of terms.  The query side is broadcast when its measured size
+    ``posting`` gives the postings of a set of terms, spread by document:
+    :func:`postings` from texts or :func:`stored_postings`.  The query side is broadcast when its measured size
     allows it; otherwise the queries are cut into blocks that do, and each
     block is answered on its own: a query is in exactly one block, so its top k
     is final.
     """
     asked = materialise(query_terms(queries), "query-terms")
     # Bounds the broadcast tables before any corpus work: one row per query term.
-    size = measure(asked)
-    blocks = size.blocks(limits.broadcast_bytes)
+    blocks = measure(asked).blocks(limits.broadcast_bytes)
 
     def answer(part: DataFrame) -> DataFrame:
         wanted = F.broadcast(part.select("term"))
-        table = posting(wanted) if callable(posting) else stored_postings(posting, wanted, size.rows)
+        table = posting(wanted)
         weights = terms.select("term", "df").join(F.broadcast(part), "term").select(
             "query_id", "term", (idf(F.col("df"), corpus, cfg) * F.col("qtf")).alias("weight")
         )

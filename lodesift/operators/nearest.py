@@ -15,7 +15,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..config import RetrievalConfig, SizeLimits
 from ..functions.numbers import rounded
@@ -275,6 +275,24 @@ def assign_cells(vectors: DataFrame, cells: PlaneCells | CentroidCells) -> DataF
     return vectors.mapInArrow(run, schema)
 
 
+def write_cells(celled: DataFrame, path: str, file_rows: int = 1_000_000) -> None:
+    """Store assigned vectors in one folder per cell.
+
+    Large cells are written by several tasks, as many as their measured size
+    asks for.  A search over the stored table reads only the probed folders.
+    """
+    # One row per cell, as many as there are centroids or sign patterns.
+    parts = F.broadcast(celled.groupBy("cell").count().select(
+        "cell", F.ceil(F.col("count") / file_rows).cast("int").alias("__files")
+    ))
+    spread = celled.join(parts, "cell").withColumn("__file", F.pmod(F.xxhash64("doc_id"), F.col("__files")))
+    spread.repartition("cell", "__file").drop("__files", "__file").write.mode("overwrite").partitionBy("cell").parquet(path)
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).withColumn("cell", F.col("cell").cast("long"))
+
+
 def probe_cells(queries: DataFrame, cells: PlaneCells | CentroidCells, probes: int) -> DataFrame:
     """``query_id, embedding, cell``: one row per query and cell to search."""
     schema = T.StructType([

@@ -8,21 +8,25 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..config import RetrievalConfig
+from ..config import RetrievalConfig, SizeLimits
 from ..functions.numbers import rounded
 from ..functions.text import tokens
+from .sizing import broadcast_if_small
 
 PairModel = Callable[[list[str], list[str]], np.ndarray]
 
 
-def overlap_weights(queries: DataFrame, terms: DataFrame, n_docs: int) -> DataFrame:
+def overlap_weights(
+    queries: DataFrame, terms: DataFrame, n_docs: int, limits: SizeLimits = SizeLimits(),
+) -> DataFrame:
     """Per query its distinct terms with ``ln(1 + N / (1 + df))``, as one array.
 
-    The array is as long as the query; unknown terms have df 0.
+    The array is as long as the query; unknown terms have df 0.  The vocabulary
+    is cut to the asked terms where it lies, before the outer join.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    known = terms.select("term", "df").filter("term is not null")
-    # The vocabulary is the larger side: a shuffle by term, balanced since terms are unique in it.
+    wanted = broadcast_if_small(asked.select("term"), limits.broadcast_bytes)
+    known = terms.select("term", "df").join(wanted, "term", "left_semi")
     weighted = asked.join(known, "term", "left").select(
         "query_id", F.struct(
             "term", F.ln(1 + F.lit(n_docs) / (1 + F.coalesce("df", F.lit(0)))).alias("weight")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import ceil
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 _ROW_OVERHEAD = 48
 _FIXED = 16
@@ -56,3 +56,8 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     splits skewed partitions of the larger one.
     """
     return F.broadcast(df) if fits(df, limit) else df
+
+
+def shard_of(key: str, shards: int) -> Column:
+    """Shard of a key: the folder of a stored table that holds its rows."""
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(shards)).cast("int")

@@ -24,6 +24,10 @@ _SEPARATOR = "\n\n---\n\n"
 _CARRIED = ["query_id", "user_query", "history", "analysis_type", "expanded_query", "retry_count"]
 
 
+# Steps after which a question is done.
+_FINAL = ["end", "refuse"]
+
+
 def _texts(docs: Column) -> Column:
     return F.transform(docs, lambda d: d["text"])
 
@@ -123,24 +127,25 @@ def answer_queries(
         state = materialise(state, "questions")
     done = _pass(state, index, cfg, models, use_external, "first", **options)
     # Later passes hold only what the pass before left over; their number is fixed.
-    finished = [done.filter(F.col("step") == "end")]
+    finished = [done.filter(F.col("step").isin(_FINAL))]
     for attempt in range(cfg.max_retries):
+        if done.filter(F.col("step") == "rewrite").isEmpty():
+            break
         again = rewrite(done.filter(F.col("step") == "rewrite").select(*_CARRIED), models)
         if models.rewrite:
             again = materialise(again, "rewritten")
         done = _pass(again, index, cfg, models, use_external, f"retry{attempt + 1}", **options)
-        finished.append(done.filter(F.col("step") == "end"))
-    finished.append(
-        done.filter(F.col("step") == "refuse").withColumns({"answer": F.lit(prompts.REFUSAL)})
-    )
-    if use_external:
-        finished.append(_from_external(done.filter(F.col("step") == "web_search"), external, approvals, cfg, models))
+        finished.append(done.filter(F.col("step").isin(_FINAL)))
+    searching = done.filter(F.col("step") == "web_search")
+    if use_external and not searching.isEmpty():
+        finished.append(_from_external(searching, external, approvals, cfg, models))
     columns = [*_CARRIED, "docs", "best_score", "mean_score", "confidence", "web_searched", "answer",
                "validation_check", "step", "error"]
     result = finished[0].select(*columns)
     for part in finished[1:]:
         result = result.unionByName(part.select(*columns))
-    return result.withColumn("num_sources", F.size("docs"))
+    refused = F.when(F.col("step") == "refuse", F.lit(prompts.REFUSAL)).otherwise(F.col("answer"))
+    return result.withColumns({"answer": refused, "num_sources": F.size("docs")})
 
 
 def _from_external(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.documents import build_documents, dense_ids
 from ..operators.embed import Encoder, HashedEncoder, embed
-from ..operators.lexical import Corpus, corpus_statistics, postings, read_corpus, term_statistics
+from ..operators.lexical import Corpus, corpus_statistics, postings, read_corpus, stored_postings, term_statistics
 from ..session import materialise
 from ..sources.catalog import first_rows
 from ..sources.store import IndexStore
@@ -17,17 +17,15 @@ from ..sources.store import IndexStore
 
 @dataclass(frozen=True)
 class Index:
-    """Tables a retrieval job reads.
-
-    ``postings`` is a table, or a function from wanted terms to one.
-    """
+    """Tables a retrieval job reads; ``postings`` gives those of wanted terms."""
 
     documents: DataFrame
     vectors: DataFrame
     terms: DataFrame
     corpus: Corpus
-    postings: DataFrame | Callable[[DataFrame], DataFrame]
+    postings: Callable[[DataFrame], DataFrame]
     encoder: Encoder
+    document_shards: int | None = None
 
 
 def index_of(docs: DataFrame, encoder: Encoder | None = None) -> Index:
@@ -52,11 +50,12 @@ def index_of(docs: DataFrame, encoder: Encoder | None = None) -> Index:
 def open_index(spark: SparkSession, path: str, encoder: Encoder | None = None) -> Index:
     """A stored index; pass the encoder it was built with."""
     store = IndexStore(spark, path)
-    terms = store.terms()
+    terms, shards = store.terms(), store.shards()
     return Index(
         documents=store.documents(), vectors=store.vectors(), terms=terms,
-        corpus=read_corpus(corpus_statistics(terms)), postings=store.postings(),
-        encoder=encoder or HashedEncoder(),
+        corpus=read_corpus(corpus_statistics(terms)),
+        postings=lambda wanted: stored_postings(store.postings(), wanted, shards),
+        encoder=encoder or HashedEncoder(), document_shards=shards,
     )
 
 

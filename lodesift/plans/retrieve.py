@@ -10,10 +10,11 @@ from ..functions.text import tokens
 from ..operators.documents import where as apply_where
 from ..operators.embed import embed
 from ..operators.fusion import fuse
-from ..operators.lexical import search_postings, stored_postings
+from ..operators.lexical import search_postings
 from ..operators.nearest import nearest
 from ..operators.rerank import PairModel, cut, model_scores, overlap_score, overlap_weights, query_scores, split_by_need
-from ..operators.sizing import measure
+from ..operators.sizing import measure, shard_of
+from ..session import materialise
 from .index import Index
 
 # Bytes of one candidate row (ids, rank, score) in a broadcast table.
@@ -24,7 +25,10 @@ def semantic_list(
     queries: DataFrame, index: Index, k: int, where: dict[str, object] | None = None,
     cfg: RetrievalConfig = RetrievalConfig(), limits: SizeLimits = SizeLimits(),
 ) -> DataFrame:
-    embedded = embed(queries.select("query_id", "text"), index.encoder)
+    # Stored once: its size is measured before it is used, and the model runs once per query.
+    embedded = materialise(
+        embed(queries.select("query_id", "text"), index.encoder).select("query_id", "embedding"), "query-vectors"
+    )
     return nearest(index.vectors, embedded, k, where=where, decimals=cfg.decimals, limits=limits)
 
 
@@ -38,8 +42,7 @@ def lexical_list(
         source = posting
 
         def posting(wanted: DataFrame) -> DataFrame:
-            rows = source(wanted) if callable(source) else stored_postings(source, wanted)
-            return rows.join(allowed, "doc_id", "left_semi")
+            return source(wanted).join(allowed, "doc_id", "left_semi")
 
     return search_postings(
         posting, queries, index.terms, index.corpus, k, cfg=cfg.lexical, decimals=cfg.decimals, limits=limits,
@@ -81,7 +84,7 @@ def hybrid_hits(
         )
     pairs = _with_text(split_by_need(candidates, cfg.top_k), queries, index, cfg, limits)
     if pair_model is None:
-        weights = overlap_weights(queries, index.terms, index.corpus.n_docs)
+        weights = overlap_weights(queries, index.terms, index.corpus.n_docs, limits)
         scored = (
             pairs.withColumn("doc_tokens", F.array_distinct(tokens("text")))
             .join(weights, "query_id", "left")
@@ -107,8 +110,13 @@ def _with_text(
     queries bounds them: when they are few, they go to where the texts are.
     """
     bound = measure(queries.select("query_id")).rows * max(cfg.candidates, cfg.top_k) * _CANDIDATE_BYTES
+    keys = ["doc_id"]
+    if index.document_shards:
+        # Stored documents lie in folders by shard; the join reads only those asked for.
+        keys = ["shard", "doc_id"]
+        candidates = candidates.withColumn("shard", shard_of("doc_id", index.document_shards))
     small = F.broadcast(candidates) if bound <= limits.broadcast_bytes else candidates
-    return index.documents.select("doc_id", "text").join(small, "doc_id")
+    return index.documents.select(*keys, "text").join(small, keys).drop("shard")
 
 
 def retrieval_results(queries: DataFrame, hits: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:

@@ -6,6 +6,11 @@ frequencies and totals, summed on read).  Every write goes to its own
 ``batch=<label>`` partition, so appends never rewrite what is there and a
 repeated write of a batch replaces exactly itself.  ``documents`` is written
 last and marks a batch as complete.
+
+Below a batch, documents are split into folders by a hash of the id and
+postings by a hash of the term.  Fetching the texts of some hits, or the
+postings of some terms, then reads the folders of those keys and no others.
+The number of folders follows from the size of the first batch.
 """
 
 from __future__ import annotations
@@ -17,10 +22,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import SizeLimits
 from ..operators.embed import Encoder, embed
 from ..operators.lexical import postings, term_statistics
-from ..operators.sizing import broadcast_if_small
+from ..operators.sizing import broadcast_if_small, measure, shard_of
 from ..session import materialise
 
 TABLES = ("terms", "postings", "vectors", "documents")
+SHARD_BYTES = 256 << 20
+MAX_SHARDS = 10_000
 
 
 @dataclass(frozen=True)
@@ -75,6 +82,9 @@ class IndexStore:
         )
         return docs.join(seen, "doc_id", "left_anti")
 
+    def shards(self) -> int:
+        return self.spark.read.parquet(self._table("settings")).first()["shards"]
+
     def append(
         self, docs: DataFrame, batch: str, encoder: Encoder | None = None, limits: SizeLimits = SizeLimits(),
     ) -> None:
@@ -85,13 +95,26 @@ class IndexStore:
         ``docs``.
         """
         docs = materialise(self.only_new(docs, batch, limits), "new-documents")
+        if self.exists():
+            shards = self.shards()
+        else:
+            shards = min(MAX_SHARDS, max(1, measure(docs).bytes // SHARD_BYTES))
+            setting = self.spark.range(1).select(F.lit(shards).cast("int").alias("shards"))
+            setting.write.mode("overwrite").parquet(self._table("settings"))
         meta = [c for c in docs.columns if c.startswith("meta_")]
-        # Sorted by term, row groups carry narrow term ranges and unasked ones are skipped.
-        posting = postings(docs).sortWithinPartitions("term")
+        # A frequent term fills its folder with many files: tasks take rows by document.
+        posting = (
+            postings(docs).withColumn("shard", shard_of("term", shards)).sortWithinPartitions("shard", "term")
+        )
         vectors = embed(docs.select("doc_id", "text", *meta), encoder).drop("text")
-        parts = {"terms": term_statistics(docs), "postings": posting, "vectors": vectors, "documents": docs}
-        for name in TABLES:
-            parts[name].write.mode("overwrite").parquet(f"{self._table(name)}/batch={batch}")
+        stored = docs.withColumn("shard", shard_of("doc_id", shards)).repartition(shards, "shard")
+        self._write(term_statistics(docs), "terms", batch)
+        self._write(posting, "postings", batch, "shard")
+        self._write(vectors, "vectors", batch)
+        self._write(stored, "documents", batch, "shard")
+
+    def _write(self, df: DataFrame, name: str, batch: str, *folders: str) -> None:
+        df.write.mode("overwrite").partitionBy(*folders).parquet(f"{self._table(name)}/batch={batch}")
 
     def reset(self, docs: DataFrame, batch: str = "initial", encoder: Encoder | None = None) -> None:
         """Replace the whole index."""
@@ -101,6 +124,6 @@ class IndexStore:
     def clear(self) -> None:
         """Remove all tables of the index."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in reversed(TABLES):
+        for name in ("settings", *reversed(TABLES)):
             where = jvm.org.apache.hadoop.fs.Path(self._table(name))
             where.getFileSystem(conf).delete(where, True)

@@ -14,8 +14,8 @@ from lodesift.operators.embed import HashedEncoder, embed
 from lodesift.operators.fusion import fuse
 from lodesift.operators.lexical import bm25_search
 from lodesift.operators.nearest import (
-    CentroidCells, PlaneCells, assign_cells, nearest, nearest_approximate, nearest_post_filtered, recall_at_k,
-    train_cells,
+    CentroidCells, PlaneCells, assign_cells, nearest, nearest_approximate, nearest_post_filtered, read_cells, recall_at_k,
+    train_cells, write_cells,
 )
 from lodesift.operators.rerank import cut, query_scores, split_by_need
 from lodesift.operators.sizing import broadcast_if_small, measure
@@ -270,6 +270,31 @@ def test_l2_stored_index(spark, tmp_path, rows):
     assert build_index(records, path, encoder=HashedEncoder(32), limit=7, reset=True) == 7
 
 
+def test_stored_index_reads_only_wanted_shards(spark, tmp_path, rows, monkeypatch):
+    monkeypatch.setattr("lodesift.sources.store.SHARD_BYTES", 500)
+    docs = spark.createDataFrame([(f"d{n}", f"term{n} shared") for n in range(100)], "doc_id string, text string")
+    store = IndexStore(spark, str(tmp_path / "index"))
+    store.append(docs, "one", HashedEncoder(16))
+    assert store.shards() > 5
+    index = open_index(spark, store.path, HashedEncoder(16))
+    asked = spark.createDataFrame([(0, "term7")], "query_id long, text string")
+    hits = hybrid_hits(asked, index)
+    assert rows(hits, "query_id", "rank", "doc_id") == rows(hybrid_hits(asked, index_of(docs, HashedEncoder(16))), "query_id", "rank", "doc_id")
+    assert hits.orderBy("rank").first()["doc_id"] == "d7"
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("dynamicpruningexpression(shard") >= 2
+
+
+def test_stored_cells_are_pruned(vectors, rows, spark, tmp_path):
+    asked = vectors.filter("doc_id = 1").select(F.col("doc_id").alias("query_id"), "embedding")
+    cells = PlaneCells(8, 3)
+    celled = assign_cells(vectors, cells)
+    write_cells(celled, str(tmp_path / "cells"), file_rows=3)
+    stored = read_cells(spark, str(tmp_path / "cells"))
+    found = nearest_approximate(stored, asked, 3, cells, probes=2)
+    assert rows(found) == rows(nearest_approximate(celled, asked, 3, cells, probes=2))
+
+
 def test_sizes(spark):
     df = spark.createDataFrame([("abc", [1.0, 2.0]), (None, None)], "t string, v array<double>")
     size = measure(df)
