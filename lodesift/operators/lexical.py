@@ -105,7 +105,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, only_terms: DataFrame | None = None) -> DataFrame:
     """``doc_id, doc_len, term, tf``, spread by document in a single shuffle."""
-    exploded = tokenise(docs).select("doc_id", "doc_len", F.explode("tokens").alias("term"))
+    # The outer form: for a plain explode Spark infers a filter on the array and
+    # evaluates the token pattern a second time to test it.
+    exploded = (
+        tokenise(docs).select("doc_id", "doc_len", F.explode_outer("tokens").alias("term"))
+        .filter(F.col("term").isNotNull())
+    )
     if only_terms is not None:
         exploded = exploded.join(only_terms, "term", "left_semi")
     return (

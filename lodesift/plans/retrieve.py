@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import RetrievalConfig, SizeLimits
 from ..functions.rules import confidence_band
 from ..functions.text import tokens
+from ..operators.clean import computed_once
 from ..operators.documents import where as apply_where
 from ..operators.embed import embed
 from ..operators.fusion import fuse
@@ -85,8 +86,9 @@ def hybrid_hits(
     pairs = _with_text(split_by_need(candidates, cfg.top_k), queries, index, cfg, limits)
     if pair_model is None:
         weights = overlap_weights(queries, index.terms, index.corpus.n_docs, limits)
+        # Once per pair: inside the lambda of the score it would be repeated per query term.
         scored = (
-            pairs.withColumn("doc_tokens", F.array_distinct(tokens("text")))
+            computed_once(pairs, {"doc_tokens": F.array_distinct(tokens("text"))})
             .join(weights, "query_id", "left")
             .withColumn("rerank_score", F.when(F.col("needs_rerank"), F.coalesce(
                 overlap_score(F.col("query_weights"), F.col("doc_tokens"), cfg.decimals), F.lit(0.0)
