@@ -136,14 +136,18 @@ def hybrid_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"), "rerank_score")
 
 
-def stored_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid hits out of an index that was written to disk and opened again."""
-    records = corpus(spark, sf_dir).selectExpr(
+def company_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as flagged company records, the text as the description."""
+    return corpus(spark, sf_dir).selectExpr(
         "doc_id AS startup_id", "doc_id AS ordinal", "'' AS name", "'' AS industry", "'' AS tags", "meta_lang AS country",
         "CAST(NULL AS INT) AS founded_year", "text AS description", "'given' AS source", "false AS is_suspicious",
     )
+
+
+def stored_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid hits out of an index that was written to disk and opened again."""
     path = scratch_path(spark, "index")
-    build_index(records, path, encoder=HashedEncoder(DIM), id_col="startup_id", reset=True)
+    build_index(company_records(spark, sf_dir), path, encoder=HashedEncoder(DIM), id_col="startup_id", reset=True)
     index = open_index(spark, path, HashedEncoder(DIM))
     hits = hybrid_hits(questions(spark, sf_dir), index)
     return hits.select("query_id", "rank", "doc_id", "rerank_score")
@@ -276,38 +280,38 @@ near AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_i
   QUALIFY rank <= {K})"""
 
 ORACLES = {
-    "bm25_topk": f"WITH {_bm25(k=K)} SELECT query_id, doc_id, score, rank FROM bm",
+    "bm25_topk": f"WITH {_bm25(k=K)} SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM bm",
     "bm25_terms": f"WITH {_bm25()} SELECT term, df, round(idf, 6) AS idf FROM idfs",
     "bm25_corpus": f"""WITH {_bm25()} SELECT (SELECT n FROM st)::BIGINT AS n_docs, (SELECT sum(dl) FROM dl)::BIGINT AS total_length,
   (SELECT count(*) FROM dfs) AS n_terms, (SELECT round(avgdl, 6) FROM st) AS avgdl, (SELECT round(a, 6) FROM avgidf) AS avg_idf""",
     "bm25_query_terms": f"WITH {_bm25()} SELECT query_id, term, qtf FROM qt",
-    "cosine_topk": f"WITH {_cosine()} SELECT query_id, doc_id, score, rank FROM top",
-    "cosine_topk_filtered": f"WITH {_cosine('d.label = 3')} SELECT query_id, doc_id, score, rank FROM top",
+    "cosine_topk": f"WITH {_cosine()} SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM top",
+    "cosine_topk_filtered": f"WITH {_cosine('d.label = 3')} SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM top",
     "cosine_topk_post_filtered": f"""WITH {_cosine(k=3 * K)}, kept AS (SELECT query_id, doc_id, score,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place
   FROM top WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE label = 3) QUALIFY place <= {K})
-SELECT query_id, doc_id, score, place AS rank FROM kept""",
+SELECT query_id, doc_id, score, place::INTEGER AS rank FROM kept""",
     "unit_vectors": f"""WITH {_cosine()} SELECT vec_id AS doc_id, i::INTEGER AS dim, round(v[i + 1] / n, 6) + 0 AS value
   FROM u, range(64) t(i)""",
-    "cosine_plane_cells": f"WITH {_cosine()}, {_PLANES} SELECT query_id, doc_id, score, rank FROM near",
+    "cosine_plane_cells": f"WITH {_cosine()}, {_PLANES} SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM near",
     "embedded_documents": f"""WITH {_hashed('d', 'documents', 'doc_id')}
 SELECT doc_id, bucket::INTEGER AS bucket, round(v, 6) AS value FROM d_vec""",
-    "semantic_topk": f"WITH {_semantic(k=K)} SELECT query_id, doc_id, score, rank FROM sem",
-    "fused_topk": f"WITH {_bm25()}, {_semantic()}, {_FUSED} SELECT query_id, doc_id, score, rank FROM fused",
+    "semantic_topk": f"WITH {_semantic(k=K)} SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM sem",
+    "fused_topk": f"WITH {_bm25()}, {_semantic()}, {_FUSED} SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM fused",
     "fused_equal_weights": f"""WITH {_cosine()},
 other AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
   FROM cosine WHERE label = 3 QUALIFY rank <= {K}),
 entries AS (SELECT query_id, doc_id, 0 AS list_id, rank FROM top UNION ALL SELECT query_id, doc_id, 1, rank FROM other),
 merged AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf_score, min(list_id * 100000 + rank) AS seen
   FROM entries GROUP BY ALL)
-SELECT query_id, doc_id, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, seen) AS rank
+SELECT query_id, doc_id, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, seen)::INTEGER AS rank
 FROM merged QUALIFY rank <= {K}""",
-    "hybrid_topk": f"WITH {hybrid_ctes()} SELECT query_id, rank, doc_id, score, rerank_score FROM hits",
+    "hybrid_topk": f"WITH {hybrid_ctes()} SELECT query_id, rank::INTEGER AS rank, doc_id, score, rerank_score FROM hits",
     "hybrid_topk_filtered": f"""WITH {hybrid_ctes("{d}.lang = 'en'")}
-SELECT query_id, rank, doc_id, score, rerank_score FROM hits""",
+SELECT query_id, rank::INTEGER AS rank, doc_id, score, rerank_score FROM hits""",
     "stored_index_topk": f"""WITH stored AS {_STORED}, {hybrid_ctes().replace('FROM documents', 'FROM stored').replace(
         'CROSS JOIN documents x', 'CROSS JOIN stored x')}
-SELECT query_id, rank, doc_id, rerank_score FROM hits""",
+SELECT query_id, rank::INTEGER AS rank, doc_id, rerank_score FROM hits""",
     "retrieval_confidence": f"""WITH {hybrid_ctes()} {_CONFIDENCE}
 SELECT b.item_id AS query_id, coalesce(n_docs, 0)::INTEGER AS n_docs, coalesce(best_score, 1.0) AS best_score,
   coalesce(mean_score, 1.0) AS mean_score,
