@@ -95,7 +95,8 @@ class IndexStore:
         ``docs``.
         """
         docs = materialise(self.only_new(docs, batch, limits), "new-documents")
-        if self.exists():
+        first = not self.exists()
+        if not first:
             shards = self.shards()
         else:
             shards = min(MAX_SHARDS, max(1, measure(docs).bytes // SHARD_BYTES))
@@ -107,7 +108,9 @@ class IndexStore:
             postings(docs).withColumn("shard", shard_of("term", shards)).sortWithinPartitions("shard", "term")
         )
         vectors = embed(docs.select("doc_id", "text", *meta), encoder).drop("text")
-        stored = docs.withColumn("shard", shard_of("doc_id", shards)).repartition(shards, "shard")
+        stored = docs.withColumn("shard", shard_of("doc_id", shards))
+        # The first batch gets a task per shard; later ones as many as their size asks for.
+        stored = stored.repartition(shards, "shard") if first else stored.repartition("shard")
         self._write(term_statistics(docs), "terms", batch)
         self._write(posting, "postings", batch, "shard")
         self._write(vectors, "vectors", batch)

@@ -76,6 +76,7 @@ def test_t3_bm25(docs, queries, rows, limits):
 def test_bm25_plan(docs, queries):
     plan = bm25_search(docs, queries, 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "Filter (size(regexp_extract_all" not in plan        # tokens are made once
     assert "ArrowEvalPython" not in plan and "MapInArrow" not in plan
     # Postings once by document, hits once by query.
     assert plan.count("Exchange hashpartitioning(doc_id") == 1 and plan.count("Exchange hashpartitioning(query_id") == 1
