@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,8 +27,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, laptops) a temporary folder is created and registered.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a
+    local master (tests, laptops) gets a temporary folder; any other master is
+    an error, because executors do not see a folder of the driver's machine.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -37,6 +39,8 @@ def scratch_root(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if current is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lodesift-"))
         current = context.getCheckpointDir()
     return current
