@@ -106,8 +106,9 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def words_of(texts: Texts) -> Words:
-    inside = ~_SPACE[texts.data]
+def words_of(texts: Texts, space: np.ndarray = _SPACE) -> Words:
+    """Runs of bytes for which ``space`` is false, none across texts."""
+    inside = ~space[texts.data]
     m = len(inside)
     begins, ends = inside.copy(), inside.copy()
     if m:
