@@ -3,8 +3,8 @@
 Features of a whole text: densities of a learned and weighted lexicon, how near
 its words stand to second-person words, rates of capitals, of punctuation and of
 obfuscated spellings.  The lexicon are the words that labelled toxic texts use
-significantly more often.  Lexicon and trees learn from one part of the labelled
-rows, the calibration from another.  At most about ``TRAIN_ROWS`` labelled rows
+significantly more often, besides common insults.  Lexicon, trees and calibration
+learn from different parts of the labelled rows.  At most about ``TRAIN_ROWS`` labelled rows
 are used, picked by a hash of the id; every document is scored where it is read.
 """
 
@@ -26,15 +26,25 @@ from .words import Texts, Words, slices, span_hashes, words_of
 
 TRAIN_ROWS = 40_000
 #: Words of the lexicon at most, and the significance each needs.
-LEXICON_WORDS, LEXICON_Z = 1000, 4.0
+LEXICON_WORDS, LEXICON_Z = 1000, 3.0
 TREES, DEPTH, STEP = 25, 4, 0.3
 THRESHOLD = 0.3
+#: Words that begin alike are also looked up as one entry of the lexicon.
+STEM = 5
 
 #: Second-person words of the corpus languages.
 SECOND_PERSON = """
 you your yours yourself yourselves u ur du dich dir dein deine deinen deiner ihr euch euer eure
 tu te toi ton ta tes vous votre vos ti tus usted ustedes vosotros vuestro
 """.split()
+#: Common insults, in the lexicon whatever the labels say, with the weight of one that no label has shown.
+INSULTS = """
+idiot idiots idiotic moron morons stupid stupidity dumb dumbass fool fools loser losers pathetic worthless scum trash
+garbage clown clowns disgusting filth filthy vermin ugly imbecile cretin jerk asshole bastard bitch shit crap fuck
+fucking retard retarded coward liar hate dummkopf trottel abschaum wertlos schwachkopf arschloch dreckig hasse
+imbecile idiote connard salaud ordure minable inutile stupide merde abruti imbecil estupido basura asqueroso inutil
+""".split()
+INSULT_WEIGHT = 3.0
 #: Characters that stand for letters in disguised spellings.
 DISGUISE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 
@@ -67,6 +77,7 @@ class _Spans:
     words: Words
     raw: np.ndarray  # hash as written, lower case
     plain: np.ndarray  # hash with stand-ins read as letters
+    stem: np.ndarray  # hash of the first STEM bytes of that, apart from those of whole words
     mixed: np.ndarray  # letters and stand-ins in one word
 
 
@@ -87,7 +98,8 @@ def _spans(texts: Texts) -> _Spans:
     if mixed.any():
         plain = raw.copy()
         plain[mixed] = span_hashes(_PLAIN[low.data], words.starts[mixed], ends[mixed])
-    return _Spans(words, raw, plain, mixed)
+    stem = span_hashes(_PLAIN[low.data] if mixed.any() else low.data, words.starts, np.minimum(ends, words.starts + STEM)) ^ np.uint64(1)
+    return _Spans(words, raw, plain, stem, mixed)
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -110,7 +122,8 @@ def learn_lexicon(labelled: DataFrame) -> Lexicon:
             for piece, texts in slices(batch):
                 spans = _spans(texts)
                 toxic = piece.column(piece.schema.get_field_index("toxic")).to_numpy(zero_copy_only=False)
-                pairs = np.unique(np.rec.fromarrays((spans.words.text_of(), spans.plain)))
+                owner = spans.words.text_of()
+                pairs = np.unique(np.rec.fromarrays((np.tile(owner, 2), np.concatenate((spans.plain, spans.stem)))))
                 hashes, at = np.unique(pairs.f1, return_inverse=True)
                 one = toxic[pairs.f0] == 1
                 found.append((hashes, np.bincount(at, one, len(hashes)), np.bincount(at, ~one, len(hashes))))
@@ -127,9 +140,11 @@ def learn_lexicon(labelled: DataFrame) -> Lexicon:
     words = labelled.mapInArrow(run, "word long, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     picked = words.select("word", odds.alias("weight"), (odds / spread).alias("z")).filter(F.col("z") >= LEXICON_Z)
     rows = picked.orderBy(F.desc("z"), "word").limit(LEXICON_WORDS).collect()
-    hashes = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
+    known = {h: INSULT_WEIGHT for h in _hashes(sorted(set(INSULTS))).view(np.int64).tolist()}
+    known |= {r["word"]: r["weight"] for r in rows}
+    hashes, weights = np.array(list(known), np.int64).view(np.uint64), np.array(list(known.values()))
     order = np.argsort(hashes)
-    return Lexicon(hashes[order], np.array([r["weight"] for r in rows])[order])
+    return Lexicon(hashes[order], weights[order])
 
 
 def text_features(texts: Texts, lexicon: Lexicon) -> np.ndarray:
@@ -138,9 +153,9 @@ def text_features(texts: Texts, lexicon: Lexicon) -> np.ndarray:
     words, n = spans.words, spans.words.counts
     most = np.maximum(n, 1)
     weight = np.zeros(len(spans.plain))
-    if len(lexicon.words):
-        place = np.minimum(np.searchsorted(lexicon.words, spans.plain), len(lexicon.words) - 1)
-        weight = np.where(lexicon.words[place] == spans.plain, lexicon.weights[place], 0.0)
+    for entry in (spans.plain, spans.stem):
+        place = np.minimum(np.searchsorted(lexicon.words, entry), len(lexicon.words) - 1)
+        weight = np.maximum(weight, np.where(lexicon.words[place] == entry, lexicon.weights[place], 0.0))
     hit = weight > 0
     you = np.isin(spans.raw, _YOU)
     owner = words.text_of()
@@ -212,20 +227,22 @@ def _probability(trees, rows: DataFrame) -> DataFrame:
 
 
 def fit(labelled: DataFrame) -> Scorer:
-    """A scorer from rows (doc_id, text, toxic): four fifths for lexicon and trees, the rest for the calibration.
+    """A scorer from rows (doc_id, text, toxic): two fifths for the lexicon, two for the trees, one for the calibration.
+
+    So the trees see how well the lexicon does on texts it was not learned from.
 
     With one class only, or no rows, the score is the share of toxic rows.
     """
     part = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(5))
     labelled = materialise(labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), part.alias("part")), "toxicity-labelled")
-    lexicon = learn_lexicon(labelled.filter("part < 4"))
-    rows = materialise(features(labelled, lexicon), "toxicity-features")
+    lexicon = learn_lexicon(labelled.filter("part < 2"))
+    rows = materialise(features(labelled.filter("part >= 2"), lexicon), "toxicity-features")
     counts = {(r["old"], r["toxic"]): r["count"] for r in rows.groupBy((F.col("part") < 4).alias("old"), "toxic").count().collect()}
     total, bad = sum(counts.values()), sum(n for (_, toxic), n in counts.items() if toxic == 1)
     if not counts.get((True, 0)) or not counts.get((True, 1)):
         return Scorer(lexicon, share=bad / total if total else 0.0)
     vectors = rows.withColumn("features", array_to_vector("features"))
-    booster = GBTClassifier(featuresCol="features", labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7, cacheNodeIds=False)
+    booster = GBTClassifier(featuresCol="features", labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, minInstancesPerNode=5, seed=7)
     trees = booster.fit(vectors.filter("part < 4").coalesce(4))
     if not counts.get((False, 0)) or not counts.get((False, 1)):
         return Scorer(lexicon, trees)
