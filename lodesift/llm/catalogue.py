@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, kneser_ney, language, toxicity, vafile
+from . import bpe, kneser_ney, language, toxicity, vafile, windows
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -22,6 +22,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.scores(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op5_bpe": op5_bpe,
+    "op7_substrings": op7_substrings,
     "op8_perplexity": op8_perplexity,
     "op9_language": op9_language,
     "op10_topk": op10_topk,
