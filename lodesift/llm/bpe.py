@@ -287,16 +287,17 @@ def encoder(path: str) -> Encoder:
 def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with the token ids of every whole text, and what they decode to.
 
-    ``ids`` is array<int>.  With ``decoded``, a column of that name holds the
-    text the ids give back, added tokens included.  A null text is the empty
+    ``ids`` is array<int>.  With ``decoded``, a column of that name (that of the
+    text, too) holds the text the ids give back, added tokens included.  A null text is the empty
     one: no ids, an empty decoded text.  Strings of added tokens in a text
     become their ids.  Columns of these names in ``docs`` are replaced; all
     others, repeated rows and row counts stay as they are.
     """
     kept = docs.drop(*[c for c in (ids, decoded) if c and c != text])
+    keep = [c for c in kept.columns if c != decoded]
     fields = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)]
     fields += [T.StructField(decoded, T.StringType(), False)] if decoded else []
-    schema = T.StructType([*kept.schema.fields, *fields])
+    schema = T.StructType([*(kept.schema[c] for c in keep), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = encoder(path)
@@ -304,7 +305,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str = "ids
             for piece, _ in slices(batch, text):
                 values = [t or "" for t in piece.column(piece.schema.get_field_index(text)).to_pylist()]
                 found, offsets = worker.encode(values)
-                columns = [*piece.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.int32()))]
+                columns = [*(piece.column(piece.schema.get_field_index(c)) for c in keep), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.int32()))]
                 if decoded:
                     columns.append(worker.vocabulary.decode(found, offsets).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, flat_graph, group_matrix, kneser_ney, language, mixture, toxicity, vafile, windows
+from . import bpe, flat_graph, group_matrix, kneser_ney, language, mixture, secrets, toxicity, vafile, windows
 
 VOCABULARY = "byte_bpe_50k.json"
 MAX_REPEATS = 2.0
@@ -36,6 +36,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.digests(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
+    "op6_secrets": op6_secrets,
     "op7_substrings": op7_substrings,
     "op8_perplexity": op8_perplexity,
     "op9_language": op9_language,

@@ -28,7 +28,7 @@ from .words import Texts, Words, slices, texts_of, windows, word_hashes, words_o
 
 CHUNK_BYTES = 2 << 20
 #: Cells or windows that one task merges.
-RANGE = 4_000_000
+RANGE = 2_000_000
 #: Replies up to so many bytes go to all tasks; beyond it they are shuffled with the chunks.
 BROADCAST_BYTES = 64 << 20
 
