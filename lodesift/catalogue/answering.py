@@ -16,9 +16,9 @@ from .tables import table
 STATES = """
 SELECT doc_id AS query_id, CAST(n_chars % 150 AS DOUBLE) / 1000 - 0.01 AS best_score, CAST(doc_id % 4 AS INTEGER) AS n_docs,
   CAST(n_chars % 2 AS INTEGER) AS retry_count,
-  CASE doc_id % 7 WHEN 0 THEN 'SWOT ' WHEN 1 THEN 'competitor' WHEN 2 THEN 'auto' WHEN 3 THEN 'ecosystem'
+  CASE doc_id % 7 WHEN 0 THEN 'SWOT ' WHEN 1 THEN 'competitor' WHEN 2 THEN concat('swot', chr(10)) WHEN 3 THEN 'ecosystem'
     WHEN 4 THEN '' WHEN 5 THEN NULL ELSE 'comparison' END AS label,
-  CASE n_chars % 5 WHEN 0 THEN 'pass' WHEN 1 THEN 'Pass ' WHEN 2 THEN 'pass.' WHEN 3 THEN 'fail' END AS reply,
+  CASE n_chars % 5 WHEN 0 THEN 'pass' WHEN 1 THEN concat(chr(9), 'Pass ', chr(10)) WHEN 2 THEN 'pass.' WHEN 3 THEN 'fail' END AS reply,
   CASE WHEN n_chars % 5 = 4 AND doc_id % 2 = 0 THEN 'timeout' END AS reply_error
 FROM documents
 """
@@ -170,11 +170,11 @@ e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY idx) - 1 AS n
 ORACLES = {
     "routes": f"""
 WITH s AS ({STATES}),
-t AS (SELECT *, CASE WHEN lower(trim(label)) IN ('similar', 'swot', 'competitor', 'comparison', 'ecosystem')
-    THEN lower(trim(label)) ELSE 'similar' END AS analysis_type,
+t AS (SELECT *, CASE WHEN lower(trim(label, ' ' || chr(9) || chr(10))) IN ('similar', 'swot', 'competitor', 'comparison', 'ecosystem')
+    THEN lower(trim(label, ' ' || chr(9) || chr(10))) ELSE 'similar' END AS analysis_type,
   CASE WHEN n_docs = 0 THEN 'none' WHEN best_score < 0.02::DOUBLE THEN 'none' WHEN best_score < 0.1::DOUBLE THEN 'low' ELSE 'high' END AS confidence,
   CASE WHEN n_docs = 0 THEN false WHEN best_score <= 0 THEN false WHEN reply_error IS NOT NULL THEN true
-    ELSE coalesce(lower(trim(reply)) = 'pass', false) END AS validation_check FROM s)
+    ELSE coalesce(lower(trim(reply, ' ' || chr(9) || chr(10))) = 'pass', false) END AS validation_check FROM s)
 SELECT query_id, analysis_type, confidence, validation_check,
   CASE WHEN confidence <> 'none' THEN 'generate_' || analysis_type WHEN retry_count < 1 THEN 'rewrite' ELSE 'web_search' END AS after_gate,
   CASE WHEN confidence <> 'none' THEN 'generate_' || analysis_type WHEN retry_count < 1 THEN 'rewrite' ELSE 'refuse' END AS after_gate_offline,

@@ -81,7 +81,7 @@ def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.top_values(flagged(spark, sf_dir), "country")
+    return profile.top_values(flagged(spark, sf_dir), "country", drop_blank=True)
 
 
 def top_industries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +201,7 @@ SELECT startup_id, 'doc_' || (row_number() OVER (ORDER BY ordinal) - 1)::VARCHAR
 SELECT doc_id, text FROM ({_DOCUMENT_SQL}) WHERE source = 'YC' AND is_suspicious = 'False'"""),
     "source_counts": _clean("SELECT source, count(*) AS count FROM flagged GROUP BY source"),
     "top_countries": _clean(
-        "SELECT country, count(*) AS count FROM flagged GROUP BY country ORDER BY count DESC, country LIMIT 15"),
+        "SELECT country, count(*) AS count FROM flagged WHERE country <> '' GROUP BY country ORDER BY count DESC, country LIMIT 15"),
     "top_industries": _clean(
         "SELECT industry, count(*) AS count FROM flagged WHERE industry <> '' GROUP BY industry "
         "ORDER BY count DESC, industry LIMIT 15"),
@@ -225,7 +225,7 @@ SELECT least(floor((len - lo) / ((hi - lo) / 60.0::DOUBLE)), 59)::INTEGER AS bin
 FROM lens, edges GROUP BY 1"""),
     "median_description": _clean("SELECT median(length(description)) AS median_length FROM flagged"),
     "summary_stats": _clean("""
-SELECT count(*) AS total, count(DISTINCT country) AS countries, count(DISTINCT nullif(industry, '')) AS industries,
+SELECT count(*) AS total, count(DISTINCT nullif(country, '')) AS countries, count(DISTINCT nullif(industry, '')) AS industries,
   count(*) FILTER (source = 'YC') AS accelerator_rows, count(*) FILTER (source = 'Crunchbase') AS registry_rows,
   count(*) FILTER (is_suspicious) AS suspicious, round(avg(is_suspicious::INTEGER) * 100, 1) AS suspicious_pct,
   median(founded_year) AS median_year, median(length(description)) AS median_description FROM flagged"""),

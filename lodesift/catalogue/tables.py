@@ -23,7 +23,7 @@ COMPANIES = """
 SELECT concat('doc_', doc_id) AS startup_id, doc_id AS ordinal,
   CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 19 = 0 THEN 'Test' ELSE regexp_extract(text, '^[^ ]*', 0) END AS name,
   CASE WHEN doc_id % 23 = 0 THEN '' ELSE text END AS description,
-  concat('[''', lang, ''', ''', source, ''']') AS tags, upper(lang) AS country, lang,
+  concat('[''', lang, ''', ''', source, ''']') AS tags, CASE WHEN doc_id % 13 = 0 THEN '' ELSE upper(lang) END AS country, lang,
   CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 29 = 0 THEN '1850' WHEN doc_id % 31 = 0 THEN '2990'
        ELSE CAST(1995 + doc_id % 29 AS VARCHAR(10)) END AS founded_year,
   CASE WHEN doc_id % 4 = 0 THEN 'YC' ELSE 'Crunchbase' END AS source,

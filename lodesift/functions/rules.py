@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..config import ANALYSIS_TYPES, PLACEHOLDER_NAMES, CleanConfig, RetrievalConfig
+from .text import strip
 
 
 def quality_rules(as_of_year: Column, cfg: CleanConfig = CleanConfig()) -> dict[str, Column]:
@@ -53,7 +54,7 @@ def step_after_validation(passed: Column, confidence: Column, retries: Column, m
 
 def analysis_type(raw: Column) -> Column:
     """A classifier reply as a known type; unknown, empty or failed is ``similar``."""
-    label = F.lower(F.trim(raw))
+    label = F.lower(strip(raw))
     return F.when(label.isin(*ANALYSIS_TYPES), label).otherwise("similar")
 
 
@@ -66,5 +67,5 @@ def verdict(n_docs: Column, best: Column, raw: Column, error: Column) -> Column:
         F.when(n_docs == 0, False)
         .when(best <= 0, False)
         .when(error.isNotNull(), True)
-        .otherwise(F.coalesce(F.lower(F.trim(raw)) == "pass", F.lit(False)))
+        .otherwise(F.coalesce(F.lower(strip(raw)) == "pass", F.lit(False)))
     )

@@ -15,8 +15,9 @@ WHITESPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u
 TOKEN = "[a-z0-9]{2,}"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 
-# One quoted item of a list literal, either quote, backslash escapes allowed.
-_ITEM = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+# One item of a list literal: a string in either quote with backslash escapes, a number, or a named constant.
+_ITEM = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?|None|True|False"""
+_ESCAPE = r"(?s)\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|\\.|[^\\]+"
 _LIST = rf"(?s)^\[\s*(?:(?:{_ITEM})\s*(?:,\s*(?:{_ITEM})\s*)*,?\s*)?\]$"
 
 
@@ -47,19 +48,31 @@ def blank_to_null(c: Column | str) -> Column:
 def parse_tags(c: Column | str) -> Column:
     """``"['a', 'b']"`` to ``"a, b"``.
 
-    Accepted list literals are comma separated quoted strings; anything else
-    in the cell (plain text, broken literals, numbers) passes through trimmed.
+    Accepted list literals are comma separated strings, numbers and the
+    constants None, True and False; anything else in the cell (plain text,
+    broken or nested literals) passes through trimmed.
     """
     text = strip(F.coalesce(_as_column(c), F.lit("")))
-    quoted = F.regexp_extract_all(text, F.lit(_ITEM), F.lit(0))
-    items = F.transform(quoted, lambda q: strip(_unescape(F.substring(q, F.lit(2), F.length(q) - 2))))
+    found = F.regexp_extract_all(text, F.lit(_ITEM), F.lit(0))
+    inner = lambda q: _unescape(F.substring(q, F.lit(2), F.length(q) - 2))
+    items = F.transform(found, lambda q: strip(F.when(q.rlike("^['\"]"), inner(q)).otherwise(q)))
     joined = F.array_join(F.filter(items, lambda x: x != ""), ", ")
     return F.when(text.rlike(_LIST), joined).otherwise(text)
 
 
 def _unescape(c: Column) -> Column:
-    # The quote and backslash escapes; a doubled backslash must not start another one.
-    return F.regexp_replace(c, r"\\(['\"\\])", "$1")
+    """Backslash escapes of a string literal; an unknown one stays as written."""
+    named = F.create_map(*[F.lit(x) for pair in zip("ntr'\"\\", "\n\t\r'\"\\") for x in pair])
+
+    def piece(p: Column) -> Column:
+        code = F.decode(F.unhex(F.lpad(F.substring(p, 3, 4), 4, "0")), "UTF-16BE")
+        return (
+            F.when(p.rlike(r"^\\[ux]..") & (F.length(p) >= 4), code)
+            .when(p.startswith("\\"), F.coalesce(F.try_element_at(named, F.substring(p, 2, 1)), p))
+            .otherwise(p)
+        )
+
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_ESCAPE), F.lit(0)), piece), "")
 
 
 def first_tag(tags: Column | str) -> Column:

@@ -69,14 +69,14 @@ def median_length(df: DataFrame, column: str = "description") -> DataFrame:
 
 
 def summary_stats(df: DataFrame, sources: dict[str, str] | None = None) -> DataFrame:
-    """Totals, distinct values, suspicious share and medians in one row.
+    """Totals, distinct values (blank is none), suspicious share and medians in one row.
 
     ``sources`` maps output column to source name.
     """
     pairs = sources or {"accelerator_rows": "YC", "registry_rows": "Crunchbase"}
     return df.agg(
         F.count(F.lit(1)).alias("total"),
-        F.count_distinct("country").alias("countries"),
+        F.count_distinct(F.nullif(F.col("country"), F.lit(""))).alias("countries"),
         F.count_distinct(F.nullif(F.col("industry"), F.lit(""))).alias("industries"),
         *[F.count_if(F.col("source") == name).alias(out) for out, name in pairs.items()],
         F.count_if("is_suspicious").alias("suspicious"),

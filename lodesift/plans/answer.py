@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..config import AnswerConfig, SizeLimits
 from ..functions.rules import analysis_type, confidence_band, step_after_confidence, step_after_validation, verdict
+from ..functions.text import strip
 from ..operators import inference as inf
 from ..operators import prompts
 from ..operators.history import record_turns
@@ -50,7 +51,7 @@ def expand(state: DataFrame, models: inf.Models) -> DataFrame:
     query = F.col("user_query")
     prompt = prompts.render(prompts.EXPAND, history=F.col("history"), query=query)
     replied = inf.with_reply(state, "__text", models.expand, prompt, inf.expand_by_synonyms(query))
-    return replied.withColumn("expanded_query", F.coalesce(F.trim("__text"), query)).drop("__text", "__text_error")
+    return replied.withColumn("expanded_query", F.coalesce(strip("__text"), query)).drop("__text", "__text_error")
 
 
 def rewrite(state: DataFrame, models: inf.Models) -> DataFrame:
@@ -59,7 +60,7 @@ def rewrite(state: DataFrame, models: inf.Models) -> DataFrame:
     prompt = prompts.render(prompts.REWRITE, query=F.col("user_query"), previous=previous)
     replied = inf.with_reply(state, "__text", models.rewrite, prompt, inf.rewrite_to_core_terms(previous))
     return replied.withColumns({
-        "expanded_query": F.coalesce(F.trim("__text"), previous), "retry_count": F.col("retry_count") + 1,
+        "expanded_query": F.coalesce(strip("__text"), previous), "retry_count": F.col("retry_count") + 1,
     }).drop("__text", "__text_error")
 
 

@@ -16,7 +16,7 @@ def profile_report(df: DataFrame) -> dict[str, DataFrame]:
     """
     return {
         "sources": profile.value_counts(df, "source"),
-        "top_countries": profile.top_values(df, "country"),
+        "top_countries": profile.top_values(df, "country", drop_blank=True),
         "top_industries": profile.top_values(df, "industry", drop_blank=True),
         "founded_per_year": profile.founded_per_year(df),
         "founded_per_year_and_source": profile.founded_per_year(df, by_source=True),

@@ -27,7 +27,8 @@ def test_p1_whitespace(spark):
 def test_p2_tag_lists(spark):
     cases = {
         "['B2B', 'SaaS']": "B2B, SaaS", "[]": "", "['a', '']": "a", "plain, text": "plain, text", "[broken": "[broken",
-        '["x y"]': "x y", "['it\\'s']": "it's", "['a', 3]": "['a', 3]", " ['a' , \"b\"] ": "a, b", "['[x]']": "[x]",
+        '["x y"]': "x y", "['it\\'s']": "it's", "['a', 3]": "a, 3", " ['a' , \"b\"] ": "a, b", "['[x]']": "[x]",
+        "[1, 2.5, None]": "1, 2.5, None", r"['caf\u00e9', 'a\nb', '\x41\\n']": "café, a\nb, A\\n", "[['a']]": "[['a']]", r"['a\qb']": r"a\qb",
     }
     assert values(spark, parse_tags, list(cases)) == list(cases.values())
     assert values(spark, parse_tags, [None, "  x "]) == ["", "x"]

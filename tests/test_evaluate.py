@@ -134,7 +134,7 @@ def test_j7_t8_coverage(spark, companies):
 
 def test_l7_profile(companies):
     report = profile_report(companies)
-    assert {r["country"]: r["count"] for r in report["top_countries"].collect()} == {"US": 2, "DE": 1, "": 1}
+    assert {r["country"]: r["count"] for r in report["top_countries"].collect()} == {"US": 2, "DE": 1}
     assert "" not in {r["industry"] for r in report["top_industries"].collect()}
     assert {r["founded_year"]: r["count"] for r in report["founded_per_year"].collect()} == {2010: 1, 2023: 1}
     assert {r["source"]: (r["clean"], r["suspicious"]) for r in report["quality_by_source"].collect()} == {"YC": (1, 0), "Crunchbase": (2, 1)}
