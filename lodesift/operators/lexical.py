@@ -19,7 +19,7 @@ from ..functions.numbers import rounded
 from ..functions.text import tokens
 from ..session import materialise
 from .nearest import best_first
-from .sizing import measure, shard_of
+from .sizing import in_shards, measure
 
 
 def tokenise(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -141,7 +141,7 @@ def score_postings(
     return best_first(scored, k)
 
 
-def stored_postings(posting: DataFrame, wanted: DataFrame, shards: int | None = None) -> DataFrame:
+def stored_postings(posting: DataFrame, wanted: DataFrame, shards: list[int] | None = None) -> DataFrame:
     """Postings of the wanted terms, spread by document.
 
     With ``shards`` the stored rows lie in folders by a hash of the term, and
@@ -149,11 +149,11 @@ def stored_postings(posting: DataFrame, wanted: DataFrame, shards: int | None =
     """
     keys = ["term"]
     if shards:
-        keys = ["shard", "term"]
+        keys = ["shards", "shard", "term"]
         # True for every token, but Spark prunes at run time only by a side with a filter.
         wanted = wanted.filter(F.length("term") > 1)
-        wanted = F.broadcast(wanted.withColumn("shard", shard_of("term", shards)))
-    return posting.join(wanted, keys, "left_semi").drop("shard").repartition("doc_id")
+        wanted = F.broadcast(in_shards(wanted, "term", shards))
+    return posting.join(wanted, keys, "left_semi").drop("shards", "shard").repartition("doc_id")
 
 
 def search_postings(

@@ -58,6 +58,12 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if fits(df, limit) else df
 
 
-def shard_of(key: str, shards: int) -> Column:
+def shard_of(key: str, shards: int | Column) -> Column:
     """Shard of a key: the folder of a stored table that holds its rows."""
     return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(shards)).cast("int")
+
+
+def in_shards(df: DataFrame, key: str, counts: list[int]) -> DataFrame:
+    """``df`` with ``shards`` and ``shard``: a row for each number of shards that a stored table uses."""
+    spread = df.withColumn("shards", F.explode(F.array(*[F.lit(n) for n in counts])))
+    return spread.withColumn("shard", shard_of(key, F.col("shards")))

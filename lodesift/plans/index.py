@@ -25,7 +25,7 @@ class Index:
     corpus: Corpus
     postings: Callable[[DataFrame], DataFrame]
     encoder: Encoder
-    document_shards: int | None = None
+    document_shards: list[int] | None = None
 
 
 def index_of(docs: DataFrame, encoder: Encoder | None = None) -> Index:

@@ -14,14 +14,10 @@ from ..operators.fusion import fuse
 from ..operators.lexical import search_postings
 from ..operators.nearest import nearest
 from ..operators.rerank import PairModel, cut, model_scores, overlap_score, overlap_weights, query_scores, split_by_need
-from ..operators.sizing import measure, shard_of
+from ..operators.sizing import broadcast_if_small, in_shards, measure
 from ..session import materialise
 from .index import Index
 
-# Bytes of one candidate row (ids, rank, score) in a broadcast table.
-_CANDIDATE_BYTES = 256
-
-
 def semantic_list(
     queries: DataFrame, index: Index, k: int, where: dict[str, object] | None = None,
     cfg: RetrievalConfig = RetrievalConfig(), limits: SizeLimits = SizeLimits(),
@@ -108,17 +104,23 @@ def _with_text(
 ) -> DataFrame:
     """Texts of the candidates; ids without a document are dropped.
 
-    Candidates number at most ``candidates`` per query, so the count of the
-    queries bounds them: when they are few, they go to where the texts are.
+    The lists are cut already, so the candidates are few and are written once
+    and measured.  They go to where the texts are; beyond the limit, their ids
+    alone (a row per document, however many queries ask for it) pick the texts
+    before those are shuffled.
     """
-    bound = measure(queries.select("query_id")).rows * max(cfg.candidates, cfg.top_k) * _CANDIDATE_BYTES
+    candidates = materialise(candidates, "candidates")
     keys = ["doc_id"]
     if index.document_shards:
         # Stored documents lie in folders by shard; the join reads only those asked for.
-        keys = ["shard", "doc_id"]
-        candidates = candidates.withColumn("shard", shard_of("doc_id", index.document_shards))
-    small = F.broadcast(candidates) if bound <= limits.broadcast_bytes else candidates
-    return index.documents.select(*keys, "text").join(small, keys).drop("shard")
+        keys = ["shards", "shard", "doc_id"]
+        # True for every rank, but Spark prunes at run time only by a side with a filter.
+        candidates = in_shards(candidates.filter("rank > 0"), "doc_id", index.document_shards)
+    texts = index.documents.select(*keys, "text")
+    if measure(candidates).bytes <= limits.broadcast_bytes:
+        return texts.join(F.broadcast(candidates), keys).drop("shards", "shard")
+    asked = broadcast_if_small(candidates.select(*keys).distinct(), limits.broadcast_bytes)
+    return texts.join(asked, keys, "left_semi").join(candidates, keys).drop("shards", "shard")
 
 
 def retrieval_results(queries: DataFrame, hits: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:

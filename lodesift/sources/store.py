@@ -4,18 +4,23 @@
 metadata), ``postings`` (id, length, term, tf) and ``terms`` (document
 frequencies and totals, summed on read).  Every write goes to its own
 ``batch=<label>`` partition, so appends never rewrite what is there and a
-repeated write of a batch replaces exactly itself.  ``documents`` is written
-last and marks a batch as complete.
+repeated write of a batch replaces exactly itself.  A row in ``batches``,
+written last, makes a batch visible: every reader takes the tables of listed
+batches only, so a write that died half way is never seen.
 
 Below a batch, documents are split into folders by a hash of the id and
 postings by a hash of the term.  Fetching the texts of some hits, or the
 postings of some terms, then reads the folders of those keys and no others.
-The number of folders follows from the size of the first batch.
+The number of folders is a power of two that follows from the measured size of
+the batch; folders of frequent terms are written by as many tasks as their
+document frequencies ask for.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from math import ceil, log2
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -27,7 +32,9 @@ from ..session import materialise
 
 TABLES = ("terms", "postings", "vectors", "documents")
 SHARD_BYTES = 256 << 20
-MAX_SHARDS = 10_000
+# Postings that one task writes for a folder.
+FILE_ROWS = 5_000_000
+_LABEL = r"[A-Za-z][\w.-]*"
 
 
 @dataclass(frozen=True)
@@ -41,13 +48,20 @@ class IndexStore:
         return f"{self.path.rstrip('/')}/{name}"
 
     def exists(self) -> bool:
+        """Whether a batch has been written completely."""
         jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self._table("documents"))
+        where = jvm.org.apache.hadoop.fs.Path(self._table("batches"))
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
+    def batches(self) -> DataFrame:
+        """``label, shards, documents``: a row per complete batch."""
+        return self.spark.read.parquet(self._table("batches")).select("label", "shards", "documents")
+
     def read(self, name: str) -> DataFrame:
-        """One table; ``select`` what is needed and only that is read."""
-        return self.spark.read.option("basePath", self._table(name)).parquet(self._table(name))
+        """One table over all complete batches; ``select`` what is needed and only that is read."""
+        labels = [r["label"] for r in self.batches().collect()]
+        rows = self.spark.read.option("basePath", self._table(name)).parquet(self._table(name))
+        return rows.filter(F.col("batch").isin(labels))
 
     def documents(self) -> DataFrame:
         return self.read("documents").drop("batch")
@@ -65,10 +79,10 @@ class IndexStore:
         )
 
     def count(self) -> int:
-        return self.read("documents").count() if self.exists() else 0
+        return self.batches().agg(F.sum("documents")).first()[0] or 0 if self.exists() else 0
 
     def only_new(self, docs: DataFrame, batch: str, limits: SizeLimits = SizeLimits()) -> DataFrame:
-        """Documents whose id is in no other batch; repeats inside ``docs`` are an error.
+        """Documents whose id is in no other batch.
 
         The stored ids are filtered by the incoming ones first (a broadcast
         when those are few), so the stored side is scanned but not shuffled.
@@ -82,39 +96,46 @@ class IndexStore:
         )
         return docs.join(seen, "doc_id", "left_anti")
 
-    def shards(self) -> int:
-        return self.spark.read.parquet(self._table("settings")).first()["shards"]
+    def shards(self) -> list[int]:
+        """The numbers of folders that occur, a few powers of two."""
+        return sorted(r["shards"] for r in self.batches().select("shards").distinct().collect())
 
     def append(
         self, docs: DataFrame, batch: str, encoder: Encoder | None = None, limits: SizeLimits = SizeLimits(),
     ) -> None:
         """Add the documents that are not there yet, under a batch label.
 
-        Safe to repeat with the same label, also after a failure half way.
-        Documents are stored as they come, so use ids that are unique in
-        ``docs``.
+        Safe to repeat with the same label, also after a failure half way.  An
+        id that occurs twice in ``docs`` is an error.
         """
+        if not re.fullmatch(_LABEL, batch):
+            raise ValueError(f"a batch label starts with a letter and has no blanks or slashes: {batch!r}")
         docs = materialise(self.only_new(docs, batch, limits), "new-documents")
-        first = not self.exists()
-        if not first:
-            shards = self.shards()
-        else:
-            shards = min(MAX_SHARDS, max(1, measure(docs).bytes // SHARD_BYTES))
-            setting = self.spark.range(1).select(F.lit(shards).cast("int").alias("shards"))
-            setting.write.mode("overwrite").parquet(self._table("settings"))
+        twice = docs.groupBy("doc_id").count().filter("count > 1").first()
+        if twice:
+            raise ValueError(f"document id occurs more than once: {twice['doc_id']}")
+        size = measure(docs)
+        shards = 1 << max(0, ceil(log2(max(size.bytes, 1) / SHARD_BYTES)))
         meta = [c for c in docs.columns if c.startswith("meta_")]
-        # A frequent term fills its folder with many files: tasks take rows by document.
-        posting = (
-            postings(docs).withColumn("shard", shard_of("term", shards)).sortWithinPartitions("shard", "term")
+        self._write(term_statistics(docs), "terms", batch)
+        # How many tasks write the postings of a folder: its rows are the document frequencies of its terms.
+        terms = self.spark.read.parquet(f"{self._table('terms')}/batch={batch}")
+        parts = (
+            terms.filter(F.col("term").isNotNull()).groupBy(shard_of("term", shards).alias("shard"))
+            .agg(F.ceil(F.sum("df") / FILE_ROWS).cast("int").alias("parts"))
         )
+        posting = postings(docs).withColumn("shard", shard_of("term", shards))
+        posting = posting.join(broadcast_if_small(parts, limits.broadcast_bytes), "shard")
+        posting = posting.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+        posting = posting.repartition("shard", "part").sortWithinPartitions("shard", "term").drop("part", "parts")
         vectors = embed(docs.select("doc_id", "text", *meta), encoder).drop("text")
-        stored = docs.withColumn("shard", shard_of("doc_id", shards))
-        # The first batch gets a task per shard; later ones as many as their size asks for.
-        stored = stored.repartition(shards, "shard") if first else stored.repartition("shard")
-        self._write(term_statistics(docs), "terms", batch)
-        self._write(posting, "postings", batch, "shard")
+        stored = docs.withColumn("shard", shard_of("doc_id", shards)).repartition(shards, "shard")
+        count = F.lit(shards).cast("int")
+        self._write(posting.withColumn("shards", count), "postings", batch, "shards", "shard")
         self._write(vectors, "vectors", batch)
-        self._write(stored, "documents", batch, "shard")
+        self._write(stored.withColumn("shards", count), "documents", batch, "shards", "shard")
+        done = self.spark.range(1).select(F.lit(batch).alias("label"), count.alias("shards"), F.lit(size.rows).alias("documents"))
+        self._write(done, "batches", batch)
 
     def _write(self, df: DataFrame, name: str, batch: str, *folders: str) -> None:
         df.write.mode("overwrite").partitionBy(*folders).parquet(f"{self._table(name)}/batch={batch}")
@@ -127,6 +148,6 @@ class IndexStore:
     def clear(self) -> None:
         """Remove all tables of the index."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in ("settings", *reversed(TABLES)):
+        for name in ("batches", *reversed(TABLES)):
             where = jvm.org.apache.hadoop.fs.Path(self._table(name))
             where.getFileSystem(conf).delete(where, True)
