@@ -118,7 +118,7 @@ def bm25_hit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def joined_hit_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus(spark, sf_dir)
     hits = bm25_search(docs, questions(spark, sf_dir), 5).join(docs.select("doc_id", "text"), "doc_id")
-    return metrics.joined_texts(hits, first=3)
+    return metrics.joined_texts(hits, first=5)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -172,6 +172,6 @@ SELECT query_id,
   CASE WHEN len(list_filter(w[-2:], lambda k: contains(lower(array_to_string(texts, ' ')), k))) > 0 THEN 0.0::DOUBLE
     ELSE 1.0 END AS bad_result_check
 FROM words JOIN texts USING (query_id)""",
-    "joined_hit_texts": f"""{_HITS} SELECT query_id, array_to_string(texts[1:3], chr(10) || chr(10) || '---' || chr(10) || chr(10))
+    "joined_hit_texts": f"""{_HITS} SELECT query_id, array_to_string(texts[1:5], chr(10) || chr(10) || '---' || chr(10) || chr(10))
   AS documents FROM texts""",
 }

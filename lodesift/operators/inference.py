@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.text import preview, tokens
+from ..functions.text import tokens
 
 TextModel = Callable[[list[str]], list[str]]
 
@@ -140,7 +140,7 @@ def extractive_answer(analysis_type: Column, query: Column, texts: Column) -> Co
         F.lit(x) for name, titles in SECTIONS.items()
         for x in (name, "\n".join(f"## {title}" for title in titles))
     ])
-    bullets = F.transform(texts, lambda t: F.concat(F.lit("- "), preview(F.split_part(t, F.lit("\n"), F.lit(1)), 120)))
+    bullets = F.transform(texts, lambda t: F.concat(F.lit("- "), F.split_part(t, F.lit("\n"), F.lit(1))))
     return F.concat(
         F.lit("Question: "), query, F.lit("\n\n"), F.try_element_at(headings, analysis_type),
         F.lit("\n\nSources\n"), F.array_join(bullets, "\n"),

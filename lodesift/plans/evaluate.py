@@ -14,18 +14,17 @@ from ..session import materialise
 from .answer import answer_queries, documents_text
 from .index import Index
 
-_JUDGED = 5
 _DOC_SEPARATOR = "\n---\n"
 
 
-def judge(scored: DataFrame, models: inf.Models) -> DataFrame:
-    """Add the three judged metrics and ``judge_failed``.
+def judge(scored: DataFrame, models: inf.Models, first: int = 5) -> DataFrame:
+    """Add the three judged metrics and ``judge_failed``; the judge sees the ``first`` documents.
 
     A failed or unreadable reply scores 0, as usual; ``judge_failed`` tells it
     from an honest 0.
     """
     query, answer = F.col("query"), F.coalesce("answer", F.lit(""))
-    docs = documents_text(F.col("docs"), _JUDGED, _DOC_SEPARATOR)
+    docs = documents_text(F.col("docs"), first, _DOC_SEPARATOR)
     metrics = {
         "context_relevancy": (
             prompts.render(prompts.JUDGE_CONTEXT, query=query, documents=docs),

@@ -51,17 +51,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, bytes_per_task: int = 32 << 20) -> DataFrame:
+def spread(df: DataFrame, small_splits: int = 8) -> DataFrame:
     """Give a small input as many tasks as there are cores.
 
     A file with one row group is read by one task, whatever is done to its
-    rows.  Inputs of less than ``bytes_per_task`` per core (by the optimizer's
-    size of the scan) are dealt out evenly; larger ones have enough splits and
-    stay where they are.
+    rows.  Inputs of at most ``small_splits`` splits, on however large a
+    cluster, are dealt out evenly; others stay where they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * bytes_per_task else df
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < min(cores, small_splits) else df
 
 
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
