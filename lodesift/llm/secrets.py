@@ -107,7 +107,8 @@ def self_labelled(found: DataFrame) -> DataFrame:
     v = F.col("value")
     provider = v.rlike(f"^({PROVIDERS})$")
     keyed = F.col("name").rlike(f"^{NAMES}$") & (F.length(v) >= 12) & v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~v.rlike(ADDRESS)
-    harmless = v.rlike(ADDRESS) | (~F.col("name").rlike(NAMES) & (F.col("name").rlike(HARMLESS) | v.rlike(r"^\p{L}+[\d.,:;!?]*$")))
+    told = F.col("name").rlike(HARMLESS) | F.col("before").rlike(HARMLESS + r"\W*$")
+    harmless = v.rlike(ADDRESS) | (~F.col("name").rlike(NAMES) & (told | v.rlike(r"^\p{L}+[\d.,:;!?]*$")))
     label = F.when(v.rlike(PLACEHOLDER) & ~provider, 0).when(provider | keyed, 1).when(harmless, 0)
     return found.withColumn("label", label).filter("label IS NOT NULL")
 
