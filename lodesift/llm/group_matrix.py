@@ -9,7 +9,7 @@
    they link with, and leaders meet again under other hashes.  A group is linked
    throughout, so nothing inside it has to be compared again.
 3. The matrix holds, for each group, the union of the rarest shingles of its
-   documents.  A document is a candidate for another group if they share one of
+   documents; what has found no link yet is grouped by the first block it met.  A document is a candidate for another group if they share one of
    them; with thresholds on both sizes this loses no link.  A candidate group is
    opened block by block: if the overlap with the union of a block is too small,
    no document in it can link, else they are compared.
@@ -214,7 +214,7 @@ def _lead(percent: int):
             else:
                 leaders.append(i)
             mark[lists[i]] = False
-        return pa.table({"key": pa.array(keys), "leader": pa.array(leader)})
+        return pa.table({"key": pa.array(keys), "leader": pa.array(leader), "least": table["least"], "block": table["block"]})
     return run
 
 
@@ -225,17 +225,26 @@ def _blocks(rows: DataFrame, by: list[str], name: str) -> DataFrame:
 
 
 def groups(docs: DataFrame, percent: int) -> DataFrame:
-    """(key, group): documents under a leader they are connected to."""
+    """(key, group, cell): documents under a leader they are connected to, and the group of the matrix they belong to.
+
+    A linked group is one of the matrix.  Documents that lead nobody have met
+    those of their first block already and form a group of the matrix with them.
+    """
     known = docs.select("key", F.col("key").alias("group"))
+    first = None
     leading = docs
     for seed in range(ROUNDS):
         least = F.array_min(F.transform("tokens", lambda x: F.xxhash64(x, F.lit(seed))))
         met = _blocks(leading.withColumn("least", least), ["least"], "block")
-        pairs = met.select("least", "block", "key", "n", "tokens").groupBy("least", "block").applyInArrow(_lead(percent), "key long, leader long")
+        pairs = met.select("least", "block", "key", "n", "tokens").groupBy("least", "block").applyInArrow(_lead(percent), "key long, leader long, least long, block int")
         pairs = materialise(pairs, "leaders")
-        known = known.join(pairs.withColumnsRenamed({"key": "group"}), "group").select("key", F.col("leader").alias("group"))
+        first = first or pairs.select("key", F.xxhash64("least", "block").alias("met"))
+        known = known.join(pairs.select(F.col("key").alias("group"), "leader"), "group").select("key", F.col("leader").alias("group"))
         leading = leading.join(pairs.filter("key = leader").select("key"), "key", "left_semi")
-    return materialise(known, "groups")
+    known = materialise(known, "groups")
+    sizes = materialise(known.groupBy("group").count(), "group-sizes")
+    cell = F.when(F.col("count") > 1, F.col("group")).otherwise(F.col("met"))
+    return materialise(known.join(sizes, "group").join(first, "key").select("key", "group", cell.alias("cell")), "cells")
 
 
 def _needed(n: Column, percent: int, doubled: bool) -> Column:
@@ -244,11 +253,11 @@ def _needed(n: Column, percent: int, doubled: bool) -> Column:
 
 
 def _open(percent: int):
-    """Compare candidate documents with one block of a group, if its union has enough of their shingles."""
+    """Compare candidate documents with one block of a group of the matrix, if its union has enough of their shingles."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found_key, found_group = [], []
         if left.num_rows and right.num_rows:
-            n, lists = right["n"].to_numpy(), _tokens(right["tokens"])
+            n, groups, lists = right["n"].to_numpy(), right["group"].to_numpy(), _tokens(right["tokens"])
             own = np.array([len(t) for t in lists])
             union, at = np.unique(np.concatenate(lists), return_inverse=True)
             first = np.cumsum(own) - own
@@ -260,33 +269,37 @@ def _open(percent: int):
                 mark = np.zeros(len(union), np.int64)
                 mark[place] = 1
                 both = np.add.reduceat(mark[at], first)
-                if (100 * both >= percent * (n + m - both)).any():
-                    found_key.append(group)
-                    found_group.append(right["group"][0].as_py())
+                met = np.unique(groups[100 * both >= percent * (n + m - both)]).tolist()
+                found_key += [group] * len(met)
+                found_group += met
         return pa.table({"u": pa.array(found_key, pa.int64()), "v": pa.array(found_group, pa.int64())})
     return run
 
 
 def group_links(docs: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
     """(u, v): groups that a verified link of two of their documents connects."""
-    docs = materialise(docs.join(grouped, "key"), "grouped")
-    shared = F.size("tokens")
+    docs = materialise(docs.join(grouped, "key").withColumn("shared", F.size("tokens")), "grouped")
+    shared = F.col("shared")
     probe = docs.withColumn("rare", F.slice("tokens", F.lit(1), F.greatest(shared - _needed(F.col("n"), percent, False) + 1, F.lit(0))))
     index = docs.withColumn("rare", F.slice("tokens", F.lit(1), F.greatest(shared - _needed(F.col("n"), percent, True) + 1, F.lit(0))))
-    matrix = materialise(
-        index.select("group", "n", F.explode("rare").alias("token")).groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high")), "matrix")
-    asked = probe.select("key", "n", F.col("group").alias("own_group"), F.explode("rare").alias("token"))
-    fits = (F.col("own_group") != F.col("group")) & (F.col("low") <= F.col("n")) & (F.col("high") * 100 >= F.col("n") * percent)
-    wanted = materialise(asked.join(matrix, "token").filter(fits).select("key", "group").distinct(), "candidates")
-    members = _blocks(docs.join(wanted.select("group").distinct(), "group", "left_semi").select("group", "key", "n", "tokens"), ["group"], "block")
+    matrix = index.select("cell", "n", "shared", F.explode("rare").alias("token")).groupBy("token", "cell")
+    matrix = materialise(matrix.agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("shared").alias("most")), "matrix")
+    asked = probe.select("key", "n", "shared", F.col("cell").alias("own"), F.explode("rare").alias("token"))
+    # Sizes must allow a link, and neither side can share more than occurs elsewhere at all.
+    fits = (
+        (F.col("own") != F.col("cell")) & (F.col("low") <= F.col("n")) & (F.col("high") * 100 >= F.col("n") * percent)
+        & (F.least("shared", "most") * (100 + percent) >= percent * (F.col("n") + F.col("low")))
+    )
+    wanted = materialise(asked.join(matrix, "token").filter(fits).select("key", "cell").distinct(), "candidates")
+    members = _blocks(docs.join(wanted.select("cell").distinct(), "cell", "left_semi").select("cell", "group", "key", "n", "tokens"), ["cell"], "block")
     members = materialise(members, "members")
-    queries = _blocks(wanted, ["group"], "part")
-    queries = queries.join(members.select("group", "blocks").distinct(), "group")
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", "block", "part", "key")
+    queries = _blocks(wanted, ["cell"], "part")
+    queries = queries.join(members.select("cell", "blocks").distinct(), "cell")
+    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "block", "part", "key")
     queries = queries.join(docs.select("key", "n", "tokens", F.col("group").alias("own_group")), "key")
-    parts = materialise(queries.select("group", "block", "part").distinct(), "parts")
-    copies = members.drop("blocks").join(parts, ["group", "block"])
-    by = ["group", "block", "part"]
+    parts = materialise(queries.select("cell", "block", "part").distinct(), "parts")
+    copies = members.drop("blocks").join(parts, ["cell", "block"])
+    by = ["cell", "block", "part"]
     return queries.groupBy(*by).cogroup(copies.groupBy(*by)).applyInArrow(_open(percent), "u long, v long")
 
 
