@@ -33,7 +33,7 @@ from .packed import bits, from_bits, pack, runs, stored, unpack
 from .words import Texts, mix, shingles, slices, texts_of, word_hashes, words_of
 
 CHUNK_BYTES = 2 << 20
-RANGE = 4_000_000
+RANGE = 2_000_000
 BROADCAST_BYTES = 64 << 20
 #: Documents that meet in one block, and rounds in which leaders meet.
 BLOCK, ROUNDS = 128, 3
