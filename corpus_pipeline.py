@@ -18,6 +18,8 @@ from lodesift.session import materialise
 VOCABULARY = "byte_bpe_50k.json"
 #: How often the mixture may use a document of a rare source.
 MAX_REPEATS = 2.0
+#: Words of a shingle and percent of the union at which the pipeline takes documents for near copies.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 BROADCAST_BYTES = 32 << 20
 
 
@@ -30,12 +32,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.filter(written).withColumn("lang", F.coalesce("lang", known)).select(*docs.columns)
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that 3-word shingles link at 0.9: the one of the smallest id.
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, size: int = 3, percent: int = 90) -> DataFrame:
+    """One document of each group that shingles of ``size`` words link at ``percent``: the one of the smallest id.
 
     Equal rows of one id count as one document; a null id has no group and stays.
     """
-    found = materialise(group_matrix.jaccard_components(docs), "jaccard")
+    found = materialise(group_matrix.jaccard_components(docs, size=size, percent=percent), "jaccard")
     by_id = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("rows"))
     by_id = materialise(by_id.filter("NOT stays OR rows > 1"), "decisions")
     left = docs.join(broadcast_if_small(by_id.filter("NOT stays").select("doc_id"), BROADCAST_BYTES), "doc_id", "left_anti")
@@ -46,6 +48,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return left.join(broadcast_if_small(again, BROADCAST_BYTES), "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """:func:`drop_near_duplicates` at the setting of the pipeline, looser than that of op3."""
+    return drop_near_duplicates(spark, docs, sf_dir, NEAR_WORDS, NEAR_PERCENT)
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with confirmed secrets masked."""
     return secrets.redacted(docs)
@@ -67,7 +74,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language", identify_language),
-    ("near_duplicates", drop_near_duplicates),
+    ("near_duplicates", drop_near_copies),
     ("secrets", mask_secrets),
     ("mixture", mix_sources),
     ("tokens", encode),
