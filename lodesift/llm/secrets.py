@@ -1,7 +1,9 @@
 """Secret scanning with a random forest that removes false positives, DataFrame functions only.
 
 Candidates are words of a text that look unlike language: long with digits and
-letters, or a value given to a name.  Each is described by its length, by its
+letters, or a value given to a name, in the same word or the words before; and
+inside such a word every published key format and every pair of name and value.
+Each is described by its length, by its
 transitions between kinds of characters, by how much of it common words cover,
 by the path it stands in and by the words next to it.  The forest learns from
 labelled findings; without any given, findings label themselves where the
@@ -33,6 +35,14 @@ PROVIDERS = "|".join([
     r"(AKIA|ASIA)[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{36}", r"glpat-[A-Za-z0-9_-]{20}", r"xox[abprs]-[A-Za-z0-9-]{10,}",
     r"sk-[A-Za-z0-9_-]{20,}", r"AIza[0-9A-Za-z_-]{35}", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*",
 ])
+#: A key of a provider inside a word, not the end of a longer word; escapes before it are no letters of it.
+INSIDE = rf"(?:(?<![A-Za-z0-9])|(?<=%[0-9A-Fa-f]{{2}})|(?<=\\[nrt]))(?:{PROVIDERS})(?![A-Za-z0-9])"
+#: Name and value inside a word, at every start of a name: the value in quotes, or up to what ends it in JSON, links and lists.
+_BARE = r"""[^\s"'&;,<>(){}\[\]|\\"""
+PAIRS = (
+    r"""(?<![\w.-])(?=([A-Za-z][\w.-]{1,40})\\?["']?[=:]+(?!//)(?:\\?"([^"\s\\]{4,})\\?"|\\?'([^'\s\\]{4,})\\?'|"""
+    rf"""(?={_BARE}]{{4}})({_BARE}:=]*(?:[:=]+{_BARE}:=]*){{0,64}})))"""
+)
 #: Names whose values are secrets, words beside harmless values, placeholders.
 NAMES = r"(?i)(pass(word|wd|phrase)?|pwd|token|secret|api_?-?key|access_?-?key|auth(orization)?|bearer|credentials?|private_?-?key)"
 HARMLESS = r"(?i)\b(commit|sha(1|256)?|md5|checksum|hash|uuid|guid|version|revision|order|invoice|phone|tel|isbn|issn|doi|page|id|date|time|ip|mail|e-mail)\b"
@@ -58,14 +68,17 @@ def _rate(value: Column, pattern: str) -> Column:
 
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """(id, position, word, name, value, before, after, path): every candidate of every whole text."""
-    mixed = lambda w: (F.length(w) >= 12) & w.rlike("[0-9]") & w.rlike("[A-Za-z]")
-    given = lambda w: w.rlike(NAMES + r"""["']?[=:]+["']?[^"'=:\s]{4,}""")
+    """(id, position, word, name, value, before, after, path): every candidate of every whole text, several in a word."""
+    long = lambda w: F.length(w) >= 12
+    mixed = lambda w: long(w) & w.rlike("[0-9]") & w.rlike("[A-Za-z]")
+    given = lambda w: w.rlike(NAMES + r"""[\w.-]{0,40}\\?["']?[=:]+\\?["']?[^"'=:\s]{4,}""")
+    told = lambda x: (F.length(x["word"]) >= 4) & x["said"].rlike(NAMES + r"""[\w.-]{0,40}["']?\s*[=:]+>?\s*["'({\[<]*$""")
     rows = docs.select(F.col(doc_id).alias("id"), (F.col(path) if path else F.lit("")).cast("string").alias("path"), F.col(text).alias("text"))
-    rows = rows.filter(F.col("text").rlike(r"[0-9]|[=:]\S")).withColumn("words", F.split("text", r"[\x20\x09-\x0D]+")).drop("text")
+    rows = rows.filter(F.col("text").rlike(r"[0-9=:]|\S{12}")).withColumn("words", F.split("text", r"[\x20\x09-\x0D]+")).drop("text")
     # One pass over the words: an optimizer may copy the split into every use of it.
-    numbered = F.transform("words", lambda w, i: F.struct((i + 1).alias("position"), w.alias("word")))
-    spots = F.filter(numbered, lambda x: mixed(x["word"]) | given(x["word"]))
+    said = lambda i: F.concat_ws(" ", *(F.get("words", i - k) for k in (3, 2, 1)))
+    numbered = F.transform("words", lambda w, i: F.struct((i + 1).alias("position"), w.alias("word"), F.when(said(i).rlike(r"""[=:]>?\s*["'({\[<]*$"""), said(i)).otherwise("").alias("said")))
+    spots = F.filter(numbered, lambda x: mixed(x["word"]) | given(x["word"]) | (long(x["word"]) & x["word"].rlike(INSIDE)) | told(x))
     around = lambda *ks: F.concat_ws(" ", *(F.get("words", F.col("position") - 1 + k) for k in ks))
     found = rows.select("id", "path", "words", F.explode(spots).alias("spot")).select("id", "path", "words", "spot.position", "spot.word")
     found = found.select("id", "path", "position", "word", around(-3, -2, -1).alias("before"), around(1, 2).alias("after"))
@@ -74,9 +87,19 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     bare = F.when(quoted != "", quoted).otherwise(F.regexp_replace("word", r"""^["'({\[<]+|["',;.)}\]>!?]+$""", ""))
     name = F.regexp_extract("word", pair, 1)
     # "name = value" in three words gives the name, too.
-    spoken = F.regexp_extract("before", r"""([A-Za-z][A-Za-z_.-]{1,40})["']?\s*[=:]+$""", 1)
+    spoken = F.regexp_extract("before", r"""([A-Za-z][\w.-]{1,40})["']?\s*[=:]+>?\s*["'({\[<]*$""", 1)
     found = found.withColumn("name", F.when(name != "", name).otherwise(spoken)).withColumn("value", F.when(name != "", F.regexp_extract("word", pair, 2)).otherwise(bare))
-    return found.filter(F.length("value") >= 4)
+    # Names and values have no blanks, so a blank joins them; strings are compared by hash, structs one by one.
+    each = lambda k: F.regexp_extract_all("word", F.lit(PAIRS), F.lit(k))
+    bounds = F.zip_with(each(2), each(3), lambda a, b: F.concat(a, b))
+    values = F.zip_with(bounds, each(4), lambda a, b: F.concat(a, F.regexp_replace(b, r"[.]+$", "")))
+    found = found.withColumn("pairs", F.zip_with(each(1), values, lambda n, v: F.concat_ws(" ", n, v)))
+    found = found.withColumn("inner", F.transform("pairs", lambda x: F.substring_index(x, " ", -1)))
+    keys = F.array_except(F.regexp_extract_all("word", F.lit(INSIDE), F.lit(0)), F.concat("inner", F.array("value")))
+    own = F.when(F.array_contains("inner", F.col("value")), F.array().cast("array<string>")).otherwise(F.array(F.concat_ws(" ", "name", "value")))
+    found = found.withColumn("given", F.explode(F.concat(own, F.array_distinct("pairs"), F.transform(keys, lambda v: F.concat(F.lit(" "), v)))))
+    found = found.withColumn("name", F.substring_index("given", " ", 1)).withColumn("value", F.substring_index("given", " ", -1))
+    return found.drop("pairs", "inner", "given").filter(F.length("value") >= 4)
 
 
 def described(found: DataFrame) -> DataFrame:
