@@ -67,21 +67,25 @@ def _rate(value: Column, pattern: str) -> Column:
     return F.regexp_count(value, F.lit(pattern)) / F.greatest(F.length(value), F.lit(1))
 
 
-def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """(id, position, word, name, value, before, after, path): every candidate of every whole text, several in a word."""
+def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, key: Column | None = None) -> DataFrame:
+    """(id, position, word, name, value, before, after, path): every candidate of every whole text, several in a word.
+
+    With ``key``, a column of ``docs``, that too, as ``key``.
+    """
     long = lambda w: F.length(w) >= 12
     mixed = lambda w: long(w) & w.rlike("[0-9]") & w.rlike("[A-Za-z]")
     given = lambda w: w.rlike(NAMES + r"""[\w.-]{0,40}\\?["']?[=:]+\\?["']?[^"'=:\s]{4,}""")
     told = lambda x: (F.length(x["word"]) >= 4) & x["said"].rlike(NAMES + r"""[\w.-]{0,40}["']?\s*[=:]+>?\s*["'({\[<]*$""")
-    rows = docs.select(F.col(doc_id).alias("id"), (F.col(path) if path else F.lit("")).cast("string").alias("path"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("id"), (F.col(path) if path else F.lit("")).cast("string").alias("path"), F.col(text).alias("text"), *([] if key is None else [key.alias("key")]))
+    kept = rows.drop("text", "id", "path").columns
     rows = rows.filter(F.col("text").rlike(r"[0-9=:]|\S{12}")).withColumn("words", F.split("text", r"[\x20\x09-\x0D]+")).drop("text")
     # One pass over the words: an optimizer may copy the split into every use of it.
     said = lambda i: F.concat_ws(" ", *(F.get("words", i - k) for k in (3, 2, 1)))
     numbered = F.transform("words", lambda w, i: F.struct((i + 1).alias("position"), w.alias("word"), F.when(said(i).rlike(r"""[=:]>?\s*["'({\[<]*$"""), said(i)).otherwise("").alias("said")))
     spots = F.filter(numbered, lambda x: mixed(x["word"]) | given(x["word"]) | (long(x["word"]) & x["word"].rlike(INSIDE)) | told(x))
     around = lambda *ks: F.concat_ws(" ", *(F.get("words", F.col("position") - 1 + k) for k in ks))
-    found = rows.select("id", "path", "words", F.explode(spots).alias("spot")).select("id", "path", "words", "spot.position", "spot.word")
-    found = found.select("id", "path", "position", "word", around(-3, -2, -1).alias("before"), around(1, 2).alias("after"))
+    found = rows.select("id", "path", *kept, "words", F.explode(spots).alias("spot")).select("id", "path", *kept, "words", "spot.position", "spot.word")
+    found = found.select("id", "path", *kept, "position", "word", around(-3, -2, -1).alias("before"), around(1, 2).alias("after"))
     pair = r"""^["'({\[]*([A-Za-z][A-Za-z_.-]{1,40})["']?[=:]+["']?(\S{4,}?)["',;.)}\]]*$"""
     quoted = F.regexp_extract("word", r"""^[^\w"']*["']([^"'\s]{4,})["']""", 1)
     bare = F.when(quoted != "", quoted).otherwise(F.regexp_replace("word", r"""^["'({\[<]+|["',;.)}\]>!?]+$""", ""))
@@ -174,22 +178,29 @@ def scan(docs: DataFrame, forest: Forest | None = None, doc_id: str = "doc_id",
     from nothing is a secret.  Other columns are left out; ``path`` names a
     column with the path of the text, if there is one.
     """
-    found = materialise(described(candidates(docs, doc_id, text, path)), "candidates")
+    return _judged(candidates(docs, doc_id, text, path), forest).select(F.col("id").alias("doc_id"), "position", "name", "value", "score", "is_secret")
+
+
+def _judged(found: DataFrame, forest: Forest | None) -> DataFrame:
+    """Candidates with score and is_secret."""
+    found = materialise(described(found), "candidates")
     forest = forest or fit(self_labelled(found))
     done = forest.score(found)
     # Published key formats are secrets whatever stands around them.
     sure = F.col("value").rlike(f"^({PROVIDERS})$") & ~F.col("value").rlike("(?i)example")
     done = done.withColumn("score", F.when(sure, F.greatest("score", F.lit(THRESHOLD))).otherwise(F.col("score")))
-    return done.select(F.col("id").alias("doc_id"), "position", "name", "value", "score", (F.col("score") >= THRESHOLD).alias("is_secret"))
+    return done.withColumn("is_secret", F.col("score") >= THRESHOLD)
 
 
 def redacted(docs: DataFrame, forest: Forest | None = None, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """``docs`` with every confirmed secret in a text replaced by a mask; all rows and columns stay."""
-    found = scan(docs, forest, doc_id, text, path).filter("is_secret")
-    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    # By id and text: an array is bounded by its own text, whatever rows share a null or repeated id.
+    parts = [F.col(doc_id).cast("string"), *([F.col(path).cast("string")] if path else []), F.col(text)]
+    key = F.md5(F.concat_ws("\n", *(F.coalesce(F.concat(F.lit("="), c), F.lit("null")) for c in parts)))
+    found = _judged(candidates(docs, doc_id, text, path, key), forest).filter("is_secret")
     # Longer values first, so that none is cut by one that it contains.
     values = F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a))
-    by_id = materialise(found.groupBy(key("doc_id").alias("_key")).agg(values.alias("_secrets")), "secrets")
-    joined = docs.withColumn("_key", key(doc_id)).join(broadcast_if_small(by_id, BROADCAST_BYTES), "_key", "left")
+    by_key = materialise(found.groupBy(F.col("key").alias("_key")).agg(values.alias("_secrets")), "secrets")
+    joined = docs.withColumn("_key", key).join(broadcast_if_small(by_key, BROADCAST_BYTES), "_key", "left")
     clean = F.aggregate("_secrets", F.col(text), lambda t, v: F.replace(t, v, F.lit(MASK)))
     return joined.withColumn(text, F.when(F.col("_secrets").isNull(), F.col(text)).otherwise(clean)).select(*docs.columns)

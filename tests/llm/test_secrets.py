@@ -79,3 +79,12 @@ def test_values_apart_and_inside_words(spark):
     assert sure == {(4, aws), (5, git), (6, aws), (6, git), (8, aws), (10, texts[10][2])}
     clean = {r["doc_id"]: r["text"] for r in secrets.redacted(docs, secrets.Forest()).collect()}
     assert clean[4] == f'{{"user":"bob","api_key":"{secrets.MASK}"}}' and clean[5] == f"see https://h/x?token={secrets.MASK}&y=1 now"
+
+
+def test_secrets_stay_with_their_text(spark):
+    keys = ["AKIAIOSFODNN7ABCDE" + f"{n:02d}" for n in range(40)]
+    rows = [(None if n % 2 else 7, f"key {k} here") for n, k in enumerate(keys)] + [(None, f"x{keys[1]} stays, no key"), (7, f"x{keys[0]} stays, no key"), (None, None), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in secrets.redacted(docs, secrets.Forest()).collect()]
+    want = [(i, t if t is None or "stays" in t else f"key {secrets.MASK} here") for i, t in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
