@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, flat_graph, group_matrix, kneser_ney, language, mixture, secrets, toxicity, vafile, windows
+from . import bpe, flat_graph, group_matrix, kneser_ney, language, manifest, mixture, secrets, toxicity, twins, vafile, windows
 
 VOCABULARY = "byte_bpe_50k.json"
 MAX_REPEATS = 2.0
@@ -57,6 +57,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.topk(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20)
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audited(table(spark, sf_dir, "documents"), manifest.tampered())
+
+
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
     "op2_toxicity": op2_toxicity,
@@ -68,6 +72,7 @@ QUERIES = {
     "op8_perplexity": op8_perplexity,
     "op9_language": op9_language,
     "op10_topk": op10_topk,
+    "op13_manifest": op13_manifest,
 }
 
 # The budgets by bisection, then every document by the running sum of its source's last epoch.
@@ -117,6 +122,7 @@ FROM jittered
 
 ORACLES: dict[str, str] = {
     "op4_mixing": MIXING,
+    "op13_manifest": twins.MANIFEST,
     "op10_topk": """
 WITH numbers AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
