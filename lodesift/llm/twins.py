@@ -41,8 +41,8 @@ WITH RECURSIVE given AS (
     others || array_to_string(members[:idx % 16], '') || array_to_string(members[idx % 16 + 2:], '')
   FROM folds f JOIN runs r ON r.level = f.level AND r.tree = f.tree AND r.run = f.idx // 16
 ), subroots AS (
-  SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS idx FROM nodes
-  QUALIFY row_number() OVER (PARTITION BY tree ORDER BY level DESC) = 1
+  SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS idx
+  FROM (SELECT * FROM nodes QUALIFY row_number() OVER (PARTITION BY tree ORDER BY level DESC) = 1)
 ), tops(level, idx, h) AS (
   SELECT 0, idx, subroot FROM subroots
   UNION ALL
