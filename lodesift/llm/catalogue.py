@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, flat_graph, group_matrix, kneser_ney, language, manifest, mixture, secrets, toxicity, twins, vafile, windows
+from . import blockmax, bpe, flat_graph, group_matrix, kneser_ney, language, manifest, mixture, secrets, toxicity, twins, vafile, windows
 
 VOCABULARY = "byte_bpe_50k.json"
 MAX_REPEATS = 2.0
@@ -57,6 +57,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.topk(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blockmax.topk(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audited(table(spark, sf_dir, "documents"), manifest.tampered())
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op8_perplexity": op8_perplexity,
     "op9_language": op9_language,
     "op10_topk": op10_topk,
+    "op12_ranked_search": op12_ranked_search,
     "op13_manifest": op13_manifest,
 }
 
@@ -122,6 +127,7 @@ FROM jittered
 
 ORACLES: dict[str, str] = {
     "op4_mixing": MIXING,
+    "op12_ranked_search": twins.RANKED,
     "op13_manifest": twins.MANIFEST,
     "op10_topk": """
 WITH numbers AS (

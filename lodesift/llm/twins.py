@@ -63,3 +63,26 @@ WITH RECURSIVE given AS (
 SELECT doc_id, leaf, subroot, root, sha256(others) AS proof_sha256, f.now AS folded_root, f.now = root AS verified
 FROM (SELECT * FROM folded QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC) = 1) f JOIN leaves USING (id), root
 """
+
+# Every term of every item against all documents, in 64-bit integers.
+RANKED = """
+WITH terms AS (
+  SELECT doc_id, n_row, unnest(words) AS term, len(words) AS n
+  FROM (SELECT doc_id, row_number() OVER () AS n_row, regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words FROM documents)
+), asked AS (
+  SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL
+), totals AS (SELECT count(DISTINCT n_row) AS docs, count(*) AS length FROM terms),
+postings AS (SELECT n_row, doc_id, term, n, count(*) AS tf FROM terms GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), totals
+), scored AS (
+  SELECT item_id, n_row, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // length)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term), totals GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
