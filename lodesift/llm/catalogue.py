@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import blockmax, bpe, flat_graph, group_matrix, kneser_ney, language, manifest, mixture, secrets, toxicity, twins, vafile, windows
+from . import blockmax, bpe, flat_graph, group_matrix, kneser_ney, language, manifest, mixture, outliers, secrets, toxicity, twins, vafile, windows
 
 VOCABULARY = "byte_bpe_50k.json"
 MAX_REPEATS = 2.0
@@ -57,6 +57,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.topk(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20)
 
 
+def op11_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.quality(table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blockmax.topk(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op8_perplexity": op8_perplexity,
     "op9_language": op9_language,
     "op10_topk": op10_topk,
+    "op11_outliers": op11_outliers,
     "op12_ranked_search": op12_ranked_search,
     "op13_manifest": op13_manifest,
 }
