@@ -37,6 +37,8 @@ WINDOW = 4096
 ASKED_TERMS = 4 << 20
 BROADCAST_BYTES = 32 << 20
 QUERY_BLOCK = 4096
+#: Shards that a task of a search goes through, one after another with the k best so far.
+TASK_SHARDS = 4
 
 _TERM_BREAK = np.ones(256, bool)
 _TERM_BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -152,6 +154,7 @@ class Index:
     frequencies: DataFrame
     n_docs: int
     n_terms: int
+    n_shards: int
 
 
 def query_terms(items: DataFrame, id_col: str = "item_id", text: str = "text") -> DataFrame:
@@ -198,9 +201,9 @@ def build(docs: DataFrame, asked: DataFrame | None = None, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, np.int64)), pa.array(np.frombuffer(counts, np.uint32).astype(np.int64))], names=["term", "df"])
 
     shards = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, _SHARD), "shards")
-    totals = shards.agg(F.sum("n_docs"), F.sum("n_terms")).first()
+    totals = shards.agg(F.sum("n_docs"), F.sum("n_terms"), F.count(F.lit(1))).first()
     counted = shards.select("terms", "counts").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    return Index(shards, materialise(counted, "frequencies"), int(totals[0] or 0), int(totals[1] or 0))
+    return Index(shards, materialise(counted, "frequencies"), int(totals[0] or 0), int(totals[1] or 0), totals[2])
 
 
 class Shard:
@@ -364,7 +367,9 @@ def search(index: Index, asked: DataFrame, k: int = 10) -> DataFrame:
     items = materialise(items.withColumn("number", F.row_number().over(Window.partitionBy("q_block").orderBy("item_id")).cast("long")), "items")
     numbered = known.join(broadcast_if_small(items, BROADCAST_BYTES), known["item_id"].eqNullSafe(items["item_id"])).select("q_block", "number", "term", "weight")
     packed = materialise(numbered.groupBy("q_block").applyInArrow(_pack_queries, "q_block int, numbers binary, starts binary, q_terms binary, q_weights binary"), "queries")
-    pairs = index.shards.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # A shard is small for a scan and much work for a search, so they are dealt out by number.
+    dealt = index.shards.repartition(max(1, ceil(index.n_shards / TASK_SHARDS)))
+    pairs = dealt.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pairs = pairs.join(broadcast_if_small(packed, BROADCAST_BYTES), "q_block")
     n_docs, n_terms = index.n_docs, index.n_terms
 
