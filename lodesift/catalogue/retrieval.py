@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.vectors import normalise
+from ..operators.blocks import block_search
 from ..operators.embed import HashedEncoder, embed
 from ..operators.fusion import fuse
-from ..operators.lexical import bm25_search, corpus_statistics, idf, query_terms, read_corpus, term_statistics
+from ..operators.lexical import corpus_statistics, idf, query_terms, read_corpus, term_statistics
 from ..operators.nearest import (
     PlaneCells, assign_cells, nearest, nearest_approximate, nearest_post_filtered, recall_at_k, train_cells,
 )
@@ -19,6 +20,7 @@ from ..operators.rerank import query_scores
 from ..plans.index import Index, build_index, index_of, open_index
 from ..plans.retrieve import candidate_list, hybrid_hits, retrieve
 from ..session import materialise, scratch_path
+from ..sources.store import IndexStore
 from .tables import table, tokens_of
 
 K = 10
@@ -65,7 +67,7 @@ def bm25_query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25_search(corpus(spark, sf_dir), questions(spark, sf_dir), K)
+    return block_search(corpus(spark, sf_dir), questions(spark, sf_dir), K)
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +155,19 @@ def stored_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "rank", "doc_id", "rerank_score")
 
 
+def merged_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same hits out of an index that came in five overlapping batches, four of which were merged, one of them repeated."""
+    path, encoder = scratch_path(spark, "index"), HashedEncoder(DIM)
+    records, store = materialise(company_records(spark, sf_dir), "records"), IndexStore(spark, path)
+    for n in range(5):
+        part = records.filter((F.col("startup_id") % 5 == n) | (F.col("startup_id") % 7 == 0))
+        build_index(part, path, encoder=encoder, id_col="startup_id", batch=f"part{n}")
+    store.compact()
+    build_index(records.filter("startup_id % 5 = 1"), path, encoder=encoder, id_col="startup_id", batch="part1")
+    hits = hybrid_hits(questions(spark, sf_dir), open_index(spark, path, encoder))
+    return hits.select("query_id", "rank", "doc_id", "rerank_score")
+
+
 def retrieval_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = retrieve(questions(spark, sf_dir), document_index(spark, sf_dir))
     return result.select("query_id", "n_docs", "best_score", "mean_score", "confidence")
@@ -165,7 +180,7 @@ def hit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     bm25_topk, bm25_terms, bm25_corpus, bm25_query_terms, cosine_topk, cosine_topk_filtered, cosine_topk_post_filtered,
     unit_vectors, cosine_plane_cells, cosine_centroid_cells, embedded_documents, semantic_topk, fused_topk,
-    fused_equal_weights, hybrid_topk, hybrid_topk_filtered, stored_index_topk, retrieval_confidence, hit_scores,
+    fused_equal_weights, hybrid_topk, hybrid_topk_filtered, stored_index_topk, merged_index_topk, retrieval_confidence, hit_scores,
 )}
 
 
@@ -279,6 +294,10 @@ near AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_i
   FROM cosine JOIN own ON own.vec_id = doc_id JOIN probed ON probed.vec_id = query_id AND probed.cell = own.cell
   QUALIFY rank <= {K})"""
 
+_STORED_HITS = f"""WITH stored AS {_STORED}, {hybrid_ctes().replace('FROM documents', 'FROM stored').replace(
+        'CROSS JOIN documents x', 'CROSS JOIN stored x')}
+SELECT query_id, rank::INTEGER AS rank, doc_id, rerank_score FROM hits"""
+
 ORACLES = {
     "bm25_topk": f"WITH {_bm25(k=K)} SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM bm",
     "bm25_terms": f"WITH {_bm25()} SELECT term, df, round(idf, 6) AS idf FROM idfs",
@@ -309,9 +328,8 @@ FROM merged QUALIFY rank <= {K}""",
     "hybrid_topk": f"WITH {hybrid_ctes()} SELECT query_id, rank::INTEGER AS rank, doc_id, score, rerank_score FROM hits",
     "hybrid_topk_filtered": f"""WITH {hybrid_ctes("{d}.lang = 'en'")}
 SELECT query_id, rank::INTEGER AS rank, doc_id, score, rerank_score FROM hits""",
-    "stored_index_topk": f"""WITH stored AS {_STORED}, {hybrid_ctes().replace('FROM documents', 'FROM stored').replace(
-        'CROSS JOIN documents x', 'CROSS JOIN stored x')}
-SELECT query_id, rank::INTEGER AS rank, doc_id, rerank_score FROM hits""",
+    "stored_index_topk": _STORED_HITS,
+    "merged_index_topk": _STORED_HITS,
     "retrieval_confidence": f"""WITH {hybrid_ctes()} {_CONFIDENCE}
 SELECT b.item_id AS query_id, coalesce(n_docs, 0)::INTEGER AS n_docs, coalesce(best_score, 1.0) AS best_score,
   coalesce(mean_score, 1.0) AS mean_score,

@@ -49,8 +49,11 @@ def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six micro-batches, in which a fifth of all documents comes twice, with a merge of batches on the way."""
     out = scratch_path(spark, "index-stream")
-    docs = _stream(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("meta_lang"))
+    given = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("meta_lang"))
+    given.union(given.filter("doc_id % 5 = 0")).repartition(6).write.parquet(f"{out}/arriving")
+    docs = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/arriving")
     maintain_index(docs, f"{out}/index", f"{out}/checkpoint", "docs", encoder=HashedEncoder(64)).awaitTermination()
     return IndexStore(spark, f"{out}/index").terms().filter("term IS NOT NULL").select("term", "df")
 

@@ -19,7 +19,7 @@ from ..functions.numbers import rounded
 from ..functions.text import tokens
 from ..session import materialise
 from .nearest import best_first
-from .sizing import in_shards, measure
+from .sizing import measure
 
 
 def tokenise(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -141,21 +141,6 @@ def score_postings(
     return best_first(scored, k)
 
 
-def stored_postings(posting: DataFrame, wanted: DataFrame, shards: list[int] | None = None) -> DataFrame:
-    """Postings of the wanted terms, spread by document.
-
-    With ``shards`` the stored rows lie in folders by a hash of the term, and
-    partition pruning at run time reads the folders of the wanted terms only.
-    """
-    keys = ["term"]
-    if shards:
-        keys = ["shards", "shard", "term"]
-        # True for every token, but Spark prunes at run time only by a side with a filter.
-        wanted = wanted.filter(F.length("term") > 1)
-        wanted = F.broadcast(in_shards(wanted, "term", shards))
-    return posting.join(wanted, keys, "left_semi").drop("shards", "shard").repartition("doc_id")
-
-
 def search_postings(
     posting: Callable[[DataFrame], DataFrame], queries: DataFrame, terms: DataFrame, corpus: Corpus, k: int, *,
     cfg: LexicalConfig = LexicalConfig(), decimals: int = RetrievalConfig.decimals, limits: SizeLimits = SizeLimits(),
@@ -163,7 +148,7 @@ def search_postings(
     """BM25 for a table of queries.
 
     ``posting`` gives the postings of a set of terms, spread by document:
-    :func:`postings` from texts or :func:`stored_postings`.  The query side is broadcast when its measured size
+    :func:`postings` from texts.  The query side is broadcast when its measured size
     allows it; otherwise the queries are cut into blocks that do, and each
     block is answered on its own: a query is in exactly one block, so its top k
     is final.

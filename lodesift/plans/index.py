@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.documents import build_documents, dense_ids
 from ..operators.embed import Encoder, HashedEncoder, embed
-from ..operators.lexical import Corpus, corpus_statistics, postings, read_corpus, stored_postings, term_statistics
+from ..operators.blocks import chunk_rows, packed_postings, packed_terms
+from ..operators.lexical import Corpus, corpus_statistics, read_corpus
+from ..operators.sizing import in_shards
 from ..session import materialise
 from ..sources.catalog import first_rows
 from ..sources.store import IndexStore
@@ -17,45 +19,54 @@ from ..sources.store import IndexStore
 
 @dataclass(frozen=True)
 class Index:
-    """Tables a retrieval job reads; ``postings`` gives those of wanted terms."""
+    """Tables a retrieval job reads; ``postings(wanted, few)`` gives the posting rows of a table of terms, ``few`` if it may go to every task."""
 
     documents: DataFrame
     vectors: DataFrame
     terms: DataFrame
     corpus: Corpus
-    postings: Callable[[DataFrame], DataFrame]
+    postings: Callable[..., DataFrame]
+    chunks: DataFrame
     encoder: Encoder
     document_shards: list[int] | None = None
 
 
 def index_of(docs: DataFrame, encoder: Encoder | None = None) -> Index:
-    """An index over a table of documents, without storing postings or vectors.
+    """An index over a table of documents: texts are read once for the postings and once for the vectors.
 
-    Only the vocabulary is written (to the shared folder).  For repeated use
-    build a stored index.
+    Postings and vocabulary go to the shared folder.  For repeated use build a
+    stored index.
     """
     encoder = encoder or HashedEncoder()
-    terms = materialise(term_statistics(docs), "terms")
     meta = [c for c in docs.columns if c.startswith("meta_")]
+    packed = materialise(packed_postings(docs.select("doc_id", "text", *meta)).withColumn("batch", F.lit("")), "packed-postings")
+    terms = materialise(packed_terms(packed), "terms")
     return Index(
         documents=docs,
         vectors=embed(docs.select("doc_id", "text", *meta), encoder).drop("text"),
         terms=terms,
         corpus=read_corpus(corpus_statistics(terms)),
-        postings=lambda wanted: postings(docs, wanted),
+        postings=lambda wanted, few=False: packed.join(F.broadcast(wanted) if few else wanted, "term", "left_semi"),
+        chunks=chunk_rows(packed),
         encoder=encoder,
     )
 
 
 def open_index(spark: SparkSession, path: str, encoder: Encoder | None = None) -> Index:
-    """A stored index; pass the encoder it was built with."""
-    store = IndexStore(spark, path)
-    terms, shards = store.terms(), store.shards()
+    """A stored index as it is now; pass the encoder it was built with."""
+    now = IndexStore(spark, path).snapshot()
+    shards = list(now.shards)
+
+    def postings(wanted: DataFrame, few: bool = False) -> DataFrame:
+        """Posting rows out of the folders of the wanted terms: partitions are pruned at run time."""
+        # True for every token, but Spark prunes at run time only by a side with a filter.
+        keyed = in_shards(wanted.filter(F.length("term") > 1), "term", shards)
+        keyed = F.broadcast(keyed) if few else keyed
+        return now.posting_rows().join(keyed, ["shards", "shard", "term"], "left_semi").drop("shards", "shard")
+
     return Index(
-        documents=store.documents(), vectors=store.vectors(), terms=terms,
-        corpus=read_corpus(corpus_statistics(terms)),
-        postings=lambda wanted: stored_postings(store.postings(), wanted, shards),
-        encoder=encoder or HashedEncoder(), document_shards=shards,
+        documents=now.documents(), vectors=now.vectors(), terms=now.terms(), corpus=now.corpus, postings=postings,
+        chunks=now.chunks(), encoder=encoder or HashedEncoder(), document_shards=shards,
     )
 
 

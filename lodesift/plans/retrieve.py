@@ -7,11 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import RetrievalConfig, SizeLimits
 from ..functions.rules import confidence_band
 from ..functions.text import tokens
+from ..operators.blocks import BlockSearch
 from ..operators.clean import computed_once
-from ..operators.documents import where as apply_where
 from ..operators.embed import embed
 from ..operators.fusion import fuse
-from ..operators.lexical import search_postings
 from ..operators.nearest import nearest
 from ..operators.rerank import PairModel, cut, model_scores, overlap_score, overlap_weights, query_scores, split_by_need
 from ..operators.sizing import broadcast_if_small, in_shards, measure
@@ -33,17 +32,9 @@ def lexical_list(
     queries: DataFrame, index: Index, k: int, where: dict[str, object] | None = None,
     cfg: RetrievalConfig = RetrievalConfig(), limits: SizeLimits = SizeLimits(),
 ) -> DataFrame:
-    posting = index.postings
-    if where:
-        allowed = apply_where(index.documents, where).select("doc_id")
-        source = posting
-
-        def posting(wanted: DataFrame) -> DataFrame:
-            return source(wanted).join(allowed, "doc_id", "left_semi")
-
-    return search_postings(
-        posting, queries, index.terms, index.corpus, k, cfg=cfg.lexical, decimals=cfg.decimals, limits=limits,
-    )
+    return BlockSearch(
+        index.postings, index.chunks, queries, index.terms, index.corpus, k, cfg=cfg.lexical, decimals=cfg.decimals, limits=limits, where=where,
+    ).hits()
 
 
 def candidate_list(

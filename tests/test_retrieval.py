@@ -1,6 +1,7 @@
 """BM25, vectors, fusion, rerank and hybrid retrieval against plain Python."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -12,7 +13,8 @@ from lodesift.config import LexicalConfig, RetrievalConfig, SizeLimits
 from lodesift.functions.vectors import normalise
 from lodesift.operators.embed import HashedEncoder, embed
 from lodesift.operators.fusion import fuse
-from lodesift.operators.lexical import bm25_search
+from lodesift.operators import blocks
+from lodesift.operators.lexical import bm25_search, corpus_statistics, read_corpus
 from lodesift.operators.nearest import (
     CentroidCells, PlaneCells, assign_cells, nearest, nearest_approximate, nearest_post_filtered, read_cells, recall_at_k,
     train_cells, write_cells,
@@ -21,6 +23,7 @@ from lodesift.operators.rerank import cut, query_scores, split_by_need
 from lodesift.operators.sizing import broadcast_if_small, measure
 from lodesift.plans.index import build_index, index_of, open_index
 from lodesift.plans.retrieve import candidate_list, hybrid_hits, retrieve
+from lodesift.session import materialise
 from lodesift.sources.store import IndexStore
 
 DOCS = [
@@ -315,12 +318,106 @@ def test_failed_batch_stays_unseen(spark, tmp_path, rows, monkeypatch):
 
 def test_shards_follow_each_batch(spark, tmp_path, rows, monkeypatch):
     monkeypatch.setattr("lodesift.sources.store.SHARD_BYTES", 2000)
-    monkeypatch.setattr("lodesift.sources.store.FILE_ROWS", 40)
-    docs = [(f"d{n}", f"term{n} word{n % 9} shared") for n in range(200)]
+    monkeypatch.setattr("lodesift.operators.blocks.CHUNK_DOCS", 10)
+    docs = [(f"d{n}", f"term{n} word{n % 9} shared") for n in range(80)]
     store = IndexStore(spark, str(tmp_path / "index"))
-    for label, part in (("one", docs[:3]), ("two", docs[3:])):
-        store.append(spark.createDataFrame(part, "doc_id string, text string"), label, HashedEncoder(16))
-    assert store.shards()[0] == 1 and store.shards()[-1] >= 8
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for label, part in (("one", docs[:3]), ("two", docs[3:])):
+            store.append(spark.createDataFrame(part, "doc_id string, text string"), label, HashedEncoder(16))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert store.shards()[0] == 1 and store.shards()[-1] >= 4
+    hot = list((tmp_path / "index" / "postings" / "batch=two").glob("shards=*/shard=*/*.parquet"))
+    assert len(hot) > store.shards()[-1]       # a folder that is too much for one task has several files
+    asked = spark.createDataFrame([(0, "term1 shared"), (1, "word3 term50")], "query_id long, text string")
+    whole = index_of(spark.createDataFrame(docs, "doc_id string, text string"), HashedEncoder(16))
+    stored = open_index(spark, store.path, HashedEncoder(16))
+    want = rows(hybrid_hits(asked, whole), "query_id", "rank", "doc_id")
+    assert rows(hybrid_hits(asked, stored), "query_id", "rank", "doc_id") == want
+    tight = SizeLimits(broadcast_bytes=1)
+    assert rows(hybrid_hits(asked, stored, limits=tight), "query_id", "rank", "doc_id") == want
+
+
+def corpus_of(n, seed=1):
+    rng = random.Random(seed)
+    return [(i, " ".join(f"w{min(int(rng.expovariate(0.05)), 400)}" for _ in range(rng.choice([0, 3, 30, 90])))) for i in range(n)]
+
+
+@pytest.mark.parametrize("settings, limits", [({}, SizeLimits()), ({"BLOCK": 4, "CHUNK_DOCS": 30}, SizeLimits()), ({"BLOCK": 4, "CHUNK_BYTES": 900}, SizeLimits(broadcast_bytes=3000))])
+def test_block_search_equals_all_scores(spark, rows, monkeypatch, settings, limits):
+    for name, value in settings.items():
+        monkeypatch.setattr(blocks, name, value)
+    data = [*corpus_of(300), (900, None), (901, "Éa ﬁ w1w1 \u212aelvin"), (902, "w3 " * 2000)]
+    asked = [(q, text) for q, text in corpus_of(40, 2)] + [(100, None), (101, "kelvin elvin"), (102, "w3 w3")]
+    df = spark.createDataFrame([(*d, d[0] % 3) for d in data], "doc_id long, text string, meta_kind int").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    got = rows(blocks.block_search(df, queries, 7, limits=limits), "query_id", "doc_id", "score", "rank")
+    want = plain_bm25([(d, t or "") for d, t in data], [(q, t or "") for q, t in asked], 7)
+    assert [g[:2] + g[3:] for g in sorted(got)] == [w[:2] + w[3:] for w in want]
+    assert [g[2] for g in sorted(got)] == pytest.approx([w[2] for w in want], abs=1e-6)
+    filtered = blocks.block_search(df, queries, 7, limits=limits, where={"kind": 1}).collect()
+    full = {(r["query_id"], r["doc_id"]): r["score"] for r in blocks.block_search(df, queries, 1000).collect()}
+    best = {}
+    for (q, d), s in full.items():
+        if d % 3 == 1:
+            best.setdefault(q, []).append((-s, d))
+    assert {(r["query_id"], r["rank"], r["doc_id"]) for r in filtered} == {(q, n, d) for q, x in best.items() for n, (_, d) in enumerate(sorted(x)[:7], 1)}
+    with pytest.raises(ValueError):
+        blocks.block_search(df, queries, 7, where={"colour": 1})
+
+
+def test_blocks_out_of_reach_stay_closed(spark, monkeypatch):
+    """Documents about few topics each, side by side: a question's threshold closes most blocks."""
+    monkeypatch.setattr(blocks, "BLOCK", 8)
+    data = [(n, f"shared topic{n // 8} " + f"word{n // 8}x{n % 3} " * (n % 5)) for n in range(640)]
+    packed = materialise(blocks.packed_postings(spark.createDataFrame(data, "doc_id long, text string").coalesce(1)).withColumn("batch", F.lit("")))
+    terms = materialise(blocks.packed_terms(packed))
+    queries = spark.createDataFrame([(q, f"shared topic{q} word{q}x1") for q in range(20)], "query_id long, text string")
+    search = blocks.BlockSearch(
+        lambda wanted, few: packed.join(wanted, "term", "left_semi"), blocks.chunk_rows(packed), queries, terms, read_corpus(corpus_statistics(terms)), 3)
+    opened, held = search.opened()
+    assert 0 < opened <= 0.1 * held
+    got = sorted((r["query_id"], r["doc_id"], r["rank"]) for r in search.hits().collect())
+    assert got == [(q, d, n) for q, d, _, n in plain_bm25(data, [(q, f"shared topic{q} word{q}x1") for q in range(20)], 3)]
+
+
+def test_merged_batches(spark, tmp_path, rows, monkeypatch):
+    monkeypatch.setattr("lodesift.sources.store.CHUNK_DOCS", 40)
+    data = [(f"d{n}", text, f"k{n % 2}") for n, text in corpus_of(120)]
+    schema = "doc_id string, text string, meta_kind string"
+    queries = spark.createDataFrame(corpus_of(8, 5), "query_id long, text string")
+    store, encoder = IndexStore(spark, str(tmp_path / "index")), HashedEncoder(16)
+    for n in range(5):
+        part = data[max(0, n * 24 - 4):n * 24 + 24]     # batches overlap
+        store.append(spark.createDataFrame(part, schema), f"b{n}", encoder)
+        if n == 3:
+            early = open_index(spark, store.path, encoder)
+            before = rows(hybrid_hits(queries, early), "query_id", "rank", "doc_id")
+            made = store.compact()
+            assert len(made) == 1 and [r["label"] for r in store.batches().collect()] == made
+            # A reader from before the merge answers as it did, and so does one from after it.
+            assert rows(hybrid_hits(queries, early), "query_id", "rank", "doc_id") == before
+            assert rows(hybrid_hits(queries, open_index(spark, store.path, encoder)), "query_id", "rank", "doc_id") == before
+            store.append(spark.createDataFrame(data[:24], schema), "b0", encoder)       # repeated after its merge
+            assert store.count() == 96
+    assert store.count() == store.documents().count() == store.vectors().count() == 120
+    whole = index_of(spark.createDataFrame(data, schema), encoder)
+    merged = open_index(spark, store.path, encoder)
+    for where in (None, {"kind": "k1"}):
+        assert rows(hybrid_hits(queries, merged, where=where), "query_id", "rank", "doc_id") == rows(hybrid_hits(queries, whole, where=where), "query_id", "rank", "doc_id")
+    assert merged.corpus.__dict__ == pytest.approx(whole.corpus.__dict__)
+    plan = store.snapshot().terms()._jdf.queryExecution().executedPlan().toString()
+    assert store.merge([r["label"] for r in store.batches().collect()]) and "HashAggregate" in plan
+    now = store.snapshot()
+    assert len(now.labels) == 1 and "HashAggregate" not in now.terms()._jdf.queryExecution().executedPlan().toString()
+    bags = Counter((d, t) for d, text, _ in data for t in tok(text))
+    assert {(r["doc_id"], r["term"]): r["tf"] for r in store.postings().collect()} == dict(bags)
+    assert len(store.vacuum()) == 6 and store.postings().count() == len(bags)
 
 
 def test_stored_cells_are_pruned(vectors, rows, spark, tmp_path):
