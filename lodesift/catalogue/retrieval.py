@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.vectors import normalise
+from ..config import RetrievalConfig
 from ..operators.blocks import block_search
+from ..operators.cells import CellCodes, calibrated, coded, nearest_coded, picked, read_coded, train, write_coded
 from ..operators.embed import HashedEncoder, embed
 from ..operators.fusion import fuse
 from ..operators.lexical import corpus_statistics, idf, query_terms, read_corpus, term_statistics
@@ -18,7 +20,7 @@ from ..operators.nearest import (
 )
 from ..operators.rerank import query_scores
 from ..plans.index import Index, build_index, index_of, open_index
-from ..plans.retrieve import candidate_list, hybrid_hits, retrieve
+from ..plans.retrieve import candidate_list, hybrid_hits, retrieve, semantic_list
 from ..session import materialise, scratch_path
 from ..sources.store import IndexStore
 from .tables import table, tokens_of
@@ -27,6 +29,9 @@ K = 10
 DIM = 384
 PLANES, PROBES = 4, 3
 CELLS, CELL_PROBES = 16, 12
+#: Coded cells: share of the cells that a query probes, and of the vectors that it scores exactly.
+CODED_PROBES, CODED_RESCORE = 0.85, 0.1
+RECALL, SCORED = 0.9, 0.25
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +109,49 @@ def cosine_centroid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall_at_k(found, nearest(base, asked, K))
 
 
+def _stored_cells(spark: SparkSession, rows: DataFrame, codes: CellCodes) -> tuple[DataFrame, CellCodes]:
+    path = scratch_path(spark, "coded")
+    write_coded(coded(rows, codes), path, codes)
+    return read_coded(spark, path)
+
+
+def coded_cells_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored cells with codes picked by rule: hits, the share of vectors scored for them, and their recall."""
+    base, asked = vectors(spark, sf_dir).select("doc_id", "embedding"), vector_queries(spark, sf_dir)
+    n = base.count()
+    rows, codes = _stored_cells(spark, base, picked(base, n))
+    found = materialise(nearest_coded(
+        rows, asked, codes, K, probes=max(1, round(CODED_PROBES * codes.cells)), rescore=round(CODED_RESCORE * n)), "found")
+    recall = recall_at_k(found, nearest(base, asked, K))
+    return found.join(recall, "query_id").select(
+        "query_id", "rank", "doc_id", "score", F.round(F.col("scored") / n, 6).alias("scored_share"), "recall")
+
+
+def coded_cells_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained cells and codes, probes and rescoring calibrated: whether recall and the share of scored vectors are what they should be."""
+    base, asked = vectors(spark, sf_dir).select("doc_id", "embedding"), vector_queries(spark, sf_dir)
+    n = base.count()
+    rows, codes = _stored_cells(spark, base, train(base, n))
+    probes, rescore = calibrated(rows, codes, K)
+    found = materialise(nearest_coded(rows, asked, codes, K, probes=probes, rescore=rescore), "found")
+    scored = found.filter("rank = 1").agg(F.count(F.lit(1)).alias("queries"), (F.avg("scored") / n <= SCORED).alias("scored_within"))
+    recall = recall_at_k(found, nearest(base, asked, K)).agg((F.avg("recall") >= RECALL).alias("recall_reached"))
+    return scored.join(recall)
+
+
+def approximate_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored index with cells in two batches: how many questions have their list, and whether enough of the exact lists is in them."""
+    path, encoder = scratch_path(spark, "index"), HashedEncoder(DIM)
+    records = materialise(company_records(spark, sf_dir), "records")
+    for n in range(2):
+        build_index(records.filter(F.col("startup_id") % 2 == n), path, encoder=encoder, id_col="startup_id", batch=f"part{n}", cells=True)
+    index = open_index(spark, path, encoder)
+    asked = questions(spark, sf_dir)
+    found = semantic_list(asked, index, K, cfg=RetrievalConfig(approximate=True))
+    recall = recall_at_k(found, semantic_list(asked, index, K))
+    return recall.agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= RECALL).alias("recall_reached"))
+
+
 def embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     embedded = embed(corpus(spark, sf_dir).select("doc_id", "text"), HashedEncoder(DIM))
     return (
@@ -179,7 +227,8 @@ def hit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     bm25_topk, bm25_terms, bm25_corpus, bm25_query_terms, cosine_topk, cosine_topk_filtered, cosine_topk_post_filtered,
-    unit_vectors, cosine_plane_cells, cosine_centroid_cells, embedded_documents, semantic_topk, fused_topk,
+    unit_vectors, cosine_plane_cells, cosine_centroid_cells, coded_cells_topk, coded_cells_recall,
+    approximate_index_recall, embedded_documents, semantic_topk, fused_topk,
     fused_equal_weights, hybrid_topk, hybrid_topk_filtered, stored_index_topk, merged_index_topk, retrieval_confidence, hit_scores,
 )}
 
@@ -294,6 +343,29 @@ near AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_i
   FROM cosine JOIN own ON own.vec_id = doc_id JOIN probed ON probed.vec_id = query_id AND probed.cell = own.cell
   QUALIFY rank <= {K})"""
 
+_CODED = f"""
+counted AS (SELECT count(*) AS n, CAST(round(sqrt(count(*))) AS BIGINT) AS cells FROM u),
+x AS (SELECT vec_id, list_transform(v, lambda a: CASE WHEN n = 0 THEN a ELSE a / n END) AS x FROM u),
+cent AS (SELECT cell, list_transform(x, lambda a: round(a, 6)) AS c FROM (
+    SELECT x, row_number() OVER (ORDER BY md5('cell:' || vec_id), vec_id) - 1 AS cell FROM x), counted WHERE cell < cells),
+close AS (SELECT vec_id, x, cell, c, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(x, c) - list_dot_product(c, c) / 2, 9) DESC, cell) AS place FROM x, cent),
+celled AS (SELECT vec_id, cell, c, list_transform(list_zip(x, c), lambda p: p[1] - p[2]) AS r FROM close WHERE place = 1),
+groups AS (SELECT CAST(unnest(range(16)) AS BIGINT) AS g),
+entries AS (SELECT g, entry, list_transform(r[4 * g + 1:4 * g + 4], lambda a: round(a, 6)) AS e
+  FROM (SELECT r, row_number() OVER (ORDER BY md5('code:' || vec_id), vec_id) - 1 AS entry FROM celled), groups WHERE entry < 256),
+coding AS (SELECT vec_id, g, arg_min(e, [apart, entry]) AS e FROM (
+    SELECT vec_id, g, entry, e, round(list_dot_product(e, e) - 2 * list_dot_product(p, e) + list_dot_product(p, p), 9) AS apart
+    FROM (SELECT vec_id, g, r[4 * g + 1:4 * g + 4] AS p FROM celled, groups) JOIN entries USING (g)) GROUP BY ALL),
+approx AS (SELECT vec_id, cell, list_transform(list_zip(c, h), lambda p: p[1] + p[2]) AS y
+  FROM celled JOIN (SELECT vec_id, flatten(list(e ORDER BY g)) AS h FROM coding GROUP BY 1) USING (vec_id)),
+looked AS (SELECT vec_id AS query_id, x AS q, cell FROM close, counted WHERE place <= greatest(1, round({CODED_PROBES} * cells))),
+survivors AS (SELECT query_id, a.vec_id AS doc_id FROM looked JOIN approx a USING (cell), counted
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(q, y), 9) DESC, a.vec_id) <= greatest({K}, round({CODED_RESCORE} * n))),
+coded AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank,
+    count(*) OVER (PARTITION BY query_id) AS scored FROM cosine JOIN survivors USING (query_id, doc_id)),
+found AS (SELECT coded.*, round(scored / n, 6) AS scored_share FROM coded, counted WHERE rank <= {K}),
+hit AS (SELECT query_id, round(count(found.doc_id) / count(*), 6) AS recall FROM top LEFT JOIN found USING (query_id, doc_id) GROUP BY 1)"""
+
 _STORED_HITS = f"""WITH stored AS {_STORED}, {hybrid_ctes().replace('FROM documents', 'FROM stored').replace(
         'CROSS JOIN documents x', 'CROSS JOIN stored x')}
 SELECT query_id, rank::INTEGER AS rank, doc_id, rerank_score FROM hits"""
@@ -313,6 +385,10 @@ SELECT query_id, doc_id, score, place::INTEGER AS rank FROM kept""",
     "unit_vectors": f"""WITH {_cosine()} SELECT vec_id AS doc_id, i::INTEGER AS dim, round(v[i + 1] / n, 6) + 0 AS value
   FROM u, range(64) t(i)""",
     "cosine_plane_cells": f"WITH {_cosine()}, {_PLANES} SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM near",
+    "coded_cells_topk": f"""WITH {_cosine()}, {_CODED}
+SELECT query_id, rank::INTEGER AS rank, doc_id, score, scored_share, recall FROM found JOIN hit USING (query_id)""",
+    "coded_cells_recall": "SELECT count(*) AS queries, true AS scored_within, true AS recall_reached FROM embeddings",
+    "approximate_index_recall": "SELECT count(*) AS queries, true AS recall_reached FROM benchmark",
     "embedded_documents": f"""WITH {_hashed('d', 'documents', 'doc_id')}
 SELECT doc_id, bucket::INTEGER AS bucket, round(v, 6) AS value FROM d_vec""",
     "semantic_topk": f"WITH {_semantic(k=K)} SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM sem",

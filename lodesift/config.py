@@ -81,6 +81,7 @@ class RetrievalConfig:
     hard_threshold: float = 0.02
     soft_threshold: float = 0.10
     decimals: int = 6                # scores are rounded before ranking
+    approximate: bool = False        # search cells and codes where an index has them
 
 
 @dataclass(frozen=True)

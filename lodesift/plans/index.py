@@ -29,6 +29,8 @@ class Index:
     chunks: DataFrame
     encoder: Encoder
     document_shards: list[int] | None = None
+    coded: list | None = None
+    plain_vectors: DataFrame | None = None
 
 
 def index_of(docs: DataFrame, encoder: Encoder | None = None) -> Index:
@@ -67,18 +69,20 @@ def open_index(spark: SparkSession, path: str, encoder: Encoder | None = None) -
     return Index(
         documents=now.documents(), vectors=now.vectors(), terms=now.terms(), corpus=now.corpus, postings=postings,
         chunks=now.chunks(), encoder=encoder or HashedEncoder(), document_shards=shards,
+        coded=now.coded_vectors(), plain_vectors=now.plain_vectors(),
     )
 
 
 def build_index(
     startups: DataFrame, path: str, *, encoder: Encoder | None = None, id_col: str | None = None,
     order_by: str = "ordinal", limit: int | None = None, reset: bool = False, batch: str = "initial",
-    float_years: bool = False,
+    float_years: bool = False, cells: bool = False,
 ) -> int:
     """Documents, vectors and postings of a flagged company table; returns the document count.
 
     Ids are ``doc_<n>`` by position in ``order_by`` unless ``id_col`` names a
-    unique column.  ``limit`` takes the first rows only, for trials.
+    unique column.  ``limit`` takes the first rows only, for trials.  ``cells`` stores
+    vectors by cell with codes, for :attr:`~..config.RetrievalConfig.approximate`.
     """
     spark = startups.sparkSession
     chosen = first_rows(startups, order_by, limit)
@@ -90,5 +94,5 @@ def build_index(
     store = IndexStore(spark, path)
     if reset:
         store.clear()
-    store.append(docs, batch, encoder)
+    store.append(docs, batch, encoder, cells=cells)
     return store.count()

@@ -2,30 +2,45 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import RetrievalConfig, SizeLimits
 from ..functions.rules import confidence_band
 from ..functions.text import tokens
 from ..operators.blocks import BlockSearch
+from ..operators.cells import nearest_coded
 from ..operators.clean import computed_once
+from ..operators.documents import where as apply_where
 from ..operators.embed import embed
 from ..operators.fusion import fuse
-from ..operators.nearest import nearest
+from ..operators.nearest import best_first, nearest
 from ..operators.rerank import PairModel, cut, model_scores, overlap_score, overlap_weights, query_scores, split_by_need
 from ..operators.sizing import broadcast_if_small, in_shards, measure
 from ..session import materialise
 from .index import Index
 
+
 def semantic_list(
     queries: DataFrame, index: Index, k: int, where: dict[str, object] | None = None,
     cfg: RetrievalConfig = RetrievalConfig(), limits: SizeLimits = SizeLimits(),
 ) -> DataFrame:
+    """Cosine list of each query: exact, or over cells and codes with ``cfg.approximate`` where the index has them."""
     # Stored once: its size is measured before it is used, and the model runs once per query.
     embedded = materialise(
         embed(queries.select("query_id", "text"), index.encoder).select("query_id", "embedding"), "query-vectors"
     )
-    return nearest(index.vectors, embedded, k, where=where, decimals=cfg.decimals, limits=limits)
+    if not cfg.approximate or not index.coded:
+        return nearest(index.vectors, embedded, k, where=where, decimals=cfg.decimals, limits=limits)
+    # Every batch has cells of its own; the filter goes before the codes.
+    lists = [
+        nearest_coded(apply_where(rows, where), embedded, codes, k, probes=probes, rescore=rescore, decimals=cfg.decimals, limits=limits).drop("scored")
+        for rows, codes, probes, rescore in index.coded
+    ]
+    if index.plain_vectors is not None:
+        lists.append(nearest(index.plain_vectors, embedded, k, where=where, decimals=cfg.decimals, limits=limits))
+    return lists[0] if len(lists) == 1 else best_first(reduce(DataFrame.unionByName, lists).drop("rank"), k)
 
 
 def lexical_list(

@@ -1,7 +1,7 @@
 """The index as a folder of Parquet tables.
 
 ``documents`` (id, text, metadata), ``vectors`` (id, unit embedding, flat
-metadata), ``chunks`` and ``postings`` (see ``operators.blocks``) and ``terms``
+metadata; by cell and with codes where asked for, see ``operators.cells``), ``chunks`` and ``postings`` (see ``operators.blocks``) and ``terms``
 (document frequencies).  Every write goes to its own ``batch=<label>`` folder,
 so appends never rewrite what is there and a repeated write of a batch replaces
 exactly itself.
@@ -33,18 +33,19 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..config import SizeLimits
 from ..operators.blocks import CHUNK_DOCS, merge_chunks, packed_postings, packed_terms
+from ..operators.cells import PACKED, CellCodes, calibrated, coded, train
 from ..operators.embed import Encoder, embed
 from ..operators.lexical import Corpus, corpus_statistics
 from ..operators.sizing import broadcast_if_small, measure, shard_of
 from ..session import materialise, spread
 
-TABLES = ("terms", "postings", "chunks", "vectors", "documents")
+TABLES = ("terms", "postings", "chunks", "cells", "vectors", "documents")
 SHARD_BYTES = 256 << 20
 #: As many batches of similar size (within a factor of MERGE_AT) become one.
 MERGE_AT = 4
 _LABEL = r"[A-Za-z][\w.-]*"
 _CORPUS = {"n_docs": "bigint", "total_length": "bigint", "n_terms": "bigint", "avgdl": "double", "avg_idf": "double"}
-_BATCH = "label string, seq bigint, shards int, documents bigint, replaces array<string>, corpus struct<" + ", ".join(f"{c}: {t}" for c, t in _CORPUS.items()) + ">"
+_BATCH = "label string, seq bigint, shards int, documents bigint, probes int, rescore int, replaces array<string>, corpus struct<" + ", ".join(f"{c}: {t}" for c, t in _CORPUS.items()) + ">"
 
 
 @dataclass(frozen=True)
@@ -57,6 +58,8 @@ class Snapshot:
     shards: tuple[int, ...]
     documents_count: int
     corpus: Corpus
+    #: Batches whose vectors have cells and codes, with the cells to probe and the vectors to score exactly.
+    coded: tuple[tuple[str, int, int], ...] = ()
 
     def read(self, name: str) -> DataFrame:
         """One table over the batches of this moment; ``select`` what is needed and only that is read."""
@@ -67,7 +70,21 @@ class Snapshot:
         return self.read("documents").drop("batch")
 
     def vectors(self) -> DataFrame:
-        return self.read("vectors").drop("batch")
+        return self.read("vectors").drop("batch", "cell", "code")
+
+    def coded_vectors(self) -> list[tuple[DataFrame, CellCodes, int, int]]:
+        """Vectors by cell, their cells and codes, probes and rescoring: for each batch that has them."""
+        found = []
+        for label, probes, rescore in self.coded:
+            row = self.spark.read.parquet(f"{self.path.rstrip('/')}/cells/batch={label}").first()
+            rows = self.read("vectors").filter(F.col("batch") == label).drop("batch").withColumn("cell", F.col("cell").cast("int"))
+            found.append((rows, CellCodes.unpacked(row.asDict()), probes, rescore))
+        return found
+
+    def plain_vectors(self) -> DataFrame | None:
+        """Vectors of the batches without codes."""
+        plain = [label for label in self.labels if label not in {c[0] for c in self.coded}]
+        return self.read("vectors").filter(F.col("batch").isin(plain)).drop("batch", "cell", "code") if plain else None
 
     def chunks(self) -> DataFrame:
         return self.read("chunks")
@@ -120,7 +137,8 @@ class IndexStore:
             raise ValueError(f"no index at {self.path}")
         return Snapshot(
             self.spark, self.path, tuple(r["label"] for r in rows), tuple(sorted({r["shards"] for r in rows})),
-            sum(r["documents"] for r in rows), Corpus(**rows[-1]["corpus"].asDict()))
+            sum(r["documents"] for r in rows), Corpus(**rows[-1]["corpus"].asDict()),
+            tuple((r["label"], r["probes"], r["rescore"]) for r in rows if r["probes"]))
 
     def read(self, name: str) -> DataFrame:
         return self.snapshot().read(name)
@@ -169,9 +187,9 @@ class IndexStore:
         return materialise(docs.join(seen, "doc_id", "left_anti"), "new-documents")
 
     def append(
-        self, docs: DataFrame, batch: str, encoder: Encoder | None = None, limits: SizeLimits = SizeLimits(),
+        self, docs: DataFrame, batch: str, encoder: Encoder | None = None, limits: SizeLimits = SizeLimits(), cells: bool = False,
     ) -> None:
-        """Add the documents that are not there yet, under a batch label.
+        """Add the documents that are not there yet, under a batch label; with ``cells`` their vectors get cells and codes.
 
         Safe to repeat with the same label, also after a failure half way, and
         after the batch was merged into another one.  Nothing new writes nothing.
@@ -196,13 +214,25 @@ class IndexStore:
         meta = [c for c in docs.columns if c.startswith("meta_")]
         packed = materialise(packed_postings(stored.select("doc_id", "text", *meta)), "packed")
         self._index(packed, batch, shards)
-        self._write(embed(stored.select("doc_id", "text", *meta), encoder).drop("text"), "vectors", batch)
-        self._show(batch, shards, size.rows, [])
+        vectors = embed(stored.select("doc_id", "text", *meta), encoder).drop("text")
+        self._show(batch, shards, size.rows, [], self._vectors(vectors, batch, size.rows, cells))
 
     def _sharded(self, rows: DataFrame, key: str, shards: int) -> DataFrame:
         """Rows with their folder, dealt out for writing: folders that are too large for a task are split at run time."""
         return rows.withColumn("shards", F.lit(shards).cast("int")).withColumn("shard", shard_of(key, shards)).hint("rebalance", "shards", "shard")
 
+    def _vectors(self, vectors: DataFrame, batch: str, n: int, cells: bool) -> tuple[int, int]:
+        """Write the vectors in a folder per cell; probes and rescoring, 0 without cells."""
+        if not cells:
+            self._write(vectors.withColumn("cell", F.lit(0)).withColumn("code", F.lit(None).cast("binary")), "vectors", batch, "cell")
+            return 0, 0
+        vectors = materialise(vectors, "embedded")
+        codes = train(vectors, n, width=max(4, -(-len(vectors.first()["embedding"]) // 48)))
+        self._write(coded(vectors, codes).hint("rebalance", "cell"), "vectors", batch, "cell")
+        self._write(self.spark.createDataFrame([codes.packed()], PACKED).coalesce(1), "cells", batch)
+        rows = self.spark.read.parquet(f"{self._table('vectors')}/batch={batch}").withColumn("cell", F.col("cell").cast("int"))
+        return calibrated(rows, codes)
+
     def _index(self, packed: DataFrame, batch: str, shards: int) -> None:
         """Chunks, postings and document frequencies of a batch."""
         heads = packed.filter(F.col("term").isNull())
@@ -212,7 +242,7 @@ class IndexStore:
         self._write(heads.select("chunk", "n", "length", "lengths", "ids", *metas), "chunks", batch)
         self._write(packed_terms(packed), "terms", batch)
 
-    def _show(self, batch: str, shards: int, documents: int, replaces: list[str]) -> None:
+    def _show(self, batch: str, shards: int, documents: int, replaces: list[str], coding: tuple[int, int]) -> None:
         """Compute the totals with this batch and write its row, which makes it visible."""
         rows = self.history().filter(F.col("label") != batch)
         known = {r["label"]: (r["seq"], r["replaces"]) for r in rows.collect()}
@@ -223,7 +253,8 @@ class IndexStore:
         corpus = corpus_statistics(summed if len(labels) == 1 else materialise(summed, "vocabulary"))
         row = corpus.select(
             F.lit(batch).alias("label"), F.lit(1 + max((s for s, _ in known.values()), default=0)).cast("bigint").alias("seq"), F.lit(shards).cast("int").alias("shards"),
-            F.lit(documents).cast("bigint").alias("documents"), F.array(*map(F.lit, replaces)).cast("array<string>").alias("replaces"),
+            F.lit(documents).cast("bigint").alias("documents"),
+            F.lit(coding[0]).alias("probes"), F.lit(coding[1]).alias("rescore"), F.array(*map(F.lit, replaces)).cast("array<string>").alias("replaces"),
             F.struct(*[F.col(c).cast(t).alias(c) for c, t in _CORPUS.items()]).alias("corpus"))
         self._write(row.coalesce(1), "batches", batch)
 
@@ -260,9 +291,10 @@ class IndexStore:
         size = measure(docs)
         shards = 1 << max(0, ceil(log2(max(size.bytes, 1) / SHARD_BYTES)))
         self._write(self._sharded(docs, "doc_id", shards), "documents", into, "shards", "shard")
-        self._write(part.vectors(), "vectors", into)
+        cells = self.batches().filter(F.col("label").isin(labels) & (F.col("probes") > 0)).count() > 0
+        coding = self._vectors(part.vectors(), into, size.rows, cells)
         self._index(materialise(self._merged_chunks(part), "merged"), into, shards)
-        self._show(into, shards, size.rows, labels)
+        self._show(into, shards, size.rows, labels, coding)
         return into
 
     def _merged_chunks(self, part: Snapshot) -> DataFrame:
@@ -295,10 +327,10 @@ class IndexStore:
                 files.delete(where, True)
         return gone
 
-    def reset(self, docs: DataFrame, batch: str = "initial", encoder: Encoder | None = None) -> None:
+    def reset(self, docs: DataFrame, batch: str = "initial", encoder: Encoder | None = None, cells: bool = False) -> None:
         """Replace the whole index."""
         self.clear()
-        self.append(docs, batch, encoder)
+        self.append(docs, batch, encoder, cells=cells)
 
     def clear(self) -> None:
         """Remove all tables of the index."""
