@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.vectors import normalise
-from ..config import RetrievalConfig
+from ..config import RetrievalConfig, SizeLimits
 from ..operators.blocks import block_search
 from ..operators.cells import CellCodes, calibrated, coded, nearest_coded, picked, read_coded, train, write_coded
 from ..operators.embed import HashedEncoder, embed
@@ -79,6 +79,11 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors(spark, sf_dir), vector_queries(spark, sf_dir), K)
 
 
+def cosine_topk_by_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the plan for queries that do not fit into every task: blocks around pivots, pairs pruned by their bounds."""
+    return nearest(vectors(spark, sf_dir), vector_queries(spark, sf_dir), K, limits=SizeLimits(broadcast_bytes=0, block_rows=128))
+
+
 def cosine_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors(spark, sf_dir), vector_queries(spark, sf_dir), K, where={"label": 3})
 
@@ -226,7 +231,7 @@ def hit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    bm25_topk, bm25_terms, bm25_corpus, bm25_query_terms, cosine_topk, cosine_topk_filtered, cosine_topk_post_filtered,
+    bm25_topk, bm25_terms, bm25_corpus, bm25_query_terms, cosine_topk, cosine_topk_by_pivots, cosine_topk_filtered, cosine_topk_post_filtered,
     unit_vectors, cosine_plane_cells, cosine_centroid_cells, coded_cells_topk, coded_cells_recall,
     approximate_index_recall, embedded_documents, semantic_topk, fused_topk,
     fused_equal_weights, hybrid_topk, hybrid_topk_filtered, stored_index_topk, merged_index_topk, retrieval_confidence, hit_scores,
@@ -377,6 +382,7 @@ ORACLES = {
   (SELECT count(*) FROM dfs) AS n_terms, (SELECT round(avgdl, 6) FROM st) AS avgdl, (SELECT round(a, 6) FROM avgidf) AS avg_idf""",
     "bm25_query_terms": f"WITH {_bm25()} SELECT query_id, term, qtf FROM qt",
     "cosine_topk": f"WITH {_cosine()} SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM top",
+    "cosine_topk_by_pivots": f"WITH {_cosine()} SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM top",
     "cosine_topk_filtered": f"WITH {_cosine('d.label = 3')} SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM top",
     "cosine_topk_post_filtered": f"""WITH {_cosine(k=3 * K)}, kept AS (SELECT query_id, doc_id, score,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place

@@ -3,14 +3,15 @@
 Every plan scores vectors where they lie and keeps ``k`` rows per query and
 task, so what is shuffled is ``tasks x queries x k`` short rows and never the
 pairs.  Vectors move only in the block plan, which takes over when the query
-side is measured to be too large to send to every task.
+side is measured to be too large to send to every task: there they go to the
+query blocks near enough to hold them among their hits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,10 +20,13 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from ..config import RetrievalConfig, SizeLimits
 from ..functions.numbers import rounded
+from ..session import materialise
 from .documents import where as apply_where
 from .sizing import measure
 
 _CELLS = 4_000_000      # scores held at once inside a task
+_PIVOTS = 1024          # blocks of one side at most; larger blocks are split
+_PER_PIVOT = 8          # vectors that each pivot is chosen from
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -142,27 +146,63 @@ def _scan(vectors: DataFrame, queries: DataFrame, k: int, decimals: int) -> Data
     return vectors.mapInArrow(run, schema)
 
 
-def _blocks(vectors: DataFrame, queries: DataFrame, k: int, decimals: int, block_rows: int) -> DataFrame:
-    """Both sides cut into blocks of bounded size, every pair of blocks a task.
+@dataclass(frozen=True)
+class _Side:
+    """Rows with the block they lie in, and for each block its number of rows and the largest angle to its pivot."""
 
-    Nothing passes through the driver.  Blocks come from a hash of the id, so
-    they are even; the number of blocks follows from exact row counts.
-    """
-    schema = _hit_schema(vectors, queries)
-    n_vec = max(1, -(-vectors.count() // block_rows))
-    n_qry = max(1, -(-queries.count() // block_rows))
+    rows: DataFrame
+    count: np.ndarray
+    radius: np.ndarray
 
-    def block(c: str, n: int):
-        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
 
-    left = vectors.select(
-        block("doc_id", n_vec).alias("bv"), F.explode(F.sequence(F.lit(0), F.lit(n_qry - 1))).alias("bq"),
-        "doc_id", "embedding",
-    )
-    right = queries.select(
-        F.explode(F.sequence(F.lit(0), F.lit(n_vec - 1))).alias("bv"), block("query_id", n_qry).alias("bq"),
-        "query_id", "embedding",
-    )
+def _farthest_first(x: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` rows, each the farthest from those before it, so that no group of vectors is far from all."""
+    chosen, near = [0], x @ x[0]
+    while len(chosen) < min(n, len(x)) and near.min() < 1 - 1e-9:
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    return x[chosen]
+
+
+def _blocked(rows: DataFrame, key: str, pivots: np.ndarray, block_rows: int) -> _Side:
+    """Rows in the block of their nearest pivot; ``part`` splits a block that holds too many."""
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = _matrix(batch.column(1)) @ shared.value.T
+                block = near.argmax(axis=1)
+                angle = np.arccos(np.clip(near[np.arange(len(block)), block], -1, 1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block.astype(np.int32)), pa.array(angle)], names=[*batch.schema.names, "block", "angle"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("block", T.IntegerType()), T.StructField("angle", T.DoubleType())])
+    placed = materialise(rows.mapInArrow(run, schema), "blocked")
+    # A row per block, of which there are at most _PIVOTS.
+    sizes = placed.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r"))
+    count, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+    for row in sizes.collect():
+        count[row["block"]], radius[row["block"]] = row["n"], row["r"]
+    parts = F.broadcast(sizes.select("block", F.ceil(F.col("n") / block_rows).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64(key), F.col("parts")).cast("int")
+    return _Side(placed.join(parts, "block").withColumn("part", part), count, radius)
+
+
+def _met(vectors: _Side, queries: _Side, pairs: np.ndarray, k: int, decimals: int, schema: T.StructType) -> DataFrame:
+    """The k best hits of every query in each of the given (query block, vector block) pairs, a task per pair of their parts."""
+    spark = vectors.rows.sparkSession
+    table = spark.createDataFrame(pa.table({"bq": pairs[:, 0].astype(np.int32), "bv": pairs[:, 1].astype(np.int32)}))
+    # At most _PIVOTS squared rows of two numbers and the numbers of parts.
+    q_parts = queries.rows.select(F.col("block").alias("bq"), F.col("parts").alias("nq")).distinct()
+    v_parts = vectors.rows.select(F.col("block").alias("bv"), F.col("parts").alias("nv")).distinct()
+    table = F.broadcast(table.join(F.broadcast(q_parts), "bq").join(F.broadcast(v_parts), "bv"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = vectors.rows.withColumnsRenamed({"block": "bv", "part": "pv"}).join(table, "bv").select("bv", "pv", "bq", every("nq").alias("pq"), "doc_id", "embedding")
+    right = queries.rows.withColumnsRenamed({"block": "bq", "part": "pq"}).join(table, "bq").select("bv", every("nv").alias("pv"), "bq", "pq", "query_id", "embedding")
+    arrow_schema = pa.schema([
+        ("query_id", _arrow_id(schema["query_id"].dataType)), ("doc_id", _arrow_id(schema["doc_id"].dataType)),
+        ("score", pa.float64()),
+    ])
 
     def run(docs: pa.Table, qs: pa.Table) -> pa.Table:
         best = _Best(k, decimals)
@@ -174,11 +214,55 @@ def _blocks(vectors: DataFrame, queries: DataFrame, k: int, decimals: int, block
             )
         return pa.Table.from_pydict(best.frame(ids)).cast(arrow_schema) if len(best.query) else arrow_schema.empty_table()
 
-    arrow_schema = pa.schema([
-        ("query_id", _arrow_id(schema["query_id"].dataType)), ("doc_id", _arrow_id(schema["doc_id"].dataType)),
-        ("score", pa.float64()),
-    ])
-    return left.groupBy("bv", "bq").cogroup(right.groupBy("bv", "bq")).applyInArrow(run, schema)
+    keys = ("bv", "pv", "bq", "pq")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+
+
+def _blocks(vectors: DataFrame, queries: DataFrame, k: int, decimals: int, block_rows: int, log: dict | None = None) -> DataFrame:
+    """Both sides in blocks around pivots; pairs of blocks that cannot hold a hit never meet.
+
+    A block is a cap: its pivot and the largest angle to it.  Two caps bound the
+    cosine of everything in them.  In the first round each block of queries
+    meets the nearest vector blocks that hold k vectors; the k-th scores there are
+    what a hit needs.  In the second it meets the blocks whose bound reaches the
+    least of them.  Exact; ``log`` receives the numbers of pairs.
+    """
+    schema = _hit_schema(vectors, queries)
+    n_vec, n_qry = vectors.count(), queries.count()
+    if not n_vec or not n_qry:
+        return vectors.sparkSession.createDataFrame([], schema)
+    wanted = min(_PIVOTS, max(1, -(-n_vec // block_rows)))
+    order = F.xxhash64("doc_id")
+    chosen = vectors.filter(F.exists("embedding", lambda x: x != 0)).select("embedding", order.alias("o"), "doc_id").orderBy("o", "doc_id").limit(_PER_PIVOT * wanted).toArrow()
+    pivots = _farthest_first(_matrix(chosen.column("embedding")), wanted) if chosen.num_rows else None
+    if pivots is None:
+        # Zero vectors only: every score is 0, any pivot serves.
+        width = vectors.select(F.max(F.size("embedding"))).first()[0] or 1
+        pivots = np.ones((1, width)) / np.sqrt(width)
+    vs, qs = _blocked(vectors, "doc_id", pivots, block_rows), _blocked(queries, "query_id", pivots, block_rows)
+    held, asking = np.flatnonzero(vs.count), np.flatnonzero(qs.count)
+    apart = np.arccos(np.clip(pivots[asking] @ pivots[held].T, -1, 1))
+    near = np.argsort(apart, axis=1, kind="stable")
+    enough = (np.cumsum(vs.count[held][near], axis=1) < k).sum(axis=1) + 1
+    first = np.zeros(apart.shape, bool)
+    np.put_along_axis(first, near, np.arange(len(held)) < enough[:, None], axis=1)
+
+    def pairs(of: np.ndarray) -> np.ndarray:
+        row, col = np.nonzero(of)
+        return np.column_stack((asking[row], held[col]))
+
+    found = materialise(best_first(_met(vs, qs, pairs(first), k, decimals, schema), k), "first-pairs")
+    kth = found.filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+    least = qs.rows.select("query_id", "block").join(kth, "query_id", "left").groupBy("block").agg(F.min(F.coalesce("kth", F.lit(-2.0))).alias("least"))
+    needed = np.full(len(pivots), -2.0)
+    for row in least.collect():
+        needed[row["block"]] = row["least"]
+    bound = np.cos(np.maximum(0, apart - qs.radius[asking][:, None] - vs.radius[held][None, :]))
+    second = ~first & (bound + 10.0**-decimals >= needed[asking][:, None])
+    if log is not None:
+        log.update(first=int(first.sum()), second=int(second.sum()), all=first.size)
+    found = found.drop("rank")
+    return found.unionByName(_met(vs, qs, pairs(second), k, decimals, schema)) if second.any() else found
 
 
 def _arrow_id(dtype: T.DataType) -> pa.DataType:

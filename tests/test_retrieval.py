@@ -15,7 +15,9 @@ from lodesift.operators.embed import HashedEncoder, embed
 from lodesift.operators.fusion import fuse
 from lodesift.operators import blocks
 from lodesift.operators.lexical import bm25_search, corpus_statistics, read_corpus
+from lodesift.operators import nearest as nearest_module
 from lodesift.operators.nearest import (
+    best_first,
     CentroidCells, PlaneCells, assign_cells, nearest, nearest_approximate, nearest_post_filtered, read_cells, recall_at_k,
     train_cells, write_cells,
 )
@@ -132,6 +134,25 @@ def test_topk_is_a_prefix_and_filters(vectors, rows, vector_data):
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_pairs_of_blocks_are_pruned(spark, rows):
+    """On clustered vectors most pairs of blocks never meet, and the hits are those of all pairs."""
+    rng = np.random.default_rng(8)
+    centres = np.eye(24)[:12]
+    data = [(n, [float(x) for x in centres[n % 12] + rng.normal(size=24) * 0.05]) for n in range(960)]
+    v = spark.createDataFrame(data, "doc_id long, embedding array<double>").repartition(4)
+    q = v.selectExpr("doc_id AS query_id", "embedding")
+    log = {}
+    found = best_first(nearest_module._blocks(v, q, 5, 6, 40, log), 5)
+    assert rows(found, "query_id", "doc_id", "rank") == rows(nearest(v, q, 5), "query_id", "doc_id", "rank")
+    assert log["first"] + log["second"] < 0.3 * log["all"]
+    # One block that holds nearly everything is split, and k beyond all vectors gives all.
+    same = spark.createDataFrame([(n, [1.0, 0.0] if n else [0.0, 1.0]) for n in range(50)], "doc_id long, embedding array<double>")
+    assert best_first(nearest_module._blocks(same, same.selectExpr("doc_id AS query_id", "embedding"), 99, 6, 10), 99).count() == 2500
+    zeros = spark.createDataFrame([(n, [0.0, 0.0]) for n in range(4)], "doc_id long, embedding array<double>")
+    assert rows(nearest(zeros, zeros.selectExpr("doc_id AS query_id", "embedding"), 2, limits=TINY), "query_id", "doc_id") == [(q, d) for q in range(4) for d in (0, 1)]
+    assert nearest(v.limit(0), q, 2, limits=TINY).count() == nearest(v, q.limit(0), 2, limits=TINY).count() == 0
+
+
 def test_text_ids(spark, rows):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("ä", [1.0, 0.0])], "doc_id string, embedding array<float>")
     q = v.selectExpr("doc_id AS query_id", "embedding")
