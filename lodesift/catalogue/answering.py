@@ -9,8 +9,8 @@ from ..operators import inference, prompts
 from ..plans.answer import answer_queries, turns_of
 from ..plans.evaluate import evaluate
 from ..sources.external import external_hits, keep_approved, review_items
-from .retrieval import document_index, questions
-from .tables import table
+from .retrieval import document_index, hybrid_ctes
+from .tables import SPACES, table
 
 # A query state per document: every mix of score, hits, retries and verdict occurs.
 STATES = """
@@ -31,6 +31,22 @@ FROM documents
 """
 
 
+# Questions for every route: each analysis type, nothing known (retry, then external results or refusal), little known (low
+# confidence), and much that no source covers.
+ROUTED = """
+SELECT item_id AS query_id, CASE item_id % 8 WHEN 0 THEN text WHEN 1 THEN concat('SWOT of ', text)
+  WHEN 2 THEN concat('zq', item_id, 'x xqzv wwzqj vvjq') WHEN 3 THEN concat('Compare fintech and ', text)
+  WHEN 4 THEN concat('Who competes with ', text) WHEN 5 THEN concat('Map the ecosystem: ', text)
+  WHEN 6 THEN concat('qqaj qqbj qqcj qqdj qqej qqfj qqgj ', regexp_extract(text, '^[^ ]*', 0))
+  ELSE concat('zzaj zzbj zzcj zzdj zzej zzfj zzgj zzhj zzij zzjj zzkj zzlj zzmj zznj zzoj zzpj zzqj zzrj ', text) END AS text
+FROM benchmark
+"""
+
+
+def routed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(ROUTED.replace("FROM benchmark", "FROM {benchmark}"), benchmark=table(spark, sf_dir, "benchmark"))
+
+
 def _documents_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
 
@@ -105,7 +121,7 @@ def approved_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = answer_queries(questions(spark, sf_dir), document_index(spark, sf_dir), external=page_results(spark, sf_dir))
+    done = answer_queries(routed_questions(spark, sf_dir), document_index(spark, sf_dir), external=page_results(spark, sf_dir))
     return done.select(
         "query_id", "analysis_type", "expanded_query", "retry_count", "confidence", "web_searched", "num_sources",
         "best_score", "answer", "validation_check",
@@ -113,15 +129,15 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns_of(answer_queries(questions(spark, sf_dir), document_index(spark, sf_dir)))
+    return turns_of(answer_queries(routed_questions(spark, sf_dir), document_index(spark, sf_dir)))
 
 
 def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts as evaluation items, their own first words expected."""
+    """Questions of all routes as evaluation items, their own first words expected, their last one unwanted."""
     from ..functions.text import tokens
 
     words = tokens("text")
-    items = questions(spark, sf_dir).select(
+    items = routed_questions(spark, sf_dir).select(
         F.col("query_id").alias("id"), F.col("text").alias("query"), F.lit("similar").alias("analysis_type"),
         F.slice(words, 1, 3).alias("expected_domains"), F.slice(words, -1, 1).alias("bad_results"),
         F.array(F.lit("Similar Companies")).alias("expected_sections"), F.lit("benchmark text").alias("description"),
@@ -167,7 +183,90 @@ _EXTERNAL = f"""
 WITH r AS ({_PAGE_ROWS}),
 e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY idx) - 1 AS n FROM r QUALIFY n < 5)"""
 
+# What a question's route comes to, in SQL: two passes of hybrid retrieval, answers from first lines, a verdict by covered words.
+_HEADINGS = "CASE analysis_type " + " ".join(
+    f"WHEN '{name}' THEN {_sql_text(chr(10).join(f'## {t}' for t in titles))}" for name, titles in inference.SECTIONS.items()) + " END"
+
+
+def _covered(of: str, by: str) -> str:
+    """Share of the distinct tokens of one text that occur in another."""
+    mine, other = (f"regexp_extract_all(lower({x}), '[a-z0-9]{{2,}}')" for x in (of, by))
+    return f"CASE WHEN len({mine}) > 0 THEN len(list_intersect({mine}, {other}))::DOUBLE / len(list_distinct({mine})) ELSE 0.0::DOUBLE END"
+
+
+def _attempt(name: str, state: str) -> str:
+    """One pass over ``state`` (query_id, query, analysis_type, expanded_query, retry_count)."""
+    hits = hybrid_ctes().replace("benchmark", f"{name}_asked")
+    return f"""
+{name}_asked AS (SELECT query_id AS item_id, expanded_query AS text FROM {state}),
+{name}_hits AS (WITH {hits} SELECT * FROM hits),
+{name}_found AS (SELECT query_id, list(text ORDER BY rank) AS texts, coalesce(max(rerank_score), 1.0) AS best_score
+  FROM {name}_hits JOIN documents USING (doc_id) GROUP BY 1),
+{name}_gated AS (SELECT s.*, coalesce(texts, []) AS texts, coalesce(best_score, 1.0) AS best_score,
+    CASE WHEN texts IS NULL THEN 'none' WHEN best_score < 0.02 THEN 'none' WHEN best_score < 0.1 THEN 'low' ELSE 'high' END AS confidence
+  FROM {state} s LEFT JOIN {name}_found USING (query_id)),
+{_generated(f"{name}_done", f"{name}_gated", "confidence <> 'none'")}"""
+
+
+def _generated(name: str, gated: str, answering: str) -> str:
+    line = "list_transform(texts, lambda t: '- ' || split_part(t, chr(10), 1))"
+    sources = "array_to_string(texts, chr(10) || chr(10) || '---' || chr(10) || chr(10))"
+    return f"""
+{name}_answer AS (SELECT *, CASE WHEN {answering} THEN CASE WHEN confidence = 'low' THEN {_sql_text(prompts.DISCLAIMER)} ELSE '' END
+    || 'Question: ' || query || chr(10) || chr(10) || {_HEADINGS} || chr(10) || chr(10) || 'Sources' || chr(10) || array_to_string({line}, chr(10)) END AS answer
+  FROM {gated}),
+{name} AS (SELECT *, CASE WHEN answer IS NULL OR len(texts) = 0 OR best_score <= 0 THEN false ELSE {_covered('answer', sources)} >= 0.5 END AS validation_check
+  FROM {name}_answer)"""
+
+
+def _routed(external: bool) -> str:
+    """Common table expressions up to ``final``, a row per question."""
+    columns = "query_id, query, analysis_type, expanded_query, retry_count, texts, best_score, confidence, answer, validation_check"
+    searched = f"""
+web AS (SELECT s.* EXCLUDE (texts, confidence, answer, validation_check), coalesce(found.texts, []) AS texts, 'low' AS confidence
+  FROM again_done s LEFT JOIN (SELECT query_id, list(content ORDER BY n) AS texts FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY idx) - 1 AS n FROM ({_PAGE_ROWS}) QUALIFY n < 5) GROUP BY 1) found USING (query_id)
+  WHERE s.confidence = 'none'), {_generated('web_done', 'web', 'true')},
+left_over AS (SELECT {columns}, true AS web_searched FROM web_done)""" if external else f"""
+left_over AS (SELECT {columns.replace('answer', f"{_sql_text(prompts.REFUSAL)} AS answer")}, false AS web_searched
+  FROM again_done WHERE confidence = 'none')"""
+    return f"""
+asked AS (SELECT query_id, text AS query FROM ({ROUTED})), {_WORDS}, known(term, extra) AS (VALUES {_KNOWN}),
+more AS (SELECT query_id, string_agg(extra, ' ' ORDER BY pos) AS extra FROM firsts JOIN known USING (term) GROUP BY 1),
+state AS (SELECT query_id, query, {_cue_case()} AS analysis_type, CASE WHEN extra IS NULL THEN query ELSE query || ' ' || extra END AS expanded_query,
+    0 AS retry_count FROM asked LEFT JOIN more USING (query_id)),
+{_attempt('one', 'state')},
+failed AS (SELECT * FROM one_done WHERE confidence = 'none' OR (NOT validation_check AND confidence <> 'low')),
+core AS (SELECT query_id, string_agg(term, ' ' ORDER BY pos) AS core FROM (
+    SELECT query_id, term, min(pos) AS pos FROM (SELECT query_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos
+      FROM (SELECT query_id, regexp_extract_all(lower(expanded_query), '[a-z0-9]{{2,}}') AS w FROM failed)) WHERE length(term) >= 4 GROUP BY ALL) GROUP BY 1),
+state2 AS (SELECT query_id, query, analysis_type, coalesce(core, expanded_query) AS expanded_query, 1 AS retry_count FROM failed LEFT JOIN core USING (query_id)),
+{_attempt('again', 'state2')}, {searched},
+final AS (SELECT {columns}, false AS web_searched FROM one_done WHERE query_id NOT IN (SELECT query_id FROM failed)
+  UNION ALL SELECT {columns}, false FROM again_done WHERE confidence <> 'none' UNION ALL SELECT {columns}, web_searched FROM left_over)"""
+
+
+_FIVE = "array_to_string(texts[:5], chr(10) || '---' || chr(10))"
+_TOKENS = "regexp_extract_all(lower(query), '[a-z0-9]{2,}')"
+
 ORACLES = {
+    "answers": f"""WITH {_routed(True)}
+SELECT query_id, analysis_type, expanded_query, retry_count::INTEGER AS retry_count, confidence, web_searched,
+  len(texts)::INTEGER AS num_sources, best_score, answer, validation_check FROM final""",
+    "answer_log": f"""WITH {_routed(False)}
+SELECT query_id AS conv_id, 0 AS turn, 'user' AS role, query AS text FROM final UNION ALL
+SELECT query_id, 1, 'assistant', answer FROM final""",
+    "evaluation_run": f"""WITH {_routed(False)}
+SELECT query_id AS id, query, 'similar' AS analysis_type, CAST(NULL AS VARCHAR) AS model_name, 'benchmark text' AS description,
+  CASE WHEN length(answer) > 200 THEN substring(answer, 1, 200) || '…' ELSE answer END AS answer_preview, len(texts)::INTEGER AS num_sources,
+  round({_covered('query', _FIVE)}, 3) AS context_relevancy, round({_covered('answer', _FIVE)}, 3) AS groundedness,
+  round({_covered('query', 'answer')}, 3) AS answer_relevancy,
+  CASE WHEN len(texts) > 0 AND len({_TOKENS}) > 0 THEN round(len(list_filter(texts, lambda t: len(list_filter(({_TOKENS})[:3], lambda d: contains(lower(t), d))) > 0))::DOUBLE / len(texts), 3)
+    ELSE 0.0::DOUBLE END AS precision_at_k,
+  CASE WHEN contains(lower(answer), 'similar companies') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS structure_score,
+  CASE WHEN len(list_filter(({_TOKENS})[-1:], lambda d: contains(lower(array_to_string(texts, ' ')), d))) > 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS bad_result_check,
+  CAST(NULL AS DOUBLE) AS latency_seconds, 2 * len(regexp_extract_all(answer, '{SPACES.replace('[', '[^', 1)}')) AS total_tokens, false AS judge_failed,
+  CAST(NULL AS VARCHAR) AS error FROM final""",
     "routes": f"""
 WITH s AS ({STATES}),
 t AS (SELECT *, CASE WHEN lower(trim(label, ' ' || chr(9) || chr(10))) IN ('similar', 'swot', 'competitor', 'comparison', 'ecosystem')
