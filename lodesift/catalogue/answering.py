@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import rules
 from ..operators import inference, prompts
 from ..plans.answer import answer_queries, turns_of
+from ..operators.replies import ReplyStore
 from ..plans.evaluate import evaluate
+from ..session import scratch_path
 from ..sources.external import external_hits, keep_approved, review_items
 from .retrieval import document_index, hybrid_ctes
 from .tables import SPACES, table
@@ -145,9 +147,43 @@ def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate(items, document_index(spark, sf_dir))
 
 
+def _shout(prompts: list[str]) -> list[str]:
+    """A model that always says the same to the same prompt."""
+    return [p.upper() for p in prompts]
+
+
+def stored_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over overlapping texts: how many prompts reached the model in each, and how many rows got the right reply."""
+    store = ReplyStore(spark, scratch_path(spark, "replies"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    replies = [store.complete(docs.filter(part), F.col("text"), _shout, "reply") for part in ("doc_id % 3 <> 0", "doc_id % 3 <> 1")]
+    right = [r.agg(F.lit(n).alias("run"), F.count_if(F.col("reply") == F.upper("text")).alias("right_replies")) for n, r in enumerate(replies, 1)]
+    return store.runs().join(right[0].unionByName(right[1]), "run").select(F.col("run").cast("int").alias("run"), "prompts", "right_replies")
+
+
+def _short(prompts: list[str]) -> list[str]:
+    return [p.rstrip()[-200:] for p in prompts]
+
+
+def _passes(prompts: list[str]) -> list[str]:
+    return ["pass"] * len(prompts)
+
+
+def answers_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All questions answered twice by injected models: no prompt reaches them in the second run."""
+    store = ReplyStore(spark, scratch_path(spark, "replies"))
+    models, index = inference.Models(generate=_short, validate=_passes, store=store), document_index(spark, sf_dir)
+    for _ in range(2):
+        done = answer_queries(routed_questions(spark, sf_dir), index, external=page_results(spark, sf_dir), models=models)
+        answered = done.agg(F.count_if(F.col("answer").isNotNull()).alias("answered"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    half = store.runs().agg(F.max("run")).first()[0] // 2
+    again = store.runs().agg(F.sum(F.when(F.col("run") > half, F.col("prompts")).otherwise(0)).alias("asked_again"))
+    return answered.join(again)
+
+
 QUERIES = {f.__name__: f for f in (
     routes, classified, expanded, rewritten, rendered_prompts, external_results, approved_results, answers, answer_log,
-    evaluation_run,
+    evaluation_run, stored_replies, answers_from_store,
 )}
 
 
@@ -250,6 +286,12 @@ _FIVE = "array_to_string(texts[:5], chr(10) || '---' || chr(10))"
 _TOKENS = "regexp_extract_all(lower(query), '[a-z0-9]{2,}')"
 
 ORACLES = {
+    "stored_replies": """
+WITH one AS (SELECT DISTINCT text FROM documents WHERE doc_id % 3 <> 0 AND text IS NOT NULL),
+two AS (SELECT DISTINCT text FROM documents WHERE doc_id % 3 <> 1 AND text IS NOT NULL EXCEPT SELECT text FROM one)
+SELECT 1 AS run, (SELECT count(*) FROM one) AS prompts, (SELECT count(text) FROM documents WHERE doc_id % 3 <> 0) AS right_replies
+UNION ALL SELECT 2, (SELECT count(*) FROM two), (SELECT count(text) FROM documents WHERE doc_id % 3 <> 1)""",
+    "answers_from_store": "SELECT count(*) AS answered, 0::BIGINT AS failed, 0::BIGINT AS asked_again FROM benchmark",
     "answers": f"""WITH {_routed(True)}
 SELECT query_id, analysis_type, expanded_query, retry_count::INTEGER AS retry_count, confidence, web_searched,
   len(texts)::INTEGER AS num_sources, best_score, answer, validation_check FROM final""",

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..config import PANDAS_MISSING_TOKENS
 from ..operators import profile
 from ..operators.clean import clean_accelerator, clean_registry, cleaning_report, flag_suspicious, unify
 from ..operators.coverage import watch_coverage
 from ..operators.documents import build_documents, dense_ids, where
 from ..operators.metrics import share_of_total
 from ..functions.text import first_tag, parse_tags
+from ..plans.incremental import IncrementalCatalogue
 from ..plans.preprocess import preprocess, raw_counts
+from ..schemas import ACCELERATOR_RAW
 from ..session import scratch_path
-from ..sources.catalog import sanitise_for_export, write_table
-from .tables import AS_OF_YEAR, CLEAN_CTES, accelerator_raw, companies, registry_raw, table
+from ..sources.catalog import first_rows, normalise_missing, read_csv, sanitise_for_export, write_table
+from .tables import AS_OF_YEAR, CLEAN_CTES, accelerator_raw, cleaned, companies, registry_raw, table
 
 _COLUMNS = [
     "startup_id", "name", "description", "industry", "tags", "country", "founded_year", "source", "is_suspicious",
@@ -38,6 +41,33 @@ def preprocess_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.unified.select(*_COLUMNS)
 
 
+# Three snapshots of the accelerator with many keys in common: snapshot, and which rows it has.
+_SNAPSHOTS = {1: "ordinal % 3 <> 0", 0: "ordinal % 5 = 0", 2: "ordinal % 2 = 0"}
+_SNAPSHOT_ROWS = """
+SELECT startup_id AS company_id, CASE WHEN ordinal % 41 = 0 THEN 'None' ELSE name END AS company_name, lang AS short_description,
+  concat('snapshot {n}: ', description) AS long_description, tags, CASE WHEN ordinal % 37 = 0 THEN 'NA' ELSE country END AS country,
+  founded_year AS year_founded, ordinal FROM companies WHERE source = 'YC' AND {chosen}
+"""
+
+
+def snapshots_one_by_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV snapshots with the wide set of missing tokens, added one at a time, the earliest second."""
+    store = IncrementalCatalogue(spark, scratch_path(spark, "catalogue"))
+    for n, chosen in _SNAPSHOTS.items():
+        sql = _SNAPSHOT_ROWS.format(n=n, chosen=chosen).replace("FROM companies", "FROM {companies}")
+        path = scratch_path(spark, "snapshot")
+        write_table(spark.sql(sql, companies=companies(spark, sf_dir)).sort("ordinal").drop("ordinal"), path, "csv")
+        raw = normalise_missing(read_csv(spark, path, ACCELERATOR_RAW), PANDAS_MISSING_TOKENS)
+        raw = raw.withColumn("ordinal", F.struct(F.lit(n).alias("snapshot"), F.col("ordinal.file"), F.col("ordinal.position")))
+        store.add(clean_accelerator(raw), f"snapshot{n}")
+    return store.current().select(*_COLUMNS[:-1])
+
+
+def first_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred cleaned records in file order."""
+    return first_rows(flagged(spark, sf_dir), "ordinal", 100).select(*_COLUMNS)
+
+
 def suspicious_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     unified = unify(clean_accelerator(accelerator_raw(spark, sf_dir)), clean_registry(registry_raw(spark, sf_dir)))
     flagged_rows = flag_suspicious(unified, AS_OF_YEAR, reasons=True)
@@ -148,7 +178,7 @@ def top_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    clean_unify_flag, preprocess_csv, suspicious_reasons, cleaning_counts, tags_and_industry, company_documents,
+    clean_unify_flag, preprocess_csv, snapshots_one_by_one, first_records, suspicious_reasons, cleaning_counts, tags_and_industry, company_documents,
     document_positions, metadata_filter, source_counts, top_countries, top_industries, founded_per_year,
     founded_per_year_and_source, quality_share, quality_by_source, description_lengths, median_description,
     summary_stats, suspicious_sample, coverage, sanitised_pages, json_export, event_type_share, top_parts,
@@ -169,7 +199,23 @@ SELECT startup_id AS doc_id,
 FROM flagged
 """
 
+_MISSING = ", ".join("'" + t + "'" for t in PANDAS_MISSING_TOKENS)
+_SNAPSHOT_TWIN = " UNION ALL ".join(f"SELECT {n} AS snapshot, * FROM ({_SNAPSHOT_ROWS.format(n=n, chosen=chosen)})" for n, chosen in _SNAPSHOTS.items())
+
+
+def _present(c: str) -> str:
+    return f"CASE WHEN {c} NOT IN ({_MISSING}) THEN {c} ELSE '' END"
+
+
 ORACLES = {
+    "snapshots_one_by_one": _clean(f"""
+, arrived AS ({_SNAPSHOT_TWIN}),
+tidied AS (SELECT company_id AS startup_id, snapshot, ordinal, {cleaned(_present('company_name'))} AS name, {cleaned('long_description')} AS description,
+    short_description AS industry, array_to_string(regexp_extract_all(tags, '\'\'([^\'\']*)\'\'', 1), ', ') AS tags, {_present('country')} AS country,
+    CAST(year_founded AS INTEGER) AS founded_year, 'YC' AS source FROM arrived)
+SELECT startup_id, name, description, industry, tags, country, founded_year, source FROM tidied WHERE name <> '' AND length(description) > 10
+QUALIFY row_number() OVER (PARTITION BY lower(name), founded_year ORDER BY snapshot, ordinal) = 1"""),
+    "first_records": _clean(f"SELECT {', '.join(_COLUMNS)} FROM flagged ORDER BY ordinal LIMIT 100"),
     "clean_unify_flag": _clean(f"SELECT {', '.join(_COLUMNS)} FROM flagged"),
     "preprocess_csv": _clean(f"SELECT {', '.join(_COLUMNS)} FROM flagged"),
     "suspicious_reasons": _clean(f"""

@@ -13,7 +13,7 @@ from ..functions.text import preview, token_estimate, tokens
 from ..operators import metrics
 from ..operators.lexical import bm25_search
 from ..session import scratch_path
-from ..sources.runs import read_results_csv, write_results
+from ..sources.runs import newest, read_results_csv, read_saved, save_run, write_results
 from .retrieval import _bm25, corpus, questions
 from .tables import SPACES, table, tokens_of
 
@@ -80,6 +80,34 @@ def saved_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_RUNS = {"eval_2": "doc_id % 2 = 0", "eval_10": "doc_id % 3 = 0", "eval_30": "doc_id % 5 <> 0"}
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Three runs written and read; a fourth died before its summary."""
+    path = scratch_path(spark, "runs")
+    rows = results(spark, sf_dir).withColumn("doc_id", F.substring("id", 2, 20).cast("long"))
+    for run, part in _RUNS.items():
+        save_run(rows.filter(part), path, run, model_name=run, provider="rules")
+    rows.select("id", "query").write.json(f"{path}/results/run=eval_9")
+    return read_saved(spark, path)
+
+
+def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and averages of every run, out of its summary and again from its rows."""
+    summaries, rows = _saved(spark, sf_dir)
+    told = summaries.select("run", F.col("summary.model_name").alias("model_name"), F.col("summary.total_queries").cast("long").alias("total_queries"), F.col("summary.successful").cast("long").alias("successful"),
+                            F.col("summary.avg_groundedness").alias("avg_groundedness"))
+    counted = rows.groupBy("run").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(F.when(F.col("error").isNull(), F.col("groundedness"))), 3).alias("from_rows"))
+    return told.join(counted, "run")
+
+
+def newest_saved_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the newest run."""
+    summaries, rows = _saved(spark, sf_dir)
+    return newest(rows, summaries).select("run", "id", "query", "analysis_type", "context_relevancy", "error")
+
+
 def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         "doc_id", preview("text", 200).alias("preview"), token_estimate("text").alias("total_tokens")
@@ -123,7 +151,7 @@ def joined_hit_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     run_summary, summary_by_type, summary_rollup, latency_by_type, pass_table, pass_rate_by_run, metric_matrix,
-    compare_runs, saved_results, previews, judge_replies, bm25_hit_metrics, joined_hit_texts,
+    compare_runs, saved_results, saved_runs, newest_saved_run, previews, judge_replies, bm25_hit_metrics, joined_hit_texts,
 )}
 
 
@@ -141,7 +169,13 @@ _HITS = f"""WITH {_bm25(k=5)}, texts AS (
   SELECT query_id, list(text ORDER BY rank) AS texts FROM bm JOIN documents USING (doc_id) GROUP BY 1),
 words AS (SELECT item_id AS query_id, {tokens_of('text')} AS w FROM benchmark)"""
 
+_RUN_ROWS = " UNION ALL ".join(f"SELECT '{run}' AS saved, * FROM (SELECT *, CAST(substr(id, 2) AS BIGINT) AS doc_id FROM results) WHERE {part}" for run, part in _RUNS.items())
+
 ORACLES = {
+    "saved_runs": f"""{_WITH}, r AS ({_RUN_ROWS}) SELECT saved AS run, saved AS model_name, count(*) AS total_queries, count(*) FILTER (error IS NULL) AS successful,
+  round(avg(groundedness), 3) AS avg_groundedness, count(*) AS rows, round(avg(groundedness), 3) AS from_rows FROM r GROUP BY saved""",
+    "newest_saved_run": f"""{_WITH}, r AS ({_RUN_ROWS}) SELECT saved AS run, id, query, analysis_type, context_relevancy, error FROM r
+  WHERE saved = (SELECT max(saved) FROM r)""",
     "run_summary": f"{_WITH} SELECT {_SUMMARY}, CASE WHEN count(*) FILTER (error IS NULL) = 0 THEN 'All queries failed' END AS error FROM results",
     "summary_by_type": f"""{_WITH} SELECT analysis_type, count(*) AS count,
   {_averages([*metrics.CORE, 'precision_at_k'])} FROM results WHERE error IS NULL GROUP BY 1""",

@@ -27,6 +27,8 @@ class Models:
     generate: TextModel | None = None
     validate: TextModel | None = None
     judge: TextModel | None = None
+    #: Stored replies (``operators.replies.ReplyStore``): distinct new prompts only reach the models.
+    store: object | None = None
 
 
 def batch_complete(
@@ -69,10 +71,13 @@ def batch_complete(
 
 def with_reply(
     df: DataFrame, out: str, model: TextModel | None, prompt: Column, default: Column, batch_rows: int = 64,
+    store: object | None = None,
 ) -> DataFrame:
-    """Reply and error columns, from the model or from the default rule."""
+    """Reply and error columns, from the model (or its stored replies) or from the default rule."""
     if model is None:
         return df.withColumns({out: default, f"{out}_error": F.lit(None).cast("string")})
+    if store is not None:
+        return store.complete(df, prompt, model, out, batch_rows=batch_rows)
     return batch_complete(df, prompt, model, out, batch_rows=batch_rows)
 
 

@@ -42,7 +42,7 @@ def classify(state: DataFrame, models: inf.Models) -> DataFrame:
     """Add ``analysis_type``; unknown or failed replies become ``similar``."""
     query = F.col("user_query")
     prompt = prompts.render(prompts.CLASSIFY, history=F.col("history"), query=query)
-    replied = inf.with_reply(state, "__label", models.classify, prompt, inf.classify_by_cues(query))
+    replied = inf.with_reply(state, "__label", models.classify, prompt, inf.classify_by_cues(query), store=models.store)
     return replied.withColumn("analysis_type", analysis_type(F.col("__label"))).drop("__label", "__label_error")
 
 
@@ -50,7 +50,7 @@ def expand(state: DataFrame, models: inf.Models) -> DataFrame:
     """Add ``expanded_query``; a failed call leaves the question as it is."""
     query = F.col("user_query")
     prompt = prompts.render(prompts.EXPAND, history=F.col("history"), query=query)
-    replied = inf.with_reply(state, "__text", models.expand, prompt, inf.expand_by_synonyms(query))
+    replied = inf.with_reply(state, "__text", models.expand, prompt, inf.expand_by_synonyms(query), store=models.store)
     return replied.withColumn("expanded_query", F.coalesce(strip("__text"), query)).drop("__text", "__text_error")
 
 
@@ -58,7 +58,7 @@ def rewrite(state: DataFrame, models: inf.Models) -> DataFrame:
     """Replace ``expanded_query`` by another try and count the retry."""
     previous = F.col("expanded_query")
     prompt = prompts.render(prompts.REWRITE, query=F.col("user_query"), previous=previous)
-    replied = inf.with_reply(state, "__text", models.rewrite, prompt, inf.rewrite_to_core_terms(previous))
+    replied = inf.with_reply(state, "__text", models.rewrite, prompt, inf.rewrite_to_core_terms(previous), store=models.store)
     return replied.withColumns({
         "expanded_query": F.coalesce(strip("__text"), previous), "retry_count": F.col("retry_count") + 1,
     }).drop("__text", "__text_error")
@@ -68,7 +68,7 @@ def generate(state: DataFrame, models: inf.Models) -> DataFrame:
     """Add ``answer`` (with the disclaimer when confidence is low) and its error."""
     prompt = prompts.prompt_for(F.col("analysis_type"), F.col("user_query"), documents_text(F.col("docs")))
     default = inf.extractive_answer(F.col("analysis_type"), F.col("user_query"), _texts(F.col("docs")))
-    replied = inf.with_reply(state, "__text", models.generate, prompt, default)
+    replied = inf.with_reply(state, "__text", models.generate, prompt, default, store=models.store)
     return replied.withColumns({
         "answer": prompts.with_disclaimer(F.col("__text"), F.col("confidence")), "error": F.col("__text_error"),
     }).drop("__text", "__text_error")
@@ -79,7 +79,7 @@ def validate(state: DataFrame, models: inf.Models, cfg: AnswerConfig) -> DataFra
     sources = documents_text(F.col("docs"))
     prompt = prompts.render(prompts.VALIDATE, documents=sources, answer=F.col("answer"))
     default = inf.verdict_by_coverage(F.col("answer"), sources, cfg.pass_share)
-    replied = inf.with_reply(state, "__verdict", models.validate, prompt, default)
+    replied = inf.with_reply(state, "__verdict", models.validate, prompt, default, store=models.store)
     return replied.withColumn("validation_check", verdict(
         F.size("docs"), F.col("best_score"), F.col("__verdict"), F.col("__verdict_error")
     )).drop("__verdict", "__verdict_error")

@@ -42,7 +42,7 @@ def judge(scored: DataFrame, models: inf.Models, first: int = 5) -> DataFrame:
     failed = F.lit(False)
     for name, (prompt, default) in metrics.items():
         raw = f"__{name}"
-        scored = inf.with_reply(scored, raw, models.judge, prompt, default)
+        scored = inf.with_reply(scored, raw, models.judge, prompt, default, store=models.store)
         failed = failed | F.col(f"{raw}_error").isNotNull() | ~F.coalesce(F.col(raw), F.lit("")).rlike(r"\d")
     scored = scored.withColumn("judge_failed", failed)
     for name in metrics:
