@@ -27,8 +27,8 @@ BUCKETS = 1 << 16
 MAX_LANGUAGES = 512
 SMOOTHING = 0.1
 ROUNDS = 6
-#: Languages of a document at most, and log-likelihood that a further one must add for each log of its words.
-MAX_SET, PENALTY = 4, 2.0
+#: Log-likelihood that a further language must add for each log of a document's words.
+PENALTY = 2.0
 UNKNOWN = "und"
 
 
@@ -83,13 +83,15 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     if len(rows.select(lang).distinct().take(MAX_LANGUAGES + 1)) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    found = gram_counts(rows, text, lang).toArrow()  # at most MAX_LANGUAGES x BUCKETS rows
-    names = sorted(set(found["lang"].to_pylist()))
-    table = np.zeros((len(names), BUCKETS))
-    if found.num_rows:
-        place = {name: n for n, name in enumerate(names)}
-        rows = [place[x] for x in found["lang"].to_pylist()]
-        table[rows, found["gram"].to_numpy()] = found["n"].to_numpy()
+    def whole(counts: pa.Table) -> pa.Table:
+        row = np.zeros(BUCKETS, np.int64)
+        row[counts["gram"].to_numpy()] = counts["n"].to_numpy()
+        return pa.table({"lang": counts["lang"][:1], "counts": [row.tobytes()]})
+
+    # A row per language, of BUCKETS numbers.
+    found = sorted(gram_counts(rows, text, lang).groupBy("lang").applyInArrow(whole, "lang string, counts binary").collect())
+    names = [r["lang"] for r in found]
+    table = np.array([np.frombuffer(r["counts"], np.int64) for r in found], np.float64).reshape(len(names), BUCKETS)
     smooth = table + SMOOTHING
     return Model(names, np.log(smooth / smooth.sum(1, keepdims=True)).astype(np.float32))
 
@@ -140,7 +142,8 @@ def proportions(texts: Texts, model: Model) -> np.ndarray:
     out[filled, best[filled]] = 1
     value = single[np.arange(count), best]
     growing = filled[n[filled] > 1]
-    for k in range(2, min(langs, MAX_SET) + 1):
+    # Only texts that the last language has improved go on, so the set ends where the penalised likelihood does.
+    for k in range(2, langs + 1):
         if not len(growing):
             break
         sizes = n[growing]
@@ -173,10 +176,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     pair = T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.ArrayType(pair))]
     schema = T.StructType([*kept.schema.fields, *added])
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS x MAX_LANGUAGES numbers at most
+    shared = spark.sparkContext.broadcast((model.languages, model.log_likelihood))  # BUCKETS x MAX_LANGUAGES numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = Model(*shared.value)
         names = [*known.languages, UNKNOWN]
         for batch in batches:
             for piece, texts in slices(batch, text):
@@ -203,7 +206,12 @@ def split(docs: DataFrame) -> DataFrame:
 
 
 def predictions(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every document, learned from the other rows' lang."""
+    """doc_id, held_out, lang_pred and score of every document, learned from the other rows' lang.
+
+    Null texts and texts without letters are `und` with score 0; a null id is
+    held out; repeated rows are predicted alike, whatever the length of a text.
+    Other columns are ignored; without labels all texts are `und`.
+    """
     model = fit(split(docs.select("doc_id", "text", "lang")))
     done = identify(docs.select("doc_id", "text"), model)
     return done.select("doc_id", remainder(3).isin(1, -1).alias("held_out"), "lang_pred", "score")

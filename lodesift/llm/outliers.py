@@ -445,10 +445,11 @@ def judged(rows: DataFrame) -> DataFrame:
         if not keys:
             continue
         fit = _fitted(materialise(sizes.filter(turn == n), "fit"), keys)
-        shared = rows.sparkSession.sparkContext.broadcast(fit)
+        # Plain arrays: a class of this package would have to be installed on the workers.
+        shared = rows.sparkSession.sparkContext.broadcast((fit.keys, fit.median, fit.centre, fit.white, fit.limit))
 
         def run(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
-            e = shared.value
+            e = Estimates(*shared.value)
             for batch in batches:
                 if batch.num_rows:
                     codes = _codes(batch.column(7), e.keys)
