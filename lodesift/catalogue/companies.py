@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import PANDAS_MISSING_TOKENS
 from ..operators import profile
 from ..operators.clean import clean_accelerator, clean_registry, cleaning_report, flag_suspicious, unify
+from ..operators.automaton import mentions
 from ..operators.coverage import watch_coverage
 from ..operators.documents import build_documents, dense_ids, where
 from ..operators.metrics import share_of_total
@@ -14,7 +15,7 @@ from ..functions.text import first_tag, parse_tags
 from ..plans.incremental import IncrementalCatalogue
 from ..plans.preprocess import preprocess, raw_counts
 from ..schemas import ACCELERATOR_RAW
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from ..sources.catalog import first_rows, normalise_missing, read_csv, sanitise_for_export, write_table
 from .tables import AS_OF_YEAR, CLEAN_CTES, accelerator_raw, cleaned, companies, registry_raw, table
 
@@ -150,6 +151,28 @@ def suspicious_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.suspicious_sample(flagged(spark, sf_dir), "ordinal").select("startup_id", "name", "source")
 
 
+def sketched_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored sketches of each source and year, merged: exact values, and whether the estimates are within 3 % of them."""
+    rows = materialise(flagged(spark, sf_dir), "flagged")
+    states = materialise(profile.profile_state(rows, "source", "founded_year"), "states")
+    told = profile.merged_profile(states).select(
+        F.col("names").alias("names_told"), F.col("industries").alias("industries_told"), F.col("median_description").alias("length_told"))
+    lengths = rows.groupBy(F.length("description").alias("len")).count().crossJoin(F.broadcast(told.select("length_told")))
+    share = lambda test: F.sum(F.when(test, F.col("count")).otherwise(0)) / F.sum("count")
+    within = lengths.agg(((share(F.col("len") < F.col("length_told")) <= 0.53) & (share(F.col("len") <= F.col("length_told")) >= 0.47)).alias("median_within"))
+    exact = rows.agg(F.count(F.lit(1)).alias("total"), F.count_distinct("name").alias("names"), F.count_distinct("industry").alias("industries"))
+    close = lambda told, exact: F.abs(F.col(told) - F.col(exact)) <= F.greatest(F.lit(1), 0.03 * F.col(exact))
+    return exact.join(told).join(within).select(
+        "total", "names", close("names_told", "names").alias("names_within"), "industries", close("industries_told", "industries").alias("industries_within"), "median_within")
+
+
+def watch_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all benchmark texts, eight characters or longer, wherever they occur inside whole documents."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).filter(F.length("word") >= 8)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    return mentions(docs, "text", words).select("doc_id", "word", "times")
+
+
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first word of every benchmark text as the watch list."""
     watch = table(spark, sf_dir, "benchmark").selectExpr("regexp_extract(text, '^[^ ]*', 0) AS name")
@@ -181,7 +204,7 @@ QUERIES = {f.__name__: f for f in (
     clean_unify_flag, preprocess_csv, snapshots_one_by_one, first_records, suspicious_reasons, cleaning_counts, tags_and_industry, company_documents,
     document_positions, metadata_filter, source_counts, top_countries, top_industries, founded_per_year,
     founded_per_year_and_source, quality_share, quality_by_source, description_lengths, median_description,
-    summary_stats, suspicious_sample, coverage, sanitised_pages, json_export, event_type_share, top_parts,
+    summary_stats, sketched_stats, suspicious_sample, coverage, watch_mentions, sanitised_pages, json_export, event_type_share, top_parts,
 )}
 
 
@@ -277,6 +300,11 @@ SELECT count(*) AS total, count(DISTINCT nullif(country, '')) AS countries, coun
   median(founded_year) AS median_year, median(length(description)) AS median_description FROM flagged"""),
     "suspicious_sample": _clean(
         "SELECT startup_id, name, source FROM flagged WHERE is_suspicious ORDER BY ordinal LIMIT 10"),
+    "sketched_stats": _clean("SELECT count(*) AS total, count(DISTINCT name) AS names, true AS names_within, count(DISTINCT industry) AS industries, true AS industries_within, true AS median_within FROM flagged"),
+    "watch_mentions": """
+WITH words AS (SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM benchmark) WHERE length(word) >= 8)
+SELECT * FROM (SELECT doc_id, word, ((length(t) - length(replace(t, word, ''))) // length(word))::BIGINT AS times
+  FROM (SELECT doc_id, lower(text) AS t FROM documents) JOIN words ON contains(t, word))""",
     "coverage": _clean("""
 , watch AS (SELECT DISTINCT regexp_extract(text, '^[^ ]*', 0) AS watch_name FROM benchmark WHERE regexp_extract(text, '^[^ ]*', 0) <> ''),
 hit AS (SELECT watch_name, name, source,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import SizeLimits
+from .automaton import mentions
 from .sizing import broadcast_if_small
 
 
@@ -14,10 +15,8 @@ def watch_coverage(
     """``watch(name)`` against ``df(name, …)``: exact, partial or not found.
 
     Names compare without case.  An exact match wins over a substring match;
-    within a kind the first row in ``order_by`` wins.  Substrings are found by
-    an equi join: every distinct name is expanded to its substrings of the
-    lengths that occur in the watch list, so no pair is tested that cannot
-    match.
+    within a kind the first row in ``order_by`` wins.  Every distinct name is
+    walked once by an automaton of the watch list.
     """
     firsts = (
         df.filter(F.col("name").isNotNull()).groupBy(F.lower("name").alias("lowered"))
@@ -25,15 +24,7 @@ def watch_coverage(
     )
     wanted = watch.select(F.col("name").alias("watch_name")).distinct().withColumn("wanted", F.lower("watch_name"))
     wanted = wanted.filter(F.length("wanted") > 0)
-    # The distinct name lengths: a short list, attached to each row as a column.
-    firsts = firsts.withColumn("sizes", wanted.agg(F.collect_set(F.length("wanted"))).scalar())
-    piece = F.transform(
-        F.filter("sizes", lambda n: n <= F.length("lowered")),
-        lambda n: F.transform(
-            F.sequence(F.lit(1), F.length("lowered") - n + 1), lambda i: F.substring(F.col("lowered"), i, n)
-        ),
-    )
-    pieces = firsts.select("lowered", "row", "first", F.explode(F.array_distinct(F.flatten(piece))).alias("wanted"))
+    pieces = mentions(firsts, "lowered", wanted.select(F.col("wanted").alias("word")), limits).withColumnRenamed("word", "wanted")
     small = broadcast_if_small(wanted, limits.broadcast_bytes)
     kind = F.when(F.col("lowered") == F.col("wanted"), 0).otherwise(1)
     matches = (

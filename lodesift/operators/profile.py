@@ -86,6 +86,33 @@ def summary_stats(df: DataFrame, sources: dict[str, str] | None = None) -> DataF
     )
 
 
+def profile_state(df: DataFrame, *keys: str) -> DataFrame:
+    """A mergeable profile for each combination of ``keys`` (a batch, a source): counts and sketches, no texts.
+
+    Distinct names, countries and industries are HyperLogLog sketches, years and
+    description lengths KLL sketches.
+    """
+    distinct = {c: F.hll_sketch_agg(F.nullif(F.col(c), F.lit(""))).alias(f"{c}_sketch") for c in ("name", "country", "industry")}
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("is_suspicious").alias("suspicious"), *distinct.values(),
+        F.kll_sketch_agg_bigint(F.col("founded_year").cast("long")).alias("year_sketch"),
+        F.kll_sketch_agg_bigint(F.length(F.coalesce("description", F.lit(""))).cast("long")).alias("length_sketch"),
+    )
+
+
+def merged_profile(states: DataFrame) -> DataFrame:
+    """One row out of any number of states: totals, estimated distinct values and medians."""
+    merged = states.agg(
+        F.sum("rows").alias("total"), F.sum("suspicious").alias("suspicious"),
+        *[F.hll_sketch_estimate(F.hll_union_agg(f"{c}_sketch")).alias(out) for c, out in (("name", "names"), ("country", "countries"), ("industry", "industries"))],
+        F.kll_merge_agg_bigint("year_sketch").alias("years"), F.kll_merge_agg_bigint("length_sketch").alias("lengths"),
+    )
+    # An empty sketch has no quantile.
+    middle = lambda c: F.when(F.kll_sketch_get_n_bigint(c) > 0, F.kll_sketch_get_quantile_bigint(c, F.lit(0.5)))
+    return merged.select(
+        "total", "suspicious", "names", "countries", "industries", middle("years").alias("median_year"), middle("lengths").alias("median_description"))
+
+
 def suspicious_sample(df: DataFrame, order_by: str, n: int = 10) -> DataFrame:
     """The first ``n`` suspicious rows, for reading."""
     return df.filter("is_suspicious").orderBy(order_by).limit(n)
