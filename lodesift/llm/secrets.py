@@ -199,8 +199,13 @@ def redacted(docs: DataFrame, forest: Forest | None = None, doc_id: str = "doc_i
     key = F.md5(F.concat_ws("\n", *(F.coalesce(F.concat(F.lit("="), c), F.lit("null")) for c in parts)))
     found = _judged(candidates(docs, doc_id, text, path, key), forest).filter("is_secret")
     # Longer values first, so that none is cut by one that it contains.
-    values = F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a))
+    values = F.array_sort(F.collect_set(F.struct("position", "value")), lambda a, b: F.length(b["value"]) - F.length(a["value"]))
     by_key = materialise(found.groupBy(F.col("key").alias("_key")).agg(values.alias("_secrets")), "secrets")
     joined = docs.withColumn("_key", key).join(broadcast_if_small(by_key, BROADCAST_BYTES), "_key", "left")
-    clean = F.aggregate("_secrets", F.col(text), lambda t, v: F.replace(t, v, F.lit(MASK)))
+    # Masked in its own word only: the same characters elsewhere are something else.  Words and blanks take turns,
+    # so the position of a word follows from its place among both; no value has a blank.
+    pieces = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"), F.lit(0))
+    own = lambda i: F.filter("_secrets", lambda s: s["position"] == F.floor((i + 1) / 2) + 1)
+    masked = F.transform(pieces, lambda t, i: F.aggregate(own(i), t, lambda done, s: F.replace(done, s["value"], F.lit(MASK))))
+    clean = F.array_join(masked, "")
     return joined.withColumn(text, F.when(F.col("_secrets").isNull(), F.col(text)).otherwise(clean)).select(*docs.columns)

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from lodesift.llm import secrets
 
 
@@ -88,3 +90,19 @@ def test_secrets_stay_with_their_text(spark):
     got = [(r["doc_id"], r["text"]) for r in secrets.redacted(docs, secrets.Forest()).collect()]
     want = [(i, t if t is None or "stays" in t else f"key {secrets.MASK} here") for i, t in rows]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+class OnlyOpen(secrets.Forest):
+    def score(self, rows):
+        return rows.withColumn("score", F.when(F.col("value").isin("open1", "open1pen1"), 1.0).otherwise(0.0)).drop(*secrets.FEATURES)
+
+
+def test_masked_in_its_own_word_only(spark):
+    texts = [
+        (1, "pwd = open1 and open1ed reopen1 open1", f"pwd = {secrets.MASK} and open1ed reopen1 open1"),
+        (2, " \n pwd =\topen1 \n\n open1 ", f" \n pwd =\t{secrets.MASK} \n\n open1 "),
+        (3, "pwd=open1&pwd=open1pen1 open1pen1", f"pwd={secrets.MASK}&pwd={secrets.MASK} open1pen1"),
+        (4, "open1 " * 5000 + "pwd = open1", "open1 " * 5000 + f"pwd = {secrets.MASK}"),
+    ]
+    docs = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in secrets.redacted(docs, OnlyOpen()).collect()} == {i: t for i, _, t in texts}
