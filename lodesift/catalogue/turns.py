@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.embed import HashedEncoder
 from ..operators.history import record_turns, with_history
 from ..session import scratch_path
 from ..sources.store import IndexStore
-from ..streaming.conversation import append_turns, recent_turns, write_recent
+from ..streaming.conversation import append_turns, recent_turns, write_histories, write_recent
 from ..streaming.index_updates import maintain_index
 from .tables import table, tokens_of
 
@@ -42,6 +42,17 @@ def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/table").select("conv_id", "turn", "history")
 
 
+def history_by_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories over micro-batches that cut most conversations: turns arrive in four files, by number."""
+    out = scratch_path(spark, "histories")
+    given = table(spark, sf_dir, "conversations").withColumn("quarter", F.ntile(4).over(Window.partitionBy("conv_id").orderBy("turn")))
+    for n in range(1, 5):
+        given.filter(F.col("quarter") == n).drop("quarter").coalesce(1).write.mode("append").parquet(f"{out}/arriving")
+    stream = spark.readStream.schema(given.drop("quarter").schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/arriving")
+    write_histories(stream, f"{out}/told", f"{out}/checkpoint", chunk=3).awaitTermination()
+    return spark.read.parquet(f"{out}/told/turns").select("conv_id", "turn", "history")
+
+
 def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "log")
     append_turns(_stream(spark, sf_dir, "conversations"), f"{out}/table", f"{out}/checkpoint").awaitTermination()
@@ -59,7 +70,7 @@ def index_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    history, history_in_chunks, recorded_turns, history_stream, log_stream, index_stream,
+    history, history_in_chunks, history_by_batches, recorded_turns, history_stream, log_stream, index_stream,
 )}
 
 _HISTORY = """
@@ -73,6 +84,7 @@ SELECT conv_id, turn, CASE WHEN len(l) > 0 THEN 'Recent conversation:' || chr(10
 ORACLES = {
     "history": _HISTORY,
     "history_in_chunks": _HISTORY,
+    "history_by_batches": _HISTORY,
     "recorded_turns": """
 SELECT doc_id AS conv_id, doc_id * 2 AS turn, 'user' AS role, source AS text FROM documents UNION ALL
 SELECT doc_id, doc_id * 2 + 1, 'assistant', text FROM documents""",

@@ -93,8 +93,8 @@ class Snapshot:
         return self.read("postings")
 
     def terms(self) -> DataFrame:
-        """``term, df``; a single batch needs no aggregation."""
-        rows = self.read("terms").select("term", "df")
+        """``term, df``; a single batch needs no aggregation.  Totals are in ``corpus``."""
+        rows = self.read("terms").filter(F.col("term").isNotNull()).select("term", "df")
         return rows if len(self.labels) == 1 else rows.groupBy("term").agg(F.sum("df").alias("df"))
 
 

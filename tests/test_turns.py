@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from lodesift.operators.embed import HashedEncoder
 from lodesift.operators.history import with_history
-from lodesift.operators.lexical import term_statistics
+from lodesift.operators.lexical import corpus_statistics, read_corpus, term_statistics
 from lodesift.schemas import TURN
 from lodesift.sources.store import IndexStore
-from lodesift.streaming.conversation import append_turns, recent_turns, write_recent
+from lodesift.streaming.conversation import append_turns, recent_turns, write_histories, write_recent
 from lodesift.streaming.index_updates import maintain_index
 
 
@@ -75,7 +75,31 @@ def test_r2_index_maintenance(spark, tmp_path):
     assert store.count() == 20 and store.vectors().count() == 20 and store.postings().count() == 40
     direct = spark.createDataFrame([(n, f"word{n} common") for n in range(20)], schema)
     order = F.col("term")
-    assert sorted(map(tuple, store.terms().collect()), key=repr) == sorted(map(tuple, term_statistics(direct).collect()), key=repr)
+    # Frequencies as counted from the texts, totals as stored with the newest batch.
+    counted = term_statistics(direct)
+    assert sorted(map(tuple, store.terms().collect())) == sorted(map(tuple, counted.filter("term IS NOT NULL").select("term", "df").collect()))
+    assert store.snapshot().corpus.__dict__ == pytest.approx(read_corpus(corpus_statistics(counted)).__dict__)
     assert store.terms().orderBy(order).first()["term"] == "common"
     store.append(direct, "replay", HashedEncoder(16))       # all known: nothing is added
     assert store.count() == 20 and store.terms().filter("term = 'common'").first()["df"] == 20
+
+
+def test_r1_histories_of_a_hot_conversation(spark, tmp_path):
+    """A conversation with most of the rows, in micro-batches, with a restart and a repeated batch folder."""
+    turns = [(1, n, "user" if n % 2 else "assistant", f"t{n} " * (n % 90)) for n in range(90)] + [(2 + n % 7, 100 + n, "user", f"u{n}") for n in range(60)]
+    schema = "conv_id long, turn long, role string, text string"
+    source, out, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")
+
+    def arrive(part):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        write_histories(stream, out, check, chunk=4).awaitTermination()
+
+    arrive([t for t in turns if t[1] < 30])
+    arrive([t for t in turns if 30 <= t[1] < 70])
+    arrive([t for t in turns if t[1] >= 70])
+    got = {(r["conv_id"], r["turn"]): r["history"] for r in spark.read.parquet(f"{out}/turns").collect()}
+    want = {(r["conv_id"], r["turn"]): r["history"] for r in with_history(spark.createDataFrame(turns, schema)).collect()}
+    assert got == want and len(got) == len(turns)
+    last = spark.read.parquet(f"{out}/last").filter("conv_id = 1 AND batch = 2").count()
+    assert last == 6
