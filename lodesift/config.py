@@ -11,7 +11,6 @@ from dataclasses import dataclass
 ACCELERATOR_RENAMES = {
     "company_id": "startup_id",
     "company_name": "name",
-    "country": "country",
     "year_founded": "founded_year",
 }
 REGISTRY_RENAMES = {"id": "startup_id", "country_code": "country"}
@@ -40,6 +39,15 @@ PLACEHOLDER_NAMES = r"^(test|example|demo|sample|company\d*)$"
 ANALYSIS_TYPES = ["similar", "swot", "competitor", "comparison", "ecosystem"]
 REPORT_TYPES = ["similar", "swot", "competitor", "comparison", "ecosystem", "auto"]
 
+# Headings that an answer of each type is expected to have.
+SECTIONS = {
+    "similar": ["Similar Companies"],
+    "swot": ["Strengths", "Weaknesses", "Opportunities", "Threats"],
+    "competitor": ["Direct Competitors", "Indirect Competitors"],
+    "comparison": ["Comparison"],
+    "ecosystem": ["Ecosystem Overview", "Key Players"],
+}
+
 # Missing-value tokens of the default reader, and of a pandas-compatible one.
 MISSING_TOKENS = ("",)
 PANDAS_MISSING_TOKENS = (
@@ -49,6 +57,8 @@ PANDAS_MISSING_TOKENS = (
 )
 
 
+# The default thresholds and weights of the classes below are fixed values as well.
+
 @dataclass(frozen=True)
 class CleanConfig:
     min_description: int = 10        # descriptions of this length or less go

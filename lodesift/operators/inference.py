@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..config import SECTIONS
 from ..functions.text import tokens
 
 TextModel = Callable[[list[str]], list[str]]
@@ -105,14 +106,6 @@ SYNONYMS = {
     "logistics": "delivery transport shipping",
 }
 
-SECTIONS = {
-    "similar": ["Similar Companies"],
-    "swot": ["Strengths", "Weaknesses", "Opportunities", "Threats"],
-    "competitor": ["Direct Competitors", "Indirect Competitors"],
-    "comparison": ["Comparison"],
-    "ecosystem": ["Ecosystem Overview", "Key Players"],
-}
-
 
 def classify_by_cues(query: Column) -> Column:
     text = F.lower(query)
@@ -133,9 +126,9 @@ def expand_by_synonyms(query: Column, synonyms: dict[str, str] | None = None) ->
     return F.when(F.size(extra) > 0, F.concat(query, F.lit(" "), F.array_join(extra, " "))).otherwise(query)
 
 
-def rewrite_to_core_terms(previous: Column) -> Column:
-    """The distinct longer words of the previous query, or the query itself."""
-    core = F.filter(F.array_distinct(tokens(previous)), lambda t: F.length(t) >= 4)
+def rewrite_to_core_terms(previous: Column, shortest: int = 4) -> Column:
+    """The distinct words of ``shortest`` characters or more of the previous query, or the query itself."""
+    core = F.filter(F.array_distinct(tokens(previous)), lambda t: F.length(t) >= shortest)
     return F.when(F.size(core) > 0, F.array_join(core, " ")).otherwise(previous)
 
 
