@@ -132,6 +132,9 @@ FROM jittered
 
 ORACLES: dict[str, str] = {
     "op4_mixing": MIXING,
+    "op1_near_vectors": twins.NEAR_VECTORS,
+    "op3_ngram_jaccard": twins.JACCARD,
+    "op7_substrings": twins.SUBSTRINGS,
     "op12_ranked_search": twins.RANKED,
     "op13_manifest": twins.MANIFEST,
     "op10_topk": """

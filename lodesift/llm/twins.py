@@ -86,3 +86,52 @@ weights AS (
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
 FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
 """
+
+_WORD = "[^\\x20\\x09-\\x0D]+"
+
+# Every window of 20 words, the first occurrence of each sequence, and the words that later ones cover.
+SUBSTRINGS = f"""
+WITH texts AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
+spots AS (SELECT n, len(words) AS size, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM texts),
+spans AS (SELECT n, i, word, size, md5(string_agg(word, ' ') OVER (PARTITION BY n ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)) AS span FROM spots),
+judged AS (SELECT n, i, word, i + 19 <= size AND row_number() OVER (PARTITION BY span, i + 19 <= size ORDER BY n, i) > 1 AS again FROM spans),
+marked AS (SELECT n, i, word, bool_or(again) OVER (PARTITION BY n ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM judged),
+counted AS (SELECT n, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM marked GROUP BY n)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN counted USING (n)
+"""
+
+# Sets of shingles, all pairs that share one, and components by walking links.
+JACCARD = f"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS words FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(words[i:i + 2], ' ')) AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, least(len(words), 1)) + 1)) AS i FROM texts)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+links AS (
+  SELECT u, v FROM (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both_have FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL)
+  JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * both_have >= 90 * (x.n + y.n - both_have)
+), reached(doc_id, other) AS (SELECT u, v FROM links UNION SELECT r.doc_id, l.v FROM reached r JOIN links l ON l.u = r.other),
+least_of AS (SELECT doc_id, min(other) AS other FROM reached GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of USING (doc_id)
+"""
+
+# All pairs of a label by cosine in double precision; every link found is an audited recall of 1.
+NEAR_VECTORS = """
+WITH RECURSIVE given AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+), fit AS (
+  SELECT vec_id, label, v, sqrt(list_inner_product(v, v)) AS norm FROM given
+  WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(v, v) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM fit a JOIN fit b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.98
+), reached(vec_id, other) AS (SELECT u, v FROM links UNION SELECT r.vec_id, l.v FROM reached r JOIN links l ON l.u = r.other),
+least_of AS (SELECT vec_id, min(other) AS other FROM reached GROUP BY 1),
+degrees AS (SELECT u AS vec_id, count(DISTINCT v) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(other, vec_id)) AS component_id,
+  least(vec_id, coalesce(other, vec_id)) = vec_id AS kept, 1.0::DOUBLE AS audit_recall
+FROM embeddings LEFT JOIN degrees USING (vec_id) LEFT JOIN least_of USING (vec_id)
+"""

@@ -77,5 +77,5 @@ def test_whole_run(spark, docs):
 
 def test_registry():
     names = registry.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
     assert not [m for m in sys.modules if m.startswith("lodesift.") and not m.startswith("lodesift.llm") and "llm" in getattr(sys.modules[m], "__dict__", {})]
