@@ -83,15 +83,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     if len(rows.select(lang).distinct().take(MAX_LANGUAGES + 1)) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    def whole(counts: pa.Table) -> pa.Table:
-        row = np.zeros(BUCKETS, np.int64)
-        row[counts["gram"].to_numpy()] = counts["n"].to_numpy()
-        return pa.table({"lang": counts["lang"][:1], "counts": [row.tobytes()]})
-
-    # A row per language, of BUCKETS numbers.
-    found = sorted(gram_counts(rows, text, lang).groupBy("lang").applyInArrow(whole, "lang string, counts binary").collect())
-    names = [r["lang"] for r in found]
-    table = np.array([np.frombuffer(r["counts"], np.int64) for r in found], np.float64).reshape(len(names), BUCKETS)
+    found = gram_counts(rows, text, lang).toArrow()  # at most MAX_LANGUAGES x BUCKETS rows
+    coded = pc.dictionary_encode(found["lang"]).combine_chunks() if found.num_rows else pa.array([], pa.string()).dictionary_encode()
+    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+    names = sorted(coded.dictionary.to_pylist())
+    place = np.array([names.index(x) for x in coded.dictionary.to_pylist()], np.int64)
+    table = np.zeros((len(names), BUCKETS))
+    table[place[coded.indices.to_numpy()], found["gram"].to_numpy()] = found["n"].to_numpy()
     smooth = table + SMOOTHING
     return Model(names, np.log(smooth / smooth.sum(1, keepdims=True)).astype(np.float32))
 
