@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lodesift.catalogue.turns import history_stream, log_stream
 from lodesift.operators.embed import HashedEncoder
 from lodesift.operators.history import with_history
 from lodesift.operators.lexical import corpus_statistics, read_corpus, term_statistics
@@ -103,3 +104,17 @@ def test_r1_histories_of_a_hot_conversation(spark, tmp_path):
     assert got == want and len(got) == len(turns)
     last = spark.read.parquet(f"{out}/last").filter("conv_id = 1 AND batch = 2").count()
     assert last == 6
+
+
+@pytest.mark.parametrize("files", [1, 3])
+@pytest.mark.parametrize("folder", [False, True])
+def test_streams_of_a_table_in_one_file_or_a_folder(spark, log, tmp_path, files, folder):
+    given = [r for r in log if r[0] == 1 or files == 1]
+    rows, path = spark.createDataFrame(given, TURN), tmp_path / "conversations.parquet"
+    if folder:
+        rows.repartition(files).write.parquet(str(path))
+    else:
+        rows.toPandas().to_parquet(path)
+    told = {(r["conv_id"], r["turn"]): r["history"] for r in history_stream(spark, str(tmp_path)).collect()}
+    assert told == plain_history(given)
+    assert sorted(map(tuple, log_stream(spark, str(tmp_path)).collect())) == sorted(given)
