@@ -24,7 +24,11 @@ from ..session import materialise
 from .documents import where as apply_where
 from .sizing import measure
 
-_CELLS = 4_000_000      # scores held at once inside a task
+_CELLS = 1 << 20        # scores held at once inside a task
+_QUERIES = 1024         # queries scored at once
+#: Stripes of the query and of the vector side: at least as many as the first numbers (where there are as many blocks of rows),
+#: so every row is sent a fixed number of times; more only beyond STRIPE_ROWS rows of one.
+Q_STRIPES, V_STRIPES, STRIPE_ROWS = 24, 4, 65_536
 _PIVOTS = 1024          # blocks of one side at most; larger blocks are split
 _PER_PIVOT = 8          # vectors that each pivot is chosen from
 
@@ -51,39 +55,49 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 class _Best:
-    """The k best (score, doc) per query seen so far, ties to the smaller id."""
+    """The k best (score, doc) of ``n`` queries seen so far, ties to the smaller id."""
 
-    def __init__(self, k: int, decimals: int):
+    def __init__(self, n: int, k: int, decimals: int):
         self.k, self.decimals = k, decimals
-        self.query = np.zeros(0, dtype=np.int64)
+        self.score = np.full((n, k), -np.inf)
         self.doc: np.ndarray | None = None
-        self.score = np.zeros(0)
 
     def add(self, queries: np.ndarray, query_index: np.ndarray, docs: np.ndarray, vectors: np.ndarray) -> None:
-        step = max(1, _CELLS // max(1, len(queries)))
-        for start in range(0, len(docs), step):
-            ids = docs[start:start + step]
-            scores = np.round(queries @ vectors[start:start + step].T, self.decimals) + 0.0
-            if scores.shape[1] > self.k:
-                cut = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k, None]
-                row, col = np.nonzero(scores >= cut)
-            else:
-                row, col = (x.ravel() for x in np.indices(scores.shape))
-            self._merge(query_index[row], ids[col], scores[row, col])
+        for begin in range(0, len(queries), _QUERIES):
+            asked, index = queries[begin:begin + _QUERIES], query_index[begin:begin + _QUERIES]
+            step = max(1, _CELLS // len(asked))
+            for start in range(0, len(docs), step):
+                self._slab(asked @ vectors[start:start + step].T, index, docs[start:start + step])
+
+    def _slab(self, scores: np.ndarray, index: np.ndarray, docs: np.ndarray) -> None:
+        # Scores are rounded before ranking: what is a step below the bound may still reach it.
+        least = self.score[index, -1]
+        if scores.shape[1] > self.k and np.isneginf(least).any():
+            least = np.maximum(least, np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k])
+        row, col = np.nonzero(scores >= least[:, None] - 10.0**-self.decimals)
+        if len(row):
+            self._merge(index[row], docs[col], np.round(scores[row, col], self.decimals) + 0.0)
 
     def _merge(self, query: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
-        query = np.concatenate([self.query, query])
-        doc = doc if self.doc is None else np.concatenate([self.doc, doc])
-        score = np.concatenate([self.score, score])
+        if self.doc is None:
+            self.doc = np.zeros(self.score.shape, doc.dtype)
+        self.doc = self.doc.astype(np.result_type(self.doc, doc), copy=False)
+        changed = np.unique(query)
+        row, col = np.nonzero(self.score[changed] > -np.inf)
+        query = np.concatenate([changed[row], query])
+        doc = np.concatenate([self.doc[changed[row], col], doc])
+        score = np.concatenate([self.score[changed[row], col], score])
         order = np.lexsort((doc, -score, query))
-        query, doc, score = query[order], doc[order], score[order]
-        first = np.searchsorted(query, query, side="left")
-        keep = np.arange(len(query)) - first < self.k
-        self.query, self.doc, self.score = query[keep], doc[keep], score[keep]
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query, side="left")
+        keep = place < self.k
+        query, place, order = query[keep], place[keep], order[keep]
+        self.doc[query, place], self.score[query, place] = doc[order], score[order]
 
     def frame(self, query_ids: np.ndarray) -> dict[str, np.ndarray]:
-        doc = np.zeros(0, dtype=np.int64) if self.doc is None else self.doc
-        return {"query_id": query_ids[self.query], "doc_id": doc, "score": self.score}
+        row, col = np.nonzero(self.score > -np.inf)
+        doc = np.zeros(0, dtype=np.int64) if self.doc is None else self.doc[row, col]
+        return {"query_id": query_ids[row], "doc_id": doc, "score": self.score[row, col]}
 
 
 def _hit_schema(vectors: DataFrame, queries: DataFrame) -> T.StructType:
@@ -136,11 +150,11 @@ def _scan(vectors: DataFrame, queries: DataFrame, k: int, decimals: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
-        best = _Best(k, decimals)
+        best = _Best(len(ids), k, decimals)
         for batch in batches:
             if batch.num_rows and len(ids):
                 best.add(matrix, np.arange(len(ids)), _ids(batch.column(0)), _matrix(batch.column(1)))
-        if len(best.query):
+        if best.doc is not None:
             yield pa.RecordBatch.from_pydict(best.frame(ids))
 
     return vectors.mapInArrow(run, schema)
@@ -148,11 +162,17 @@ def _scan(vectors: DataFrame, queries: DataFrame, k: int, decimals: int) -> Data
 
 @dataclass(frozen=True)
 class _Side:
-    """Rows with the block they lie in, and for each block its number of rows and the largest angle to its pivot."""
+    """Rows with the block and the stripe they lie in; for each block its rows, the largest angle to its pivot, and its stripes."""
 
     rows: DataFrame
     count: np.ndarray
     radius: np.ndarray
+    stripes: list[list[int]]
+
+
+def stripe_count(n: int, block_rows: int, least: int) -> int:
+    """Stripes for ``n`` rows: ``least``, fewer where rows are few, more where a stripe would hold too many."""
+    return max(1, min(least, -(-n // block_rows)), -(-n // STRIPE_ROWS))
 
 
 def _farthest_first(x: np.ndarray, n: int) -> np.ndarray:
@@ -164,9 +184,13 @@ def _farthest_first(x: np.ndarray, n: int) -> np.ndarray:
     return x[chosen]
 
 
-def _blocked(rows: DataFrame, key: str, pivots: np.ndarray, block_rows: int) -> _Side:
-    """Rows in the block of their nearest pivot; ``part`` splits a block that holds too many."""
-    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+def _blocked(rows: DataFrame, key: str, pivots: np.ndarray, block_rows: int, n: int, least: int) -> _Side:
+    """Rows in the block of their nearest pivot, and in stripes: runs of blocks with about as many rows each.
+
+    A block that holds more than a stripe is spread over several by a hash of the key.
+    """
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,43 +203,72 @@ def _blocked(rows: DataFrame, key: str, pivots: np.ndarray, block_rows: int) ->
     schema = T.StructType([*rows.schema.fields, T.StructField("block", T.IntegerType()), T.StructField("angle", T.DoubleType())])
     placed = materialise(rows.mapInArrow(run, schema), "blocked")
     # A row per block, of which there are at most _PIVOTS.
-    sizes = placed.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r"))
     count, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
-    for row in sizes.collect():
+    for row in placed.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r")).collect():
         count[row["block"]], radius[row["block"]] = row["n"], row["r"]
-    parts = F.broadcast(sizes.select("block", F.ceil(F.col("n") / block_rows).cast("int").alias("parts")))
-    part = F.pmod(F.xxhash64(key), F.col("parts")).cast("int")
-    return _Side(placed.join(parts, "block").withColumn("part", part), count, radius)
-
-
-def _met(vectors: _Side, queries: _Side, pairs: np.ndarray, k: int, decimals: int, schema: T.StructType) -> DataFrame:
-    """The k best hits of every query in each of the given (query block, vector block) pairs, a task per pair of their parts."""
+    stripes = stripe_count(n, block_rows, least)
+    share = max(1.0, count.sum() / stripes)
+    dealt: list[list[int]] = [[] for _ in pivots]
+    before = 0.0
+    # The first pivots are far from each other: what is nearest to one of them lies together.
+    for block in np.lexsort((np.arange(len(pivots)), (pivots @ pivots[:stripes].T).argmax(1))).tolist():
+        parts = int(np.ceil(count[block] / share))
+        dealt[block] = [min(stripes - 1, int((before + (p + 0.5) * count[block] / parts) / share)) for p in range(parts)]
+        before += count[block]
+    table = F.broadcast(spark.createDataFrame([(b, d) for b, d in enumerate(dealt) if d], "block int, dealt array<int>"))
+    stripe = F.element_at("dealt", (F.pmod(F.xxhash64(key), F.size("dealt")) + 1).cast("int"))
+    return _Side(placed.drop("angle").join(table, "block").withColumn("stripe", stripe).drop("dealt"), count, radius, dealt)
+
+
+def _sent(side: _Side, other: _Side, wanted: np.ndarray, own: str, to: str) -> DataFrame:
+    """Rows with ``own``, their stripe, and ``to``: a row for every stripe of the other side with a block that theirs is to meet."""
+    stripes = 1 + max((s for d in other.stripes for s in d), default=0)
+    holds = np.zeros((len(other.stripes), stripes), bool)
+    for block, dealt in enumerate(other.stripes):
+        holds[block, dealt] = True
+    needed = (wanted.astype(np.float32) @ holds) > 0
+    table = [(b, np.flatnonzero(row).tolist()) for b, row in enumerate(needed) if row.any()]
+    table = F.broadcast(side.rows.sparkSession.createDataFrame(table, f"block int, {to} array<int>"))
+    return side.rows.join(table, "block").withColumnRenamed("stripe", own).withColumn(to, F.explode(to))
+
+
+def _met(vectors: _Side, queries: _Side, wanted: np.ndarray, k: int, decimals: int, schema: T.StructType) -> DataFrame:
+    """The k best hits of every query in the wanted blocks (query block x vector block), a task per pair of stripes.
+
+    A row goes once to each stripe that holds a block it is to meet, not once to each block.
+    """
     spark = vectors.rows.sparkSession
-    table = spark.createDataFrame(pa.table({"bq": pairs[:, 0].astype(np.int32), "bv": pairs[:, 1].astype(np.int32)}))
-    # At most _PIVOTS squared rows of two numbers and the numbers of parts.
-    q_parts = queries.rows.select(F.col("block").alias("bq"), F.col("parts").alias("nq")).distinct()
-    v_parts = vectors.rows.select(F.col("block").alias("bv"), F.col("parts").alias("nv")).distinct()
-    table = F.broadcast(table.join(F.broadcast(q_parts), "bq").join(F.broadcast(v_parts), "bv"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = vectors.rows.withColumnsRenamed({"block": "bv", "part": "pv"}).join(table, "bv").select("bv", "pv", "bq", every("nq").alias("pq"), "doc_id", "embedding")
-    right = queries.rows.withColumnsRenamed({"block": "bq", "part": "pq"}).join(table, "bq").select("bv", every("nv").alias("pv"), "bq", "pq", "query_id", "embedding")
+    shared = spark.sparkContext.broadcast(wanted)
+    keys = ("vector_stripe", "query_stripe")
+    left = _sent(vectors, queries, wanted.T, *keys).select(*keys, "block", "doc_id", "embedding")
+    right = _sent(queries, vectors, wanted, *keys[::-1]).select(*keys, "block", "query_id", "embedding")
     arrow_schema = pa.schema([
         ("query_id", _arrow_id(schema["query_id"].dataType)), ("doc_id", _arrow_id(schema["doc_id"].dataType)),
         ("score", pa.float64()),
     ])
 
     def run(docs: pa.Table, qs: pa.Table) -> pa.Table:
-        best = _Best(k, decimals)
-        ids = _ids(qs.column("query_id").combine_chunks()) if qs.num_rows else np.zeros(0, dtype=np.int64)
-        if docs.num_rows and qs.num_rows:
-            best.add(
-                _matrix(qs.column("embedding")), np.arange(len(ids)),
-                _ids(docs.column("doc_id").combine_chunks()), _matrix(docs.column("embedding")),
-            )
-        return pa.Table.from_pydict(best.frame(ids)).cast(arrow_schema) if len(best.query) else arrow_schema.empty_table()
-
-    keys = ("bv", "pv", "bq", "pq")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+        if not docs.num_rows or not qs.num_rows:
+            return arrow_schema.empty_table()
+        docs, qs = docs.sort_by("block"), qs.sort_by("block")
+        ids, held = _ids(qs.column("query_id").combine_chunks()), _ids(docs.column("doc_id").combine_chunks())
+        asked, matrix = _matrix(qs.column("embedding")), _matrix(docs.column("embedding"))
+        of_query, of_doc = qs.column("block").to_numpy(), docs.column("block").to_numpy()
+        best = _Best(len(ids), k, decimals)
+        for block in np.unique(of_query):
+            at = np.arange(*np.searchsorted(of_query, [block, block + 1]))
+            meets = shared.value[block][of_doc]
+            if meets.all():
+                best.add(asked[at], at, held, matrix)
+            elif meets.any():
+                best.add(asked[at], at, held[meets], matrix[meets])
+        return pa.Table.from_pydict(best.frame(ids)).cast(arrow_schema) if best.doc is not None else arrow_schema.empty_table()
+
+    # A number of partitions that adaptive execution keeps: stripes are few bytes and much work.
+    tasks = sum(1 + max((s for d in side.stripes for s in d), default=0) for side in (vectors, queries)) * V_STRIPES
+    parts = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    left, right = (x.repartition(parts, *keys).groupBy(*keys) for x in (left, right))
+    return left.cogroup(right).applyInArrow(run, schema)
 
 
 def _blocks(vectors: DataFrame, queries: DataFrame, k: int, decimals: int, block_rows: int, log: dict | None = None) -> DataFrame:
@@ -239,7 +292,8 @@ def _blocks(vectors: DataFrame, queries: DataFrame, k: int, decimals: int, block
         # Zero vectors only: every score is 0, any pivot serves.
         width = vectors.select(F.max(F.size("embedding"))).first()[0] or 1
         pivots = np.ones((1, width)) / np.sqrt(width)
-    vs, qs = _blocked(vectors, "doc_id", pivots, block_rows), _blocked(queries, "query_id", pivots, block_rows)
+    vs = _blocked(vectors, "doc_id", pivots, block_rows, n_vec, V_STRIPES)
+    qs = _blocked(queries, "query_id", pivots, block_rows, n_qry, Q_STRIPES)
     held, asking = np.flatnonzero(vs.count), np.flatnonzero(qs.count)
     apart = np.arccos(np.clip(pivots[asking] @ pivots[held].T, -1, 1))
     near = np.argsort(apart, axis=1, kind="stable")
@@ -248,8 +302,9 @@ def _blocks(vectors: DataFrame, queries: DataFrame, k: int, decimals: int, block
     np.put_along_axis(first, near, np.arange(len(held)) < enough[:, None], axis=1)
 
     def pairs(of: np.ndarray) -> np.ndarray:
-        row, col = np.nonzero(of)
-        return np.column_stack((asking[row], held[col]))
+        every = np.zeros((len(pivots), len(pivots)), bool)
+        every[np.ix_(asking, held)] = of
+        return every
 
     found = materialise(best_first(_met(vs, qs, pairs(first), k, decimals, schema), k), "first-pairs")
     kth = found.filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
@@ -421,7 +476,7 @@ def _scan_cells(celled: DataFrame, probed: DataFrame, k: int, decimals: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, index, cell_of, matrix = shared.value
-        best = _Best(k, decimals)
+        best = _Best(len(ids), k, decimals)
         for batch in batches:
             cell = batch.column(2).to_numpy()
             docs, vectors = _ids(batch.column(0)), _matrix(batch.column(1))
@@ -429,7 +484,7 @@ def _scan_cells(celled: DataFrame, probed: DataFrame, k: int, decimals: int) ->
                 rows, asking = cell == c, cell_of == c
                 if asking.any():
                     best.add(matrix[asking], index[asking], docs[rows], vectors[rows])
-        if len(best.query):
+        if best.doc is not None:
             yield pa.RecordBatch.from_pydict(best.frame(ids))
 
     wanted = probed.select("cell").distinct()
@@ -437,38 +492,42 @@ def _scan_cells(celled: DataFrame, probed: DataFrame, k: int, decimals: int) ->
 
 
 def _cell_blocks(celled: DataFrame, probed: DataFrame, k: int, decimals: int, block_rows: int) -> DataFrame:
-    """Cells cut into blocks by their measured sizes, so no hot cell is one task."""
+    """Cells cut into blocks by their measured sizes, so no hot cell is one task and every row is sent a few times only."""
     schema = _hit_schema(celled, probed)
-    sizes = celled.groupBy("cell").count().select("cell", F.ceil(F.col("count") / block_rows).cast("int").alias("nv"))
-    asked = probed.groupBy("cell").count().select("cell", F.ceil(F.col("count") / block_rows).cast("int").alias("nq"))
+
+    def cut(side: DataFrame, least: int, out: str) -> DataFrame:
+        n = F.col("count")
+        blocks = F.greatest(F.least(F.lit(least), F.ceil(n / block_rows)), F.ceil(n / STRIPE_ROWS))
+        return side.groupBy("cell").count().select("cell", blocks.cast("int").alias(out))
+
     # One row per cell: bounded by the number of centroids or sign patterns.
-    plan = F.broadcast(sizes.join(asked, "cell"))
+    plan = F.broadcast(cut(celled, V_STRIPES, "nv").join(cut(probed, V_STRIPES, "nq"), "cell"))
     left = celled.join(plan, "cell").select(
-        "cell", F.pmod(F.xxhash64("doc_id"), F.col("nv")).alias("bv"),
+        "cell", F.pmod(F.xxhash64("doc_id"), F.col("nv")).cast("int").alias("bv"),
         F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq"), "doc_id", "embedding",
-    ).withColumn("bv", F.col("bv").cast("int"))
+    )
     right = probed.join(plan, "cell").select(
         "cell", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)).alias("bv"),
         F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int").alias("bq"), "query_id", "embedding",
     )
     keys = ("cell", "bv", "bq")
+    arrow_schema = pa.schema([
+        ("query_id", _arrow_id(schema["query_id"].dataType)), ("doc_id", _arrow_id(schema["doc_id"].dataType)),
+        ("score", pa.float64()),
+    ])
 
-    def run(docs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(k, decimals)
-        ids = _as_ids(qs["query_id"])
-        if len(docs) and len(qs):
-            best.add(
-                _unit(np.stack(qs["embedding"].to_numpy()).astype(np.float64)), np.arange(len(ids)),
-                _as_ids(docs["doc_id"]), _unit(np.stack(docs["embedding"].to_numpy()).astype(np.float64)),
-            )
-        return pd.DataFrame(best.frame(ids))
-
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
-
+    def run(docs: pa.Table, qs: pa.Table) -> pa.Table:
+        if not docs.num_rows or not qs.num_rows:
+            return arrow_schema.empty_table()
+        ids = _ids(qs.column("query_id").combine_chunks())
+        best = _Best(len(ids), k, decimals)
+        best.add(
+            _matrix(qs.column("embedding")), np.arange(len(ids)),
+            _ids(docs.column("doc_id").combine_chunks()), _matrix(docs.column("embedding")),
+        )
+        return pa.Table.from_pydict(best.frame(ids)).cast(arrow_schema) if best.doc is not None else arrow_schema.empty_table()
 
-def _as_ids(values: pd.Series) -> np.ndarray:
-    array = values.to_numpy()
-    return array.astype(str) if array.dtype == object else array
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
 
 
 def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:

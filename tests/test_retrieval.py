@@ -470,3 +470,20 @@ def test_results_do_not_depend_on_partitions(spark, docs, queries, rows):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert LexicalConfig().k1 == 1.5
+
+
+def test_rows_are_sent_to_stripes_not_to_blocks(spark, rows, monkeypatch):
+    """Without clusters nearly every block meets every other; what is sent grows with the rows all the same."""
+    rng = np.random.default_rng(12)
+    sent = []
+    whole = nearest_module._sent
+    monkeypatch.setattr(nearest_module, "_sent", lambda *a: (sent.append(d := whole(*a)), d)[1])
+    data = [(n, [float(x) for x in rng.normal(size=16)]) for n in range(1200)]
+    v = spark.createDataFrame(data, "doc_id long, embedding array<double>").repartition(4)
+    q = v.selectExpr("doc_id AS query_id", "embedding")
+    log = {}
+    found = rows(best_first(nearest_module._blocks(v, q, 5, 6, 20, log), 5), "query_id", "doc_id", "rank")
+    assert found == rows(nearest(v, q, 5), "query_id", "doc_id", "rank")
+    assert log["all"] == 60 * 60 and log["second"] > 0.5 * log["all"]
+    to_vectors, to_queries = nearest_module.V_STRIPES, nearest_module.Q_STRIPES
+    assert [d.count() for d in sent[-2:]] == [1200 * to_queries, 1200 * to_vectors]
