@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from ..config import RetrievalConfig, SizeLimits
 from ..session import materialise
-from .nearest import _hit_schema, _matrix, best_first, nearest, recall_at_k
+from .nearest import Q_STRIPES, V_STRIPES, _Best, _arrow_id, _hit_schema, _ids, _matrix, best_first, nearest, recall_at_k, stripe_count
 from .sizing import broadcast_if_small, measure
 
 #: Vectors that centroids and entries are trained on at most, cells at most, entries of a group.
@@ -35,6 +35,8 @@ ROUNDS = 8
 TRIALS = 200
 _DIGITS = 9
 _PIECE = 2_000_000      # numbers held at once while coding or scoring
+_PAIR = 64              # bytes of a pair while it is ranked: beyond the broadcast limit pairs stay in their tasks
+_BINS, _REACH = 256, 1.25       # scores by code are counted in bins from -_REACH to _REACH
 
 
 @dataclass(frozen=True)
@@ -75,6 +77,11 @@ class CellCodes:
                 out[at:at + step, g] = np.round(norms[g] - 2 * part @ entries.T + (part**2).sum(1, keepdims=True), _DIGITS).argmin(1)
         return out
 
+    def decode(self, cell: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The vectors that cells and codes stand for."""
+        whole = self.entries[np.arange(len(self.entries)), code].reshape(len(code), -1)
+        return self.centroids[cell] + whole[:, :self.centroids.shape[1]]
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Products of each query with all entries: queries x groups x entries."""
         return np.einsum("qgw,gew->qge", self._groups(q), self.entries)
@@ -193,6 +200,15 @@ def read_coded(spark: SparkSession, path: str) -> tuple[DataFrame, CellCodes]:
     return spark.read.parquet(f"{path}/vectors").withColumn("cell", F.col("cell").cast("int")), codes
 
 
+def _foremost(held: list[tuple], n: int) -> tuple:
+    """Of (query, id, cell, score) the ``n`` best of each query, ties to the smaller id."""
+    query, cell, near = (np.concatenate([x[c] for x in held]) for c in (0, 2, 3))
+    doc = pa.concat_arrays([x[1] for x in held])
+    order = np.lexsort((_ids(doc), -near, query))
+    kept = order[np.arange(len(order)) - np.searchsorted(query[order], query[order]) < n]
+    return query[kept], doc.take(pa.array(kept)), cell[kept], near[kept]
+
+
 def _survivors(rows: DataFrame, asked: DataFrame, codes: CellCodes, probes: int, rescore: int) -> DataFrame:
     """(query_id, doc_id, cell) of the ``rescore`` best by code in the probed cells."""
     spark = rows.sparkSession
@@ -209,8 +225,8 @@ def _survivors(rows: DataFrame, asked: DataFrame, codes: CellCodes, probes: int,
         groups = np.arange(codes.entries.shape[0])
         base = matrix @ codes.centroids.T
         flat = codes.tables(matrix).reshape(len(matrix), -1)
-        held: dict[int, list] = {}
-        size = codes.entries.shape[1]
+        held, pairs, size = [], 0, codes.entries.shape[1]
+        most = max(_PIECE // 2, 2 * len(matrix) * rescore)
         for batch in batches:
             cells = batch.column(1).to_numpy()
             code = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
@@ -229,10 +245,13 @@ def _survivors(rows: DataFrame, asked: DataFrame, codes: CellCodes, probes: int,
                         row, col = np.nonzero(near >= least)
                     else:
                         row, col = (x.ravel() for x in np.indices(near.shape))
-                    held.setdefault(int(cell), []).append((q[row], doc.take(pa.array(col)), near[row, col]))
-        for cell, parts in held.items():
-            for number, doc, near in parts:
-                yield pa.RecordBatch.from_arrays([pa.array(number), doc, pa.array(np.full(len(number), cell, np.int32)), pa.array(near)], names=list(numbered))
+                    held.append((q[row], doc.take(pa.array(col)), np.full(len(row), cell, np.int32), near[row, col]))
+                    pairs += len(row)
+                    if pairs > most:
+                        held = [_foremost(held, rescore)]
+                        pairs = len(held[0][0])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in _foremost(held, rescore)], names=list(numbered))
 
     wanted = np.unique(shared.value[2]).tolist()
     # Partition values as a literal list: the folders of other cells are not even listed.
@@ -243,6 +262,165 @@ def _survivors(rows: DataFrame, asked: DataFrame, codes: CellCodes, probes: int,
     return best.join(F.broadcast(names), "number").drop("number")
 
 
+class _Looked:
+    """Queries and coded vectors of a pair of stripes: scores by code of the probed vectors, a slab at a time."""
+
+    def __init__(self, docs: pa.Table, qs: pa.Table, codes: CellCodes, probes: int):
+        # The same order in every round, so that a slab has the same scores.
+        self.docs, self.qs = docs.sort_by([("cell", "ascending"), ("doc_id", "ascending")]), qs.sort_by("number")
+        self.cell = self.docs["cell"].to_numpy()
+        raw = np.frombuffer(b"".join(self.docs["code"].to_pylist()), np.uint8).reshape(len(self.cell), -1)
+        self.vectors, self.doc = codes.decode(self.cell, raw), _ids(self.docs["doc_id"].combine_chunks())
+        self.asked, self.codes, self.probes = _matrix(self.qs["embedding"]), codes, probes
+
+    def slabs(self) -> Iterator[tuple[slice, slice, np.ndarray]]:
+        """Queries, vectors and their scores; -inf where the cell is not probed."""
+        for begin in range(0, len(self.asked), 512):
+            of = slice(begin, min(begin + 512, len(self.asked)))
+            probed = np.zeros((of.stop - begin, self.codes.cells), bool)
+            np.put_along_axis(probed, self.codes.probe(self.asked[of], self.probes), True, axis=1)
+            step = max(1, _PIECE // 2 // len(probed))
+            for start in range(0, len(self.vectors), step):
+                at = slice(start, min(start + step, len(self.vectors)))
+                near = np.round(self.asked[of] @ self.vectors[at].T, _DIGITS)
+                near[~probed[:, self.cell[at]]] = -np.inf
+                yield of, at, near
+
+
+def _bins(near: np.ndarray) -> np.ndarray:
+    """The bin of each score, 0 for none; the outermost bins have no end."""
+    return 1 + np.clip((near + _REACH) * (_BINS / (2 * _REACH)), -1, _BINS - 1).astype(np.int16)
+
+
+def _few(query: np.ndarray, near: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Of equal scores by code only the k that come first by score and id can be hits."""
+    order = np.lexsort((doc, -score, near, query))
+    query, near = query[order], near[order]
+    begins = np.flatnonzero(np.concatenate(([True], (query[1:] != query[:-1]) | (near[1:] != near[:-1]))))
+    sizes = np.diff(np.concatenate((begins, [len(query)])))
+    return order[np.arange(len(query)) - np.repeat(begins, sizes) < k]
+
+
+def _striped(
+    rows: DataFrame, asked: DataFrame, codes: CellCodes, k: int, probes: int, rescore: int, decimals: int, limits: SizeLimits, n_asked: int,
+) -> DataFrame:
+    """The same hits, and ``scored``, without a row for each pair of a query and a vector that it scores.
+
+    Stripes of queries meet stripes of vectors, a task per pair.  The first round
+    counts each query's scores by code in bins, which tells the bin of the last
+    that is to be scored.  The second scores exactly what lies above that bin and
+    keeps k rows per query; of the bin itself it keeps what scores as high as
+    those.  For these few, the third counts what has a better code.
+    """
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(codes.packed())
+    n = rows.count()
+    v_stripes, q_stripes = stripe_count(n, limits.block_rows, V_STRIPES), stripe_count(n_asked, limits.block_rows, Q_STRIPES)
+    numbered = asked.withColumn("number", F.monotonically_increasing_id())
+    numbered = materialise(numbered.withColumn("query_stripe", F.pmod(F.xxhash64("number"), F.lit(q_stripes)).cast("int")), "numbered")
+    keys = ("vector_stripe", "query_stripe")
+    parts = max(V_STRIPES * (v_stripes + q_stripes), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    doc_type, query_type = rows.schema["doc_id"].dataType, asked.schema["query_id"].dataType
+    numbers, docs_arrow = pa.int64(), _arrow_id(doc_type)
+
+    def met(columns: list[str], queries: DataFrame, run, schema: str) -> DataFrame:
+        left = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(v_stripes)).cast("int").alias(keys[0]), every(q_stripes).alias(keys[1]), "doc_id", "cell", *columns)
+        right = queries.withColumn(keys[0], every(v_stripes))
+        left, right = (x.repartition(parts, *keys).groupBy(*keys) for x in (left, right))
+        return left.cogroup(right).applyInArrow(run, schema)
+
+    def count(docs: pa.Table, qs: pa.Table) -> pa.Table:
+        if not docs.num_rows or not qs.num_rows:
+            return pa.table({"query_stripe": pa.array([], pa.int32()), "number": pa.array([], numbers), "bins": pa.array([], pa.binary())})
+        pair = _Looked(docs, qs, CellCodes.unpacked(shared.value), probes)
+        held = np.zeros((len(pair.asked), _BINS + 1), np.int64)
+        for of, _, near in pair.slabs():
+            m = len(near)
+            at = _bins(near) + np.arange(m, dtype=np.int32)[:, None] * (_BINS + 1)
+            held[of] += np.bincount(at.ravel(), minlength=m * (_BINS + 1)).reshape(m, -1)
+        cells = [x.tobytes() for x in held[:, 1:].astype("<u4")]
+        return pa.table({"query_stripe": pair.qs["query_stripe"], "number": pair.qs["number"], "bins": pa.array(cells, pa.binary())})
+
+    def threshold(table: pa.Table) -> pa.Table:
+        table = table.sort_by("number")
+        number = table["number"].to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+        held = np.frombuffer(b"".join(table["bins"].to_pylist()), "<u4").reshape(len(number), _BINS).astype(np.int64)
+        above = np.add.reduceat(held, first, axis=0)[:, ::-1].cumsum(1)[:, ::-1]        # in each bin or above
+        # Bins count from 1; all above the last is scored, as far as it goes.
+        last = np.where(above[:, 0] <= rescore, 0, (above >= rescore).sum(1))
+        last -= (last > 0) & (above[np.arange(len(first)), last - 1] == rescore)
+        return pa.table({"number": number[first], "last": pa.array(last.astype(np.int32)), "scored": np.minimum(above[:, 0], rescore)})
+
+    counted = met(["code"], numbered, count, "query_stripe int, number long, bins binary")
+    # A bounded number of queries to a group.
+    counted = counted.groupBy("query_stripe", F.pmod("number", F.lit(16))).applyInArrow(threshold, "number long, last int, scored long")
+    known = materialise(numbered.join(materialise(counted, "last-bins"), "number"), "asked")
+    hits_schema = f"number long, query_id {query_type.simpleString()}, doc_id {doc_type.simpleString()}, near double, score double, sure boolean"
+    hits_arrow = pa.schema([("number", numbers), ("query_id", _arrow_id(query_type)), ("doc_id", docs_arrow), ("near", pa.float64()), ("score", pa.float64()), ("sure", pa.bool_())])
+
+    def score(docs: pa.Table, qs: pa.Table) -> pa.Table:
+        if not docs.num_rows or not qs.num_rows:
+            return hits_arrow.empty_table()
+        pair = _Looked(docs, qs, CellCodes.unpacked(shared.value), probes)
+        exact, last = _matrix(pair.docs["embedding"]), pair.qs["last"].to_numpy()
+        best = _Best(len(last), k, decimals)
+        open_: list[tuple] = []
+        for of, at, near in pair.slabs():
+            index, bins = np.arange(of.start, of.stop), _bins(near)
+            whole = pair.asked[of] @ exact[at].T
+            best._slab(np.where(bins > last[of, None], whole, -np.inf), index, pair.doc[at])
+            row, col = np.nonzero((bins == last[of, None]) & (bins > 0) & (whole >= best.score[index, -1, None] - 10.0**-decimals))
+            found = index[row], near[row, col], pair.doc[at][col], np.round(whole[row, col], decimals) + 0.0, at.start + col
+            kept = _few(*found[:4], k) if len(row) else row
+            open_.append(tuple(x[kept] for x in found))
+        query, near, doc, value, place = (np.concatenate(x) for x in zip(*open_))
+        kept = np.flatnonzero(value >= best.score[query, -1])
+        kept = kept[_few(query[kept], near[kept], doc[kept], value[kept], k)] if len(kept) else kept
+        sure = best.frame(np.arange(len(last)))
+        query = np.concatenate([sure["query_id"], query[kept]])
+        ids = pa.concat_arrays([pa.array(sure["doc_id"], docs_arrow), pair.docs["doc_id"].combine_chunks().take(pa.array(place[kept])).cast(docs_arrow)])
+        take = pa.array(query)
+        return pa.table([
+            pair.qs["number"].take(take), pair.qs["query_id"].take(take), ids, pa.array(np.concatenate([np.zeros(len(sure["score"])), near[kept]])),
+            pa.array(np.concatenate([sure["score"], value[kept]])), pa.array(np.arange(len(query)) < len(sure["score"])),
+        ], schema=hits_arrow)
+
+    scored = materialise(met(["code", "embedding"], known.drop("scored"), score, hits_schema), "scored")
+    order = Window.partitionBy("number").orderBy(F.desc("score"), "doc_id")
+    sure = materialise(scored.filter("sure").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "sure")
+    kth = sure.filter(F.col("rank") == k).select("number", F.col("score").alias("kth"))
+    maybe = scored.filter(~F.col("sure")).join(kth, "number", "left").filter(F.col("kth").isNull() | (F.col("score") >= F.col("kth"))).drop("kth")
+    maybe = materialise(maybe, "open")
+    better_arrow = pa.schema([("number", numbers), ("doc_id", docs_arrow), ("near", pa.float64()), ("better", numbers)])
+
+    def rank(docs: pa.Table, qs: pa.Table) -> pa.Table:
+        if not docs.num_rows or not qs.num_rows:
+            return better_arrow.empty_table()
+        pair = _Looked(docs, qs, CellCodes.unpacked(shared.value), probes)
+        tried = [(np.array([t["near"] for t in x]), _ids(pa.array([t["doc_id"] for t in x], docs_arrow))) for x in pair.qs["tried"].to_pylist()]
+        better = [np.zeros(len(x), np.int64) for x, _ in tried]
+        for of, at, near in pair.slabs():
+            doc = pair.doc[at]
+            for q, row in zip(range(of.start, of.stop), near):
+                for c, (value, own) in enumerate(zip(*tried[q])):
+                    better[q][c] += np.count_nonzero(row > value) + np.count_nonzero(doc[row == value] < own)
+        sizes = [len(x) for x in better]
+        return pa.table([
+            pair.qs["number"].take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.concat_arrays([pa.array(d, docs_arrow) for _, d in tried]),
+            pa.array(np.concatenate([x for x, _ in tried])), pa.array(np.concatenate(better)),
+        ], schema=better_arrow)
+
+    tried = maybe.select("number", "doc_id", "near").distinct().groupBy("number").agg(F.collect_list(F.struct("doc_id", "near")).alias("tried"))
+    ranked = met(["code"], numbered.join(tried, "number"), rank, f"number long, doc_id {doc_type.simpleString()}, near double, better long")
+    inside = ranked.groupBy("number", "doc_id", "near").agg(F.sum("better").alias("better")).filter(F.col("better") < rescore).drop("better")
+    late = maybe.join(inside, ["number", "doc_id", "near"], "left_semi")
+    both = sure.select("query_id", "doc_id", "score").unionByName(late.select("query_id", "doc_id", "score"))
+    counts = known.groupBy("query_id").agg(F.sum("scored").alias("scored"))
+    return best_first(both, k).join(counts, "query_id")
+
+
 def nearest_coded(
     rows: DataFrame, queries: DataFrame, codes: CellCodes, k: int, *, probes: int, rescore: int,
     decimals: int = RetrievalConfig.decimals, limits: SizeLimits = SizeLimits(),
@@ -250,12 +428,16 @@ def nearest_coded(
     """Approximate cosine top-k: ``query_id, doc_id, score, rank`` and ``scored``, the vectors scored exactly for the query.
 
     ``rows`` are coded vectors, best stored by cell.  Queries beyond the limit
-    are answered in blocks.
+    are answered in blocks.  Where the pairs to score exactly are beyond it, they
+    stay in the tasks that find them.
     """
     asked = queries.select("query_id", "embedding").filter(F.size("embedding") > 0)
-    blocks = measure(asked).blocks(limits.broadcast_bytes)
+    size, rescore = measure(asked), max(k, rescore)
+    if size.rows * rescore * _PAIR > limits.broadcast_bytes:
+        return _striped(rows, asked, codes, k, probes, rescore, decimals, limits, size.rows)
+    blocks = size.blocks(limits.broadcast_bytes)
     part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    found = [_survivors(rows, asked.filter(part == n) if blocks > 1 else asked, codes, probes, max(k, rescore)) for n in range(blocks)]
+    found = [_survivors(rows, asked.filter(part == n) if blocks > 1 else asked, codes, probes, rescore) for n in range(blocks)]
     survivors = found[0]
     for more in found[1:]:
         survivors = survivors.unionByName(more)

@@ -25,6 +25,7 @@ from .documents import where as apply_where
 from .sizing import measure
 
 _CELLS = 1 << 20        # scores held at once inside a task
+_LEAST = -np.finfo(np.float64).max
 _QUERIES = 1024         # queries scored at once
 #: Stripes of the query and of the vector side: at least as many as the first numbers (where there are as many blocks of rows),
 #: so every row is sent a fixed number of times; more only beyond STRIPE_ROWS rows of one.
@@ -71,8 +72,8 @@ class _Best:
 
     def _slab(self, scores: np.ndarray, index: np.ndarray, docs: np.ndarray) -> None:
         # Scores are rounded before ranking: what is a step below the bound may still reach it.
-        least = self.score[index, -1]
-        if scores.shape[1] > self.k and np.isneginf(least).any():
+        least = np.maximum(self.score[index, -1], _LEAST)
+        if scores.shape[1] > self.k and (least == _LEAST).any():
             least = np.maximum(least, np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k])
         row, col = np.nonzero(scores >= least[:, None] - 10.0**-self.decimals)
         if len(row):

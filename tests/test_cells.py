@@ -107,3 +107,19 @@ def test_stored_index_with_cells(spark, tmp_path, rows):
     merged = open_index(spark, store.path, encoder)
     assert len(merged.coded) == 1 and merged.vectors.count() == 240 and recall(merged) >= 0.9
     assert rows(hybrid_hits(asked, merged), "query_id", "rank", "doc_id") == rows(hybrid_hits(asked, index), "query_id", "rank", "doc_id")
+
+
+@pytest.mark.parametrize("rescore", [10, 60, 149, 400])
+def test_pairs_beyond_the_limit_stay_in_their_tasks(spark, rows, monkeypatch, rescore):
+    """The same hits as with a row per pair, also with many equal vectors at the border of what is scored."""
+    x = clustered(400)
+    x[100:160] = x[7]
+    v = table(spark, x)
+    codes = cells.train(v, 400)
+    stored = cells.materialise(cells.coded(v, codes))
+    asked = v.filter("doc_id % 3 = 1").selectExpr("doc_id AS query_id", "embedding")
+    columns = ("query_id", "doc_id", "score", "rank", "scored")
+    whole = rows(cells.nearest_coded(stored, asked, codes, 5, probes=9, rescore=rescore), *columns)
+    monkeypatch.setattr(cells, "_survivors", None)
+    limits = SizeLimits(broadcast_bytes=10_000, block_rows=64)
+    assert rows(cells.nearest_coded(stored, asked, codes, 5, probes=9, rescore=rescore, limits=limits), *columns) == whole
