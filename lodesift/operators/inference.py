@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..config import SECTIONS
@@ -59,15 +59,19 @@ def batch_complete(
                 return [(None, f"{type(exc).__name__}: {exc}")]
             return [pair for p in prompts for pair in call([p])]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            prompts = batch.pop("__prompt").tolist()
-            replies = [pair for n in range(0, len(prompts), batch_rows) for pair in call(prompts[n:n + batch_rows])]
-            batch[out] = pd.Series([r for r, _ in replies], index=batch.index, dtype=object)
-            batch[error] = pd.Series([e for _, e in replies], index=batch.index, dtype=object)
-            yield batch
+    at = df.columns.index("__prompt")
 
-    return df.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Prompts and replies of one call are held as Python texts, not those of a whole batch.
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_rows):
+                part = batch.slice(start, batch_rows)
+                replies = call(part.column(at).to_pylist())
+                columns = [c for n, c in enumerate(part.columns) if n != at]
+                told = [pa.array([pair[n] for pair in replies], pa.string(), from_pandas=True) for n in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*columns, *told], names=schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def with_reply(

@@ -171,3 +171,21 @@ def test_s14_j8_external(spark, rows):
     assert keep_approved(hits, None).count() == 9
     shown = review_items(hits).filter("query_id = 1").orderBy("idx").collect()
     assert shown[0]["title"] == "Result 1" and len(shown[0]["snippet"]) == 200
+
+
+def test_replies_are_made_call_by_call(spark):
+    """Texts of one call are in Python at a time, also of rows with nulls; replies and errors keep their rows."""
+    from lodesift.operators.inference import batch_complete
+
+    def model(prompts):
+        if "p7" in prompts:
+            raise ValueError("no")
+        return [p and p.upper() for p in prompts]
+
+    rows = [(n, None if n % 10 == 3 else f"p{n}", 1.5 if n % 2 else None) for n in range(30)]
+    df = spark.createDataFrame(rows, "n long, text string, x double").coalesce(1)
+    done = batch_complete(df, F.col("text"), model, "reply", batch_rows=4)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    got = {r["n"]: (r["text"], r["x"], r["reply"], r["reply_error"]) for r in done.collect()}
+    assert got == {n: (t, x, None if n == 7 else t and t.upper(), "ValueError: no" if n == 7 else None) for n, t, x in rows}
