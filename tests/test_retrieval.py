@@ -487,3 +487,21 @@ def test_rows_are_sent_to_stripes_not_to_blocks(spark, rows, monkeypatch):
     assert log["all"] == 60 * 60 and log["second"] > 0.5 * log["all"]
     to_vectors, to_queries = nearest_module.V_STRIPES, nearest_module.Q_STRIPES
     assert [d.count() for d in sent[-2:]] == [1200 * to_queries, 1200 * to_vectors]
+
+
+def test_tokens_take_a_few_bytes_for_each_byte_of_text():
+    """Tokens of texts that touch stay apart, single letters go, and no number is held for every byte."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lodesift.operators import blocks
+
+    codes, terms, counts = blocks._tokens(pa.array(["ab", "cd e", "", "f gh", "x", "yz9 ab"]))
+    assert [terms[c].as_py() for c in codes] == ["ab", "cd", "gh", "yz9", "ab"] and counts.tolist() == [1, 1, 0, 1, 0, 2]
+    texts = pa.array(["incomprehensibilities unquestionably " * 50_000])
+    tracemalloc.start()
+    blocks._tokens(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * len(texts[0].as_py())
