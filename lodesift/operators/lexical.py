@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,6 +22,9 @@ from ..session import materialise
 from .nearest import best_first
 from .sizing import measure
 
+#: Postings, and (question, document) pairs scored from them, of a task; and the most tasks, beyond which Spark spills.
+TASK_ROWS, MOST_TASKS = 1 << 19, 20_000
+
 
 def tokenise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Replace the text by its tokens and the token count."""
@@ -103,8 +107,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def postings(docs: DataFrame, only_terms: DataFrame | None = None) -> DataFrame:
-    """``doc_id, doc_len, term, tf``, spread by document in a single shuffle."""
+def postings(docs: DataFrame, only_terms: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """``doc_id, doc_len, term, tf``, spread by document in a single shuffle; over ``tasks`` tasks, or as adaptive execution sees fit."""
     # The outer form: for a plain explode Spark infers a filter on the array and
     # evaluates the token pattern a second time to test it.
     exploded = (
@@ -114,7 +118,7 @@ def postings(docs: DataFrame, only_terms: DataFrame | None = None) -> DataFrame:
     if only_terms is not None:
         exploded = exploded.join(only_terms, "term", "left_semi")
     return (
-        exploded.repartition("doc_id")
+        exploded.repartition(*([tasks] if tasks else []), "doc_id")
         .groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
 
@@ -141,14 +145,29 @@ def score_postings(
     return best_first(scored, k)
 
 
+def tasks_for(asked: DataFrame, terms: DataFrame, n_docs: int) -> int:
+    """Tasks that keep the postings of the asked terms and the pairs they score below ``TASK_ROWS`` each.
+
+    Adaptive execution sizes tasks by the bytes they read: tokens.  What they hold is
+    a row for each question that a document shares a term with, which is far more.
+    """
+    asking = asked.groupBy("term").agg(F.count(F.lit(1)).alias("asking"))
+    found = terms.select("term", "df").join(F.broadcast(asking), "term").agg(
+        F.coalesce(F.sum("df"), F.lit(0)).alias("postings"), F.coalesce(F.sum(F.col("df") * F.col("asking")), F.lit(0)).alias("matches"),
+    ).first()
+    pairs = min(found["matches"], n_docs * asked.select("query_id").distinct().count())
+    least = asked.sparkSession.sparkContext.defaultParallelism
+    return max(least, min(ceil((found["postings"] + pairs) / TASK_ROWS), MOST_TASKS))
+
+
 def search_postings(
-    posting: Callable[[DataFrame], DataFrame], queries: DataFrame, terms: DataFrame, corpus: Corpus, k: int, *,
+    posting: Callable[[DataFrame, int], DataFrame], queries: DataFrame, terms: DataFrame, corpus: Corpus, k: int, *,
     cfg: LexicalConfig = LexicalConfig(), decimals: int = RetrievalConfig.decimals, limits: SizeLimits = SizeLimits(),
 ) -> DataFrame:
     """BM25 for a table of queries.
 
-    ``posting`` gives the postings of a set of terms, spread by document:
-    :func:`postings` from texts.  The query side is broadcast when its measured size
+    ``posting`` gives the postings of a set of terms, spread by document over a
+    number of tasks: :func:`postings` from texts.  The query side is broadcast when its measured size
     allows it; otherwise the queries are cut into blocks that do, and each
     block is answered on its own: a query is in exactly one block, so its top k
     is final.
@@ -159,7 +178,7 @@ def search_postings(
 
     def answer(part: DataFrame) -> DataFrame:
         wanted = F.broadcast(part.select("term"))
-        table = posting(wanted)
+        table = posting(wanted, tasks_for(part, terms, corpus.n_docs))
         weights = terms.select("term", "df").join(F.broadcast(part), "term").select(
             "query_id", "term", (idf(F.col("df"), corpus, cfg) * F.col("qtf")).alias("weight")
         )
@@ -183,6 +202,6 @@ def bm25_search(
     """
     terms = materialise(term_statistics(docs), "terms") if terms is None else terms
     return search_postings(
-        lambda wanted: postings(docs, wanted), queries, terms, read_corpus(corpus_statistics(terms)), k,
+        lambda wanted, tasks: postings(docs, wanted, tasks), queries, terms, read_corpus(corpus_statistics(terms)), k,
         cfg=cfg, decimals=decimals, limits=limits,
     )

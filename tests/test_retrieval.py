@@ -13,7 +13,7 @@ from lodesift.config import LexicalConfig, RetrievalConfig, SizeLimits
 from lodesift.functions.vectors import normalise
 from lodesift.operators.embed import HashedEncoder, embed
 from lodesift.operators.fusion import fuse
-from lodesift.operators import blocks
+from lodesift.operators import blocks, lexical
 from lodesift.operators.lexical import bm25_search, corpus_statistics, read_corpus
 from lodesift.operators import nearest as nearest_module
 from lodesift.operators.nearest import (
@@ -87,6 +87,22 @@ def test_bm25_plan(docs, queries):
     assert plan.count("Exchange hashpartitioning(doc_id") == 1 and plan.count("Exchange hashpartitioning(query_id") == 1
 
 
+def test_bm25_tasks_follow_pairs(spark, rows, monkeypatch):
+    """A word that all documents and questions share: pairs decide the number of tasks, not the bytes of the words."""
+    monkeypatch.setattr(lexical, "TASK_ROWS", 100, raising=False)
+    data = [(n, f"shared word{n % 7}") for n in range(90)]
+    asked = [(q, f"shared word{q % 9}") for q in range(30)]
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    hits = bm25_search(spark.createDataFrame(data, "doc_id long, text string"), queries, 3)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    tasks = [int(n) for n in re.findall(r"hashpartitioning\(doc_id#\d+L?, (\d+)\)", plan)]
+    # 90 x 30 pairs and 90 x 2 postings.
+    assert tasks == [-(-(2700 + 180) // 100)] and "REPARTITION_BY_NUM" in plan
+    got = rows(hits, "query_id", "doc_id", "score", "rank")
+    want = plain_bm25(data, asked, 3)
+    assert [g[:2] + g[3:] for g in sorted(got)] == [w[:2] + w[3:] for w in want]
+
+
 def plain_topk(vectors, queries, k):
     unit = lambda v: v / np.linalg.norm(v) if np.linalg.norm(v) else v
     out = []
