@@ -175,12 +175,10 @@ def packed_postings(docs: DataFrame) -> DataFrame:
     return lowered.mapInArrow(run, schema)
 
 
-def merge_chunks(parts: pa.Table, chunk: int, metas: list[str]) -> pa.Table:
-    """Rows of several chunks, with ``turn`` (their order), as the rows of one."""
-    heads = parts.filter(pc.is_null(parts["term"])).sort_by("turn")
-    rows = parts.filter(pc.is_valid(parts["term"]))
-    lengths = np.concatenate([np.frombuffer(x, _PARTS["lengths"]) for x in heads["lengths"].to_pylist()]).astype(np.int64)
-    base = dict(zip(heads["turn"].to_pylist(), np.cumsum([0, *heads["n"].to_pylist()]).tolist()))
+def merge_chunks(rows: pa.Table, heads: pa.Table, chunk: int, metas: list[str]) -> pa.Table:
+    """Posting rows and chunk rows of several chunks, both with ``turn`` (their order), as the rows of one."""
+    heads = heads.sort_by("turn")
+    lengths = _flat(heads["lengths"], _PARTS["lengths"])[0].astype(np.int64)
     coded = rows["term"].combine_chunks().dictionary_encode() if rows.num_rows else pa.array([], pa.string()).dictionary_encode()
     coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
     order = pc.sort_indices(coded.dictionary).to_numpy()
@@ -188,9 +186,11 @@ def merge_chunks(parts: pa.Table, chunk: int, metas: list[str]) -> pa.Table:
     rank[order] = np.arange(len(order))
     n = rows["n"].to_numpy().astype(np.int64)
     row = np.repeat(rank[coded.indices.to_numpy(zero_copy_only=False)], n) if rows.num_rows else np.zeros(0, np.int64)
-    places = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(p, _PARTS["places"]).astype(np.int64) + base[t] for p, t in zip(rows["places"].to_pylist(), rows["turn"].to_pylist()))])
-    tfs = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(p, _PARTS["tfs"]).astype(np.int64) for p in rows["tfs"].to_pylist())])
-    by = np.lexsort((places, row))
+    # Documents of the chunks before that of each row.
+    before = np.cumsum([0, *heads["n"].to_pylist()])[np.searchsorted(heads["turn"].to_numpy(), rows["turn"].to_numpy())]
+    places = _flat(rows["places"], _PARTS["places"])[0].astype(np.int64) + np.repeat(before, n)
+    tfs = _flat(rows["tfs"], _PARTS["tfs"])[0].astype(np.int64)
+    by = np.argsort(row * (1 << 16) + places, kind="stable")
     flat = lambda c: heads[c].combine_chunks().flatten()
     columns = _rows(chunk, flat("ids"), [flat(m) for m in metas], lengths, coded.dictionary.take(pa.array(order)), row[by], places[by], tfs[by])
     return pa.Table.from_arrays(columns, names=[*_NAMES, *metas])

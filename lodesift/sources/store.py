@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from math import ceil, floor, log, log2
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..config import SizeLimits
 from ..operators.blocks import CHUNK_DOCS, merge_chunks, packed_postings, packed_terms
@@ -306,17 +306,21 @@ class IndexStore:
         runs = heads.select("batch", "chunk", "n").withColumn("before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)))
         turns = materialise(runs.select(
             "batch", "chunk", F.floor(F.coalesce("before", F.lit(0)) / (CHUNK_DOCS // 2)).alias("new"), F.row_number().over(order).alias("turn")), "turns")
-        columns = ["n", "length", "places", "tfs", "peak_blocks", "peak_tfs", "peak_lengths", "lengths", "ids", *metas]
-        empty = {"term": "string", "places": "binary", "tfs": "binary", "peak_blocks": "binary", "peak_tfs": "binary", "peak_lengths": "binary"}
-        rows = part.posting_rows().drop("shards", "shard").unionByName(
-            heads.select("*", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()]), allowMissingColumns=True)
-        schema = rows.select("chunk", "term", *columns).schema
-
-        def run(key: tuple, table: pa.Table) -> pa.Table:
-            return merge_chunks(table, key[0].as_py(), metas)
-
-        joined = rows.join(broadcast_if_small(turns, SizeLimits().broadcast_bytes), ["batch", "chunk"]).drop("batch", "chunk")
-        return joined.select("new", "turn", "term", *columns).groupBy("new").applyInArrow(run, schema)
+        rows = part.posting_rows().drop("shards", "shard")
+        types = {f.name: f.dataType for f in [*rows.schema, *heads.schema]}
+        schema = T.StructType([T.StructField(c, types[c]) for c in (
+            "chunk", "term", "n", "length", "places", "tfs", "peak_blocks", "peak_tfs", "peak_lengths", "lengths", "ids", *metas)])
+
+        def run(key: tuple, rows: pa.Table, heads: pa.Table) -> pa.Table:
+            return merge_chunks(rows, heads, key[0].as_py(), metas)
+
+        # Two sides: in one table the lists of chunks would be null in all posting rows, and on the way to
+        # Python a null list takes a time that grows with the rows before it.
+        turns = broadcast_if_small(turns, SizeLimits().broadcast_bytes)
+        # Both come from one table of turns: aliases keep their columns apart.
+        left, right = (x.join(turns, ["batch", "chunk"]).select(*[F.col(c).alias(c) for c in ("new", "turn", "n", *own)]).groupBy("new") for x, own in (
+            (rows, ("term", "places", "tfs")), (heads, ("lengths", "ids", *metas))))
+        return left.cogroup(right).applyInArrow(run, schema)
 
     def vacuum(self) -> list[str]:
         """Delete the folders of batches that others have replaced; readers opened before that lose them."""

@@ -457,6 +457,21 @@ def test_merged_batches(spark, tmp_path, rows, monkeypatch):
     assert len(store.vacuum()) == 6 and store.postings().count() == len(bags)
 
 
+def test_posting_rows_are_merged_without_lists(spark, tmp_path):
+    """Null lists beside posting rows take a time that grows with the square of the rows of an Arrow batch."""
+    store = IndexStore(spark, str(tmp_path / "index"))
+    for n in range(2):
+        store.append(spark.createDataFrame([(f"d{n}{i}", text, "x") for i, text in corpus_of(20)], "doc_id string, text string, meta_kind string"), f"b{n}", HashedEncoder(16))
+    merged = store._merged_chunks(store.snapshot())
+    sides = [side.schema().simpleString() for side in (lambda c: [c.apply(n) for n in range(c.size())])(merged._jdf.queryExecution().analyzed().children())]
+    postings = [side for side in sides if "term:string" in side]
+    assert len(postings) == 1 and "array<" not in postings[0]
+    heads = merged.filter("term is null").collect()
+    assert [h["n"] for h in heads] == [40] and sorted(heads[0]["ids"]) == sorted(f"d{n}{i}" for n in range(2) for i in range(20))
+    bags = Counter(t for n in range(2) for _, text in corpus_of(20) for t in set(tok(text)))
+    assert {r["term"]: r["n"] for r in merged.filter("term is not null").collect()} == dict(bags)
+
+
 def test_stored_cells_are_pruned(vectors, rows, spark, tmp_path):
     asked = vectors.filter("doc_id = 1").select(F.col("doc_id").alias("query_id"), "embedding")
     cells = PlaneCells(8, 3)
