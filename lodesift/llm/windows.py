@@ -10,7 +10,9 @@ each of its distinct cells or windows.
 
 A chunk sends a window once however often it occurs there, so a passage that
 sits in a third of all documents is as many entries as there are chunks.  Chunks
-are written to the shared folder first, so every pass sees the same ones.
+are written to the shared folder first, so every pass sees the same ones.  Their
+texts are compressed until a task works on them: rows, batches and shuffles of
+the passes never hold them in full.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .words import Texts, Words, slices, texts_of, windows, word_hashes, words_o
 CHUNK_BYTES = 2 << 20
 #: Cells or windows that one task merges.
 RANGE = 2_000_000
+#: Of these it sorts so many at once.
+PIECE = 250_000
 #: Replies up to so many bytes go to all tasks; beyond it they are shuffled with the chunks.
 BROADCAST_BYTES = 64 << 20
 
@@ -36,7 +40,7 @@ _LAST = np.iinfo(np.int64).max
 
 
 def chunked(docs: DataFrame, size: int) -> DataFrame:
-    """(chunk, ids, texts, windows): documents in chunks, each sorted by id; null ids come last."""
+    """(chunk, packed, windows): ids and texts of documents in chunks, each sorted by id; null ids come last."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -44,13 +48,17 @@ def chunked(docs: DataFrame, size: int) -> DataFrame:
                 order = np.argsort(piece.column(0).fill_null(_LAST).to_numpy(zero_copy_only=False), kind="stable")
                 piece = piece.take(pa.array(order))
                 n = int(np.maximum(words_of(texts_of(piece.column(1))).counts - size + 1, 0).sum())
-                whole = pa.array([0, piece.num_rows], pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number]), *(pa.ListArray.from_arrays(whole, piece.column(k)) for k in (0, 1)), pa.array([n])],
-                    names=["chunk", "ids", "texts", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([_packed(piece)], pa.binary()), pa.array([n])], names=["chunk", "packed", "windows"])
                 number += 1
 
-    return docs.mapInArrow(run, "chunk long, ids array<long>, texts array<string>, windows long")
+    return docs.mapInArrow(run, "chunk long, packed binary, windows long")
+
+
+def _packed(piece: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as writer:
+        writer.write_batch(piece)
+    return out.getvalue().to_pybytes()
 
 
 class _Chunk:
@@ -59,8 +67,9 @@ class _Chunk:
     def __init__(self, batch: pa.RecordBatch, row: int, size: int, width: int):
         get = lambda name: batch.column(batch.schema.get_field_index(name))
         self.number, self.size, self.width = get("chunk")[row].as_py(), size, width
-        self.ids = get("ids")[row].values
-        self.texts: Texts = texts_of(get("texts")[row].values)
+        piece = pa.ipc.open_stream(get("packed")[row].as_buffer(), options=pa.ipc.IpcReadOptions(use_threads=False)).read_next_batch()
+        self.ids = piece.column(0)
+        self.texts: Texts = texts_of(piece.column(1))
         self.words: Words = words_of(self.texts)
         self.first, self.second, self.at = windows(word_hashes(self.texts, self.words), self.words, size)
         self.replies = {n: sorted((x["place"], x["bits"]) for x in get(n)[row].as_py() or ()) if n in batch.schema.names else [] for n in ("cells_reply", "windows_reply")}
@@ -101,37 +110,65 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int, width: int, ranges: in
             yield chunk
 
 
+def _pieces(parts: list[np.ndarray]) -> Iterator[list[slice]]:
+    """Sorted arrays cut at the same values, about ``PIECE`` of them all at a time; equal ones stay together."""
+    filled = [p for p in parts if len(p)]
+    n = ceil(sum(map(len, filled)) / PIECE)
+    if not n:
+        return
+    low, high = min(int(p[0]) for p in filled), max(int(p[-1]) for p in filled)
+    edges = np.array([low + (high - low) * k // n for k in range(1, n)], np.uint64)
+    bounds = np.array([np.concatenate(([0], np.searchsorted(p, edges), [len(p)])) for p in parts])
+    for k in range(n):
+        yield [slice(a, b) for a, b in bounds[:, k:k + 2].tolist()]
+
+
+def _replies(table: pa.Table, flags: list[np.ndarray]) -> pa.Table:
+    return pa.table({"chunk": table["chunk"], "place": table["place"], "bits": pa.array([bits(f) for f in flags], pa.binary())})
+
+
+def _deal(found: np.ndarray, at: list[slice], flags: list[np.ndarray]) -> None:
+    """Put the flags of a piece where they belong."""
+    done = 0
+    for where, own in zip(at, flags):
+        n = where.stop - where.start
+        own[where] = found[done:done + n]
+        done += n
+
+
 def _merge_cells(width: int):
     """Merge the sketches of a range: which cells of each chunk occur in another one too."""
     def run(table: pa.Table) -> pa.Table:
-        parts = [unpack(x, width) for x in table["cells"].to_pylist()]
-        cells = np.concatenate(parts)
-        order = np.argsort(cells, kind="stable")
-        same = cells[order][1:] == cells[order][:-1]
-        often = np.zeros(len(cells), bool)
-        often[order[1:][same]] = True
-        often[order[:-1][same]] = True
-        ends = np.cumsum([len(p) for p in parts])
-        replies = [bits(often[e - len(p):e]) for p, e in zip(parts, ends)]
-        return pa.table({"chunk": table["chunk"], "place": table["place"], "bits": pa.array(replies, pa.binary())})
+        parts = [unpack(x.as_buffer(), width) for x in table["cells"]]
+        replies = [np.zeros(len(p), bool) for p in parts]
+        for at in _pieces(parts):
+            cells = np.concatenate([p[w] for p, w in zip(parts, at)])
+            order = np.argsort(cells, kind="stable")
+            cells = cells[order]
+            same = cells[1:] == cells[:-1]
+            often = np.zeros(len(cells), bool)
+            often[order[1:][same]] = True
+            often[order[:-1][same]] = True
+            _deal(often, at, replies)
+        return _replies(table, replies)
     return run
 
 
 def _merge_windows(table: pa.Table) -> pa.Table:
     """Group the suspected windows of a range exactly: which of each chunk also start in an earlier document."""
-    keys, ids, chunks, sizes = [], [], [], []
-    for chunk, packed, owner, known in zip(*(table[c].to_pylist() for c in ("chunk", "keys", "owners", "ids"))):
-        keys.append(np.frombuffer(packed, np.uint64).reshape(-1, 2))
-        ids.append(np.frombuffer(known, np.int64)[np.frombuffer(owner, np.uint32)])
-        sizes.append(len(keys[-1]))
-        chunks.append(np.full(sizes[-1], chunk))
-    keys, ids, chunks = np.concatenate(keys), np.concatenate(ids), np.concatenate(chunks)
-    order = np.lexsort((chunks, ids, keys[:, 1], keys[:, 0]))
-    later = np.ones(len(keys), bool)
-    later[order[runs(keys[order, 0], keys[order, 1])]] = False
-    ends = np.cumsum(sizes)
-    replies = [bits(later[e - n:e]) for n, e in zip(sizes, ends)]
-    return pa.table({"chunk": table["chunk"], "place": table["place"], "bits": pa.array(replies, pa.binary())})
+    held = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in table[name]]
+    keys, owners, known = [x.reshape(-1, 2) for x in held("keys", np.uint64)], held("owners", np.uint32), held("ids", np.int64)
+    numbers = table["chunk"].to_numpy()
+    replies = [np.zeros(len(x), bool) for x in keys]
+    for at in _pieces([x[:, 0] for x in keys]):
+        first, second = np.concatenate([x[w] for x, w in zip(keys, at)]).T
+        ids = np.concatenate([x[o[w]] for x, o, w in zip(known, owners, at)])
+        chunks = np.repeat(numbers, [w.stop - w.start for w in at])
+        order = np.lexsort((chunks, ids, second, first))
+        later = np.ones(len(order), bool)
+        later[order[runs(first[order], second[order])]] = False
+        _deal(later, at, replies)
+    return _replies(table, replies)
 
 
 _REPLY = "chunk long, place int, bits binary"
@@ -169,9 +206,9 @@ def drop_repeats(docs: DataFrame, size: int = 20, doc_id: str = "doc_id", text:
             packed = [pack(cells[bounds[p]:bounds[p + 1]], width) for p in there]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(ranges, chunk.number)), pa.array(there, pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "place", "cells"])
 
-    cells = chunks.select("chunk", "ids", "texts").mapInArrow(sketch, "chunk long, place int, cells binary")
+    cells = chunks.select("chunk", "packed").mapInArrow(sketch, "chunk long, place int, cells binary")
     replies = cells.repartition(ranges, "place").groupBy("place").applyInArrow(_merge_cells(width), _REPLY)
-    chunks = _answered(chunks.select("chunk", "ids", "texts"), replies, "cells_reply")
+    chunks = _answered(chunks.select("chunk", "packed"), replies, "cells_reply")
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, size, width, ranges):

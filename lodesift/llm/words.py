@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
+#: Bytes that are hashed at once: numbers of 8 bytes stand for each of them.
+HASH_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -124,15 +126,21 @@ def words_of(texts: Texts, space: np.ndarray = _SPACE) -> Words:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each non-empty span of bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    total = _BYTES[data]
-    total *= powers(_BASE, len(data))
-    np.cumsum(total, out=total)
-    h = total[ends - 1] - np.where(starts > 0, total[starts - 1], np.uint64(0))
-    h *= powers(pow(_BASE, -1, 2**64), len(data))[starts]
-    return mix(h)
+    """A 64-bit hash of each non-empty span of bytes; spans come in the order of their starts."""
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + HASH_BYTES)))
+        low, high = int(starts[at]), max(int(ends[at:to].max()), int(starts[at]) + 1)
+        begin, end = starts[at:to] - low, ends[at:to] - low
+        total = _BYTES[data[low:high]]
+        total *= powers(_BASE, high - low)
+        np.cumsum(total, out=total)
+        h = total[end - 1] - np.where(begin > 0, total[begin - 1], np.uint64(0))
+        h *= powers(pow(_BASE, -1, 2**64), high - low)[begin]
+        out[at:to] = mix(h)
+        at = to
+    return out
 
 
 def word_hashes(texts: Texts, words: Words) -> np.ndarray:
