@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from ..config import RetrievalConfig, SizeLimits
 from ..session import materialise
-from .nearest import Q_STRIPES, V_STRIPES, _Best, _arrow_id, _hit_schema, _ids, _matrix, best_first, nearest, recall_at_k, stripe_count
+from .nearest import (
+    Q_STRIPES, V_STRIPES, Products, _Best, _arrow_id, _hit_schema, _ids, _matrix, best_first, nearest, product_error, products, recall_at_k, stripe_count,
+)
 from .sizing import broadcast_if_small, measure
 
 #: Vectors that centroids and entries are trained on at most, cells at most, entries of a group.
@@ -301,34 +303,222 @@ def _few(query: np.ndarray, near: np.ndarray, doc: np.ndarray, score: np.ndarray
     return order[np.arange(len(query)) - np.repeat(begins, sizes) < k]
 
 
+@dataclass(frozen=True)
+class _Stripes:
+    """Stripes of queries meet stripes of coded vectors, a task per pair."""
+
+    rows: DataFrame
+    vectors: int
+    queries: int
+
+    @classmethod
+    def of(cls, rows: DataFrame, n_rows: int, n_asked: int, limits: SizeLimits) -> _Stripes:
+        return cls(rows, stripe_count(n_rows, limits.block_rows, V_STRIPES), stripe_count(n_asked, limits.block_rows, Q_STRIPES))
+
+    def numbered(self, asked: DataFrame) -> DataFrame:
+        """Queries with a number of their own and their stripe.  To be stored: numbers depend on the partitions."""
+        return asked.withColumn("number", F.monotonically_increasing_id()).withColumn(
+            "query_stripe", F.pmod(F.xxhash64("number"), F.lit(self.queries)).cast("int"))
+
+    def met(self, columns: list[str], queries: DataFrame, run, schema: str) -> DataFrame:
+        keys = ("vector_stripe", "query_stripe")
+        parts = max(V_STRIPES * (self.vectors + self.queries), int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        left = self.rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(self.vectors)).cast("int").alias(keys[0]), every(self.queries).alias(keys[1]), "doc_id", "cell", *columns)
+        right = queries.withColumn(keys[0], every(self.vectors))
+        left, right = (x.repartition(parts, *keys).groupBy(*keys) for x in (left, right))
+        return left.cogroup(right).applyInArrow(run, schema)
+
+
+class _Ranks:
+    """For each query and each of its tried vectors, how many of the vectors shown have a better code.
+
+    ``near`` and ``doc`` of what is tried: queries x tries, NaN where there is none.
+    """
+
+    def __init__(self, asked: np.ndarray, near: np.ndarray, doc: np.ndarray):
+        self.asked, self.near, self.doc = asked, near, doc
+        self.order = np.argsort(near, axis=1, kind="stable")        # NaN comes last
+        self.steps = np.nan_to_num(np.take_along_axis(near, self.order, 1), nan=9.0)
+        self.better = np.zeros(near.shape, np.int64)                # in ascending order of what is tried
+
+    def add(self, vectors: np.ndarray, doc: np.ndarray, cell: np.ndarray, probed: np.ndarray | _Probed) -> None:
+        if not len(vectors):
+            return
+        near_q, near_v = self.asked.astype(np.float32), vectors.astype(np.float32)
+        off = product_error(vectors.shape[1]) * max(1.0, float(np.sqrt((vectors**2).sum(1).max()))) + 10.0**-_DIGITS
+        m = self.steps.shape[1]
+        for begin in range(0, len(self.asked), 256):
+            of = slice(begin, begin + 256)
+            looked = probed[of]
+            # Steps of all queries in one ascending line, twenty apart.
+            steps = (self.steps[of] + 20.0 * np.arange(len(self.steps[of]))[:, None]).ravel()
+            least = self.steps[of, 0] - 2 * off
+            scores = Products(near_q[of], _PIECE // 2)
+            for start in range(0, len(vectors), scores.step):
+                at = slice(start, start + scores.step)
+                near = scores.of(near_v[at])
+                row, col = scores.reach(near, least)
+                inside = looked[row, cell[at][col]]
+                row, col = row[inside], col[inside]
+                value = near[row, col].astype(np.float64) + 20.0 * row
+                below = np.searchsorted(steps, value - off) - row * m       # steps that it is above for sure
+                open_ = np.searchsorted(steps, value + off, side="right") - row * m - below
+                held = np.bincount(row * (m + 1) + below, minlength=len(self.steps[of]) * (m + 1)).reshape(-1, m + 1)
+                self.better[of] += held[:, :0:-1].cumsum(1)[:, ::-1]
+                near_some = np.flatnonzero(open_)
+                for n in range(0, len(near_some), 1 << 15):
+                    some = near_some[n:n + (1 << 15)]
+                    exact = np.round(products(self.asked[of], vectors[at], row[some], col[some]), _DIGITS)
+                    times = open_[some]
+                    which = np.repeat(np.arange(len(some)), times)
+                    step = below[some][which] + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+                    query = begin + row[some][which]
+                    tried = self.order[query, step]
+                    value, own = self.near[query, tried], self.doc[query, tried]
+                    won = (exact[which] > value) | ((exact[which] == value) & (doc[at][col[some]][which] < own))
+                    np.add.at(self.better, (query[won], step[won]), 1)
+
+    def counts(self) -> np.ndarray:
+        out = np.empty_like(self.better)
+        np.put_along_axis(out, self.order, self.better, 1)
+        return out
+
+
+class _Probed:
+    """Which cells each query looks at, unpacked for the queries that are asked for."""
+
+    def __init__(self, column: pa.ChunkedArray, cells: int):
+        self.packed, self.cells = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1), cells
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        return np.unpackbits(self.packed[at], axis=1, count=self.cells).astype(bool)
+
+
 def _striped(
     rows: DataFrame, asked: DataFrame, codes: CellCodes, k: int, probes: int, rescore: int, decimals: int, limits: SizeLimits, n_asked: int,
 ) -> DataFrame:
     """The same hits, and ``scored``, without a row for each pair of a query and a vector that it scores.
 
-    Stripes of queries meet stripes of vectors, a task per pair.  The first round
-    counts each query's scores by code in bins, which tells the bin of the last
-    that is to be scored.  The second scores exactly what lies above that bin and
-    keeps k rows per query; of the bin itself it keeps what scores as high as
-    those.  For these few, the third counts what has a better code.
+    What comes first by exact score in the probed cells comes first of all that
+    is scored, if it is scored.  The first round finds the ``2 * k`` best of each
+    query by exact score; the second counts the vectors with a better code than
+    each of them, which tells whether it is scored.  Queries with fewer than
+    ``k`` scored ones among them are answered by :func:`_binned`.
     """
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(codes.packed())
-    n = rows.count()
-    v_stripes, q_stripes = stripe_count(n, limits.block_rows, V_STRIPES), stripe_count(n_asked, limits.block_rows, Q_STRIPES)
-    numbered = asked.withColumn("number", F.monotonically_increasing_id())
-    numbered = materialise(numbered.withColumn("query_stripe", F.pmod(F.xxhash64("number"), F.lit(q_stripes)).cast("int")), "numbered")
-    keys = ("vector_stripe", "query_stripe")
-    parts = max(V_STRIPES * (v_stripes + q_stripes), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    per_cell = np.zeros(codes.cells, np.int64)
+    # A row per cell.
+    for row in rows.groupBy("cell").count().collect():
+        per_cell[row["cell"]] = row["count"]
+    n, tries = int(per_cell.sum()), 2 * k
+    shared = spark.sparkContext.broadcast((codes.packed(), per_cell))
+    stripes = _Stripes.of(rows, n, n_asked, limits)
     doc_type, query_type = rows.schema["doc_id"].dataType, asked.schema["query_id"].dataType
-    numbers, docs_arrow = pa.int64(), _arrow_id(doc_type)
+    docs_arrow = _arrow_id(doc_type)
 
-    def met(columns: list[str], queries: DataFrame, run, schema: str) -> DataFrame:
-        left = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(v_stripes)).cast("int").alias(keys[0]), every(q_stripes).alias(keys[1]), "doc_id", "cell", *columns)
-        right = queries.withColumn(keys[0], every(v_stripes))
-        left, right = (x.repartition(parts, *keys).groupBy(*keys) for x in (left, right))
-        return left.cogroup(right).applyInArrow(run, schema)
+    def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, per_cell = shared.value
+        codes = CellCodes.unpacked(packed)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                piece = batch.slice(at, 1024)
+                probed = np.zeros((piece.num_rows, codes.cells), bool)
+                np.put_along_axis(probed, codes.probe(_matrix(piece.column(1)), probes), True, axis=1)
+                cells = pa.array([x.tobytes() for x in np.packbits(probed, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*piece.columns, cells, pa.array(np.minimum(probed @ per_cell, rescore))], names=[*piece.schema.names, "probed", "scored"])
+
+    numbered = stripes.numbered(asked)
+    numbered = materialise(numbered.mapInArrow(probing, T.StructType([
+        *numbered.schema.fields, T.StructField("probed", T.BinaryType()), T.StructField("scored", T.LongType())])), "numbered")
+    first_arrow = pa.schema([("number", pa.int64()), ("query_id", _arrow_id(query_type)), ("doc_id", docs_arrow), ("near", pa.float64()), ("score", pa.float64())])
+
+    def first(docs: pa.Table, qs: pa.Table) -> pa.Table:
+        if not docs.num_rows or not qs.num_rows:
+            return first_arrow.empty_table()
+        # In the order of ids, places break ties as ids do.
+        docs, codes = docs.sort_by("doc_id"), CellCodes.unpacked(shared.value[0])
+        vectors, queries, cell = _matrix(docs["embedding"]), _matrix(qs["embedding"]), docs["cell"].to_numpy()
+        best = _Best(len(queries), tries, decimals)
+        best.add(queries, np.arange(len(queries)), np.arange(len(vectors)), vectors, _Probed(qs["probed"], codes.cells), cell)
+        found = best.frame(np.arange(len(queries)))
+        query, place = found["query_id"], found["doc_id"].astype(np.int64)
+        take, raw = pa.array(place), docs["code"].take(pa.array(place)).to_pylist()
+        near = np.empty(len(place))
+        for n in range(0, len(place), 1 << 15):
+            at = slice(n, n + (1 << 15))
+            code = np.frombuffer(b"".join(raw[at]), np.uint8).reshape(len(place[at]), -1)
+            near[at] = np.round(np.einsum("ij,ij->i", queries[query[at]], codes.decode(cell[place[at]], code)), _DIGITS)
+        return pa.table([
+            qs["number"].take(pa.array(query)), qs["query_id"].take(pa.array(query)), docs["doc_id"].take(take).cast(docs_arrow), pa.array(near), pa.array(found["score"]),
+        ], schema=first_arrow)
+
+    schema = f"number long, query_id {query_type.simpleString()}, doc_id {doc_type.simpleString()}, near double, score double"
+    found = stripes.met(["code", "embedding"], numbered.select("number", "query_id", "embedding", "probed", "query_stripe"), first, schema)
+    order = Window.partitionBy("number").orderBy(F.desc("score"), "doc_id")
+    found = materialise(found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= tries), "first")
+    better_arrow = pa.schema([("query_stripe", pa.int32()), ("number", pa.int64()), ("better", pa.binary())])
+
+    def rank(docs: pa.Table, qs: pa.Table) -> pa.Table:
+        if not docs.num_rows or not qs.num_rows:
+            return better_arrow.empty_table()
+        codes, cell = CellCodes.unpacked(shared.value[0]), docs["cell"].to_numpy()
+        code = np.frombuffer(b"".join(docs["code"].to_pylist()), np.uint8).reshape(len(cell), -1)
+        tried = qs["tried"].combine_chunks()
+        sizes, flat = tried.value_lengths().to_numpy(), tried.flatten()
+        query = np.repeat(np.arange(len(sizes)), sizes)
+        place = flat.field("place").to_numpy() - 1
+        own = _ids(flat.field("doc_id"))
+        near, doc = np.full((len(sizes), tries), np.nan), np.zeros((len(sizes), tries), own.dtype)
+        near[query, place], doc[query, place] = flat.field("near").to_numpy(), own
+        ranks = _Ranks(_matrix(qs["embedding"]), near, doc)
+        ranks.add(codes.decode(cell, code), _ids(docs["doc_id"].combine_chunks()), cell, _Probed(qs["probed"], codes.cells))
+        better = [x[:m].tobytes() for x, m in zip(ranks.counts().astype("<i8"), sizes.tolist())]
+        return pa.table([qs["query_stripe"], qs["number"], pa.array(better, pa.binary())], schema=better_arrow)
+
+    tried = found.groupBy("number").agg(F.collect_list(F.struct("place", "near", "doc_id")).alias("tried"))
+    asking = numbered.select("number", "embedding", "probed", "query_stripe").join(tried, "number")
+    ranked = stripes.met(["code"], asking, rank, "query_stripe int, number long, better binary")
+
+    def decide(table: pa.Table) -> pa.Table:
+        table = table.sort_by("number")
+        number = table["number"].to_numpy()
+        begin = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+        better = [np.frombuffer(x, "<i8") for x in table["better"].to_pylist()]
+        inside = [sum(better[a:b]) < rescore for a, b in zip(begin, [*begin[1:], len(number)])]
+        return pa.table({
+            "number": number[begin], "inside": pa.array([x.tolist() for x in inside], pa.list_(pa.bool_())),
+            "open": pa.array([len(x) == tries and int(x.sum()) < k for x in inside])})
+
+    # A bounded number of queries to a group.
+    decided = ranked.groupBy("query_stripe", F.pmod("number", F.lit(16))).applyInArrow(decide, "number long, inside array<boolean>, open boolean")
+    decided = materialise(decided, "decided")
+    hits = found.join(decided.filter(~F.col("open")), "number").filter(F.element_at("inside", F.col("place"))).select("query_id", "doc_id", "score")
+    left = numbered.join(decided.filter("open"), "number", "left_semi").select("query_id", "embedding")
+    if n_left := decided.filter("open").count():
+        late = _binned(rows, left, codes, k, probes, rescore, decimals, limits, n, n_left)
+        hits = hits.unionByName(late.select("query_id", "doc_id", "score"))
+    counts = numbered.groupBy("query_id").agg(F.sum("scored").alias("scored"))
+    return best_first(hits, k).join(counts, "query_id")
+
+
+def _binned(
+    rows: DataFrame, asked: DataFrame, codes: CellCodes, k: int, probes: int, rescore: int, decimals: int, limits: SizeLimits, n_rows: int, n_asked: int,
+) -> DataFrame:
+    """The hits of :func:`_striped`, wherever they rank by exact score.
+
+    The first round counts each query's scores by code in bins, which tells the
+    bin of the last that is to be scored.  The second scores exactly what lies
+    above that bin and keeps k rows per query; of the bin itself it keeps what
+    scores as high as those.  For these few, the third counts what has a better
+    code.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(codes.packed())
+    stripes = _Stripes.of(rows, n_rows, n_asked, limits)
+    met = stripes.met
+    numbered = materialise(stripes.numbered(asked), "numbered")
+    doc_type, query_type = rows.schema["doc_id"].dataType, asked.schema["query_id"].dataType
+    numbers, docs_arrow = pa.int64(), _arrow_id(doc_type)
 
     def count(docs: pa.Table, qs: pa.Table) -> pa.Table:
         if not docs.num_rows or not qs.num_rows:

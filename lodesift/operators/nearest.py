@@ -25,8 +25,10 @@ from .documents import where as apply_where
 from .sizing import measure
 
 _CELLS = 1 << 20        # scores held at once inside a task
+_PAIRS = 1 << 14        # pairs of vectors copied at once
 _LEAST = -np.finfo(np.float64).max
-_QUERIES = 1024         # queries scored at once
+_LOWEST = np.finfo(np.float32).min
+_QUERIES = 256          # queries scored at once
 #: Stripes of the query and of the vector side: at least as many as the first numbers (where there are as many blocks of rows),
 #: so every row is sent a fixed number of times; more only beyond STRIPE_ROWS rows of one.
 Q_STRIPES, V_STRIPES, STRIPE_ROWS = 24, 4, 65_536
@@ -55,6 +57,42 @@ def _ids(column: pa.Array) -> np.ndarray:
     return values.astype(str) if values.dtype == object else values
 
 
+def product_error(dim: int) -> float:
+    """How far a product of unit vectors in single precision can be off."""
+    return (dim + 8) * 2.0**-24
+
+
+class Products:
+    """Single-precision products of some rows with many others, a slab at a time in the same memory."""
+
+    def __init__(self, rows: np.ndarray, cells: int):
+        self.rows, self.step = rows, max(8, cells // max(1, len(rows)) // 8 * 8)
+        self.near, self.flags = np.empty(len(rows) * self.step, np.float32), np.empty(len(rows) * self.step, bool)
+
+    def of(self, others: np.ndarray) -> np.ndarray:
+        return np.matmul(self.rows, others.T, out=self.near[:len(self.rows) * len(others)].reshape(len(self.rows), len(others)))
+
+    def reach(self, near: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns of what is not below the bound of its row."""
+        flags = self.flags[:near.size]
+        np.greater_equal(near, least.astype(np.float32)[:, None], out=flags.reshape(near.shape))
+        if near.size % 8:
+            found = np.flatnonzero(flags)
+        else:
+            # Mostly none of eight.
+            eight = np.flatnonzero(flags.view(np.uint64))
+            place, one = np.nonzero(flags.reshape(-1, 8)[eight])
+            found = eight[place] * 8 + one
+        return np.divmod(found, near.shape[1])
+
+
+def products(a: np.ndarray, b: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Products of the given pairs in double precision."""
+    if 64 * len(row) > len(a) * len(b):
+        return (a @ b.T)[row, col]
+    return np.concatenate([np.einsum("ij,ij->i", a[row[n:n + _PAIRS]], b[col[n:n + _PAIRS]]) for n in range(0, max(1, len(row)), _PAIRS)])
+
+
 class _Best:
     """The k best (score, doc) of ``n`` queries seen so far, ties to the smaller id."""
 
@@ -63,12 +101,40 @@ class _Best:
         self.score = np.full((n, k), -np.inf)
         self.doc: np.ndarray | None = None
 
-    def add(self, queries: np.ndarray, query_index: np.ndarray, docs: np.ndarray, vectors: np.ndarray) -> None:
+    def add(
+        self, queries: np.ndarray, query_index: np.ndarray, docs: np.ndarray, vectors: np.ndarray,
+        probed: np.ndarray | None = None, cell: np.ndarray | None = None,
+    ) -> None:
+        """Of unit vectors; with ``probed`` (queries x cells) and the ``cell`` of each vector, pairs in probed cells only.
+
+        Products in single precision tell which few pairs can be among the best; these are scored in double precision.
+        """
+        near_q, near_v = queries.astype(np.float32), vectors.astype(np.float32)
+        slack = 10.0**-self.decimals + 2 * product_error(queries.shape[1])
         for begin in range(0, len(queries), _QUERIES):
-            asked, index = queries[begin:begin + _QUERIES], query_index[begin:begin + _QUERIES]
-            step = max(1, _CELLS // len(asked))
-            for start in range(0, len(docs), step):
-                self._slab(asked @ vectors[start:start + step].T, index, docs[start:start + step])
+            at = slice(begin, begin + _QUERIES)
+            index, looked = query_index[at], None if probed is None else probed[at]
+            scores, held, waiting = Products(near_q[at], _CELLS), [], 0
+            for start in range(0, len(docs), scores.step):
+                to = slice(start, start + scores.step)
+                near = scores.of(near_v[to])
+                least = np.maximum(self.score[index, -1], _LOWEST)
+                if (least == _LOWEST).any():
+                    if looked is not None:
+                        near[~looked[:, cell[to]]] = -np.inf
+                    if near.shape[1] > self.k:
+                        least = np.maximum(least, np.partition(near, near.shape[1] - self.k, axis=1)[:, -self.k])
+                row, col = scores.reach(near, np.maximum(least - slack, _LOWEST))
+                if looked is not None:
+                    inside = looked[row, cell[to][col]]
+                    row, col = row[inside], col[inside]
+                if len(row):
+                    held.append((index[row], docs[to][col], np.round(products(queries[at], vectors[to], row, col), self.decimals) + 0.0))
+                    waiting += len(row)
+                # The bound rises slowly: what is found may wait until there is as much of it as is held.
+                if waiting >= len(index) * self.k or held and to.stop >= len(docs):
+                    self._merge(*(np.concatenate(x) for x in zip(*held)))
+                    held, waiting = [], 0
 
     def _slab(self, scores: np.ndarray, index: np.ndarray, docs: np.ndarray) -> None:
         # Scores are rounded before ranking: what is a step below the bound may still reach it.

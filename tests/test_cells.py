@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodesift.config import RetrievalConfig, SizeLimits
-from lodesift.operators import cells
+from lodesift.operators import cells, nearest as nearest_module
 from lodesift.operators.embed import HashedEncoder
 from lodesift.operators.nearest import nearest, recall_at_k
 from lodesift.plans.index import open_index
@@ -123,3 +123,53 @@ def test_pairs_beyond_the_limit_stay_in_their_tasks(spark, rows, monkeypatch, re
     monkeypatch.setattr(cells, "_survivors", None)
     limits = SizeLimits(broadcast_bytes=10_000, block_rows=64)
     assert rows(cells.nearest_coded(stored, asked, codes, 5, probes=9, rescore=rescore, limits=limits), *columns) == whole
+
+
+def test_best_hits_are_decided_without_scoring_every_pair_by_code(spark, rows, monkeypatch):
+    """Bins of all scores by code are for queries whose best hits by exact score are mostly not scored."""
+    x = clustered(500)
+    v = table(spark, x)
+    codes = cells.train(v, 500)
+    stored = cells.materialise(cells.coded(v, codes))
+    asked = v.selectExpr("doc_id AS query_id", "embedding")
+    columns = ("query_id", "doc_id", "score", "rank", "scored")
+    limits, late = SizeLimits(broadcast_bytes=10_000, block_rows=64), []
+    binned = cells._binned
+    monkeypatch.setattr(cells, "_binned", lambda rows, left, *a: late.append(left.count()) or binned(rows, left, *a))
+    for rescore, few in ((100, 0), (6, 500)):
+        whole = rows(cells.nearest_coded(stored, asked, codes, 5, probes=15, rescore=rescore), *columns)
+        assert rows(cells.nearest_coded(stored, asked, codes, 5, probes=15, rescore=rescore, limits=limits), *columns) == whole
+        assert sum(late) <= few
+    assert late and 0 < late[0] < 500
+
+
+def test_best_of_probed_cells_and_ranks_equal_plain_loops():
+    rng = np.random.default_rng(2)
+    x = clustered(300)
+    x[40:90] = x[3]
+    q, cell = x[:70], rng.integers(0, 6, 300)
+    probed = rng.random((70, 6)) < 0.6
+    probed[5] = False
+    best = nearest_module._Best(70, 8, 6)
+    for part in np.array_split(np.arange(300), 4):
+        best.add(q, np.arange(70), part, x[part], probed, cell[part])
+    score = np.round(q @ x.T, 6)
+    for n in range(70):
+        want = sorted(np.flatnonzero(probed[n][cell]), key=lambda d: (-score[n, d], d))[:8]
+        held = best.score[n] > -np.inf
+        assert best.doc[n][held].tolist() == want and best.score[n][held] == pytest.approx(score[n, want], abs=1e-12)
+    # Any vectors stand for what codes say; equal ones are ranked by id.
+    y = np.concatenate([x[:250] + rng.normal(size=(250, 24)) / 20, x[250:]])
+    y[120:140] = y[3]
+    near, ids = np.round(q @ y.T, 9), rng.permutation(300)
+    tried = np.array([rng.choice(300, 9, replace=False) for _ in range(70)])
+    tried[:, :4] = [3, 121, 122, 139]
+    values, own = np.take_along_axis(near, tried, 1), ids[tried]
+    values[7, 6:] = np.nan
+    ranks = cells._Ranks(q, values, own)
+    for part in np.array_split(np.arange(300), 3):
+        ranks.add(y[part], ids[part], cell[part], probed)
+    for n in range(70):
+        for t in range(9 if n != 7 else 6):
+            ahead = (near[n] > values[n, t]) | ((near[n] == values[n, t]) & (ids < own[n, t]))
+            assert ranks.counts()[n, t] == np.count_nonzero(ahead & probed[n][cell])
